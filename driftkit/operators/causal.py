@@ -166,8 +166,10 @@ def autoregressive_lag(
     target: str,
     suffix: str = "_prev",
     block_us: int | None = frames.DAY_US * 7,
+    tie_cols: Sequence[str] = (),
 ) -> DataFrame:
-    """W10 + P17: drop NULL targets, add ``<target>_prev`` (previous non-NULL target), drop rows without it."""
+    """W10 + P17: drop NULL targets, add ``<target>_prev`` (previous non-NULL target), drop rows without it.
+    ``tie_cols`` order rows sharing a time stamp."""
     kept = df.filter(F.col(target).isNotNull())
-    lagged = frames.blocked_lag(kept, group_cols, time_col, [target], suffix=suffix, block_us=block_us)
+    lagged = frames.blocked_lag(kept, group_cols, time_col, [target], suffix=suffix, block_us=block_us, tie_cols=tie_cols)
     return lagged.filter(F.col(target + suffix).isNotNull())
