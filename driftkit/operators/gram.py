@@ -96,8 +96,45 @@ def _to_gram(r, features: Sequence[str], target: str | None) -> Gram:
     return Gram(list(features), float(r["n"] or 0.0), sx, g, float(r["sy"] or 0.0), xty, float(r["yy"] or 0.0))
 
 
+WIDE = 12
+
+
+def _partial_grams(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
+    """Sum over partitions of [1, x]'[1, x] computed with numpy inside each task.
+
+    Each task emits ONE row (its (k+1)^2 partial sums), so what reaches the
+    driver is bounded by partitions x k^2, not by the data."""
+    k = len(cols) + 1
+
+    def part(it):
+        import pandas as pd
+
+        acc = np.zeros((k, k))
+        for pdf in it:
+            x = np.column_stack([np.ones(len(pdf))] + [pdf[c].to_numpy(dtype="float64") for c in cols])
+            acc += x.T @ x
+        yield pd.DataFrame({"g": [acc.ravel().tolist()]})
+
+    rows = df.select(*[F.col(c).cast("double") for c in cols]).mapInPandas(part, "g array<double>").collect()
+    total = np.zeros((k, k))
+    for r in rows:
+        total += np.asarray(r["g"]).reshape(k, k)
+    return total
+
+
 def gram(df: DataFrame, features: Sequence[str], target: str | None = None, weight: Column | None = None) -> Gram:
-    """One aggregation -> :class:`Gram` (rows with NULL features/target must be removed or imputed first)."""
+    """One pass -> :class:`Gram` (rows with NULL features/target must be removed or imputed first).
+
+    Up to ``WIDE`` columns: one aggregation of built-in sums (codegen).  Wider:
+    per-partition numpy partial Grams (``mapInPandas``), summed on the driver."""
+    cols = list(features) + ([target] if target else [])
+    if weight is None and len(cols) > WIDE:
+        m = _partial_grams(df, cols)
+        p = len(features)
+        g = Gram(list(features), float(m[0, 0]), m[0, 1:p + 1].copy(), m[1:p + 1, 1:p + 1].copy())
+        if target:
+            g.sy, g.xty, g.yty = float(m[0, p + 1]), m[1:p + 1, p + 1].copy(), float(m[p + 1, p + 1])
+        return g
     return _to_gram(df.agg(*_exprs(features, target, weight)).first(), features, target)
 
 
@@ -132,3 +169,25 @@ def quadratic_form(features: Sequence[str], a: np.ndarray, center: np.ndarray |
             t = F.lit(coef) * terms[i] * terms[j]
             expr = t if expr is None else expr + t
     return expr if expr is not None else F.lit(0.0)
+
+
+def add_quadratic_form(df: DataFrame, features: Sequence[str], a: np.ndarray, center: np.ndarray | None,
+                       out_col: str) -> DataFrame:
+    """Add (x - c)' A (x - c).  Narrow: one codegen expression.  Wide: numpy on
+    Arrow batches inside each task (``mapInPandas``), all other columns kept."""
+    feats = list(features)
+    if len(feats) <= WIDE:
+        return df.withColumn(out_col, quadratic_form(feats, a, center=center))
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    c = np.zeros(len(feats)) if center is None else np.asarray(center, dtype=float)
+    amat = np.asarray(a, dtype=float)
+    schema = StructType(df.schema.fields + [StructField(out_col, DoubleType(), True)])
+
+    def part(it):
+        for pdf in it:
+            x = pdf[feats].to_numpy(dtype="float64") - c
+            pdf[out_col] = np.einsum("ij,jk,ik->i", x, amat, x)
+            yield pdf
+
+    return df.mapInPandas(part, schema)

@@ -84,24 +84,28 @@ def fit_preprocessing(
     for i, c in enumerate(numeric):
         x = F.col(c).cast("double")
         med = F.median(x) if exact else F.percentile_approx(x, 0.5, approx_accuracy).cast("double")
-        aggs += [med.alias(f"med{i}")]
+        aggs += [med.alias(f"med{i}"), F.count(x).alias(f"cnt{i}"), F.sum(x).alias(f"sum{i}"), F.sum(x * x).alias(f"ssq{i}")]
+    aggs.append(F.count(F.lit(1)).alias("_n"))
     for i, c in enumerate(categorical):
         aggs += [F.mode(F.col(c), True).alias(f"mode{i}"),
                  F.array_sort(F.collect_set(F.col(c))).alias(f"cats{i}")]
-    r = train.agg(*aggs).first() if aggs else None
+    r = train.agg(*aggs).first()
     model = PreprocessModel(numeric, categorical, drop_first=drop_first, scale=scale)
+    n = float(r["_n"])
     for i, c in enumerate(numeric):
         m = r[f"med{i}"]
         model.medians[c] = float(m) if m is not None else 0.0
-    if numeric and scale:
-        # mean / population std of the IMPUTED column, as a pipeline would see it
-        imputed = [F.coalesce(F.col(c).cast("double"), F.lit(model.medians[c])) for c in numeric]
-        s = train.agg(*[F.avg(x).alias(f"mu{i}") for i, x in enumerate(imputed)],
-                      *[F.stddev_pop(x).alias(f"sd{i}") for i, x in enumerate(imputed)]).first()
-        for i, c in enumerate(numeric):
-            model.means[c] = float(s[f"mu{i}"] or 0.0)
-            sd = s[f"sd{i}"]
-            model.scales[c] = float(sd) if sd and sd > 0 else 1.0
+        if scale:
+            # moments of the IMPUTED column (NULLs -> median), as a pipeline would see it:
+            # same pass, nulls contribute the median analytically
+            med, cnt = model.medians[c], float(r[f"cnt{i}"])
+            tot = float(r[f"sum{i}"] or 0.0) + (n - cnt) * med
+            ssq = float(r[f"ssq{i}"] or 0.0) + (n - cnt) * med * med
+            mu = tot / n if n else 0.0
+            var = max(ssq / n - mu * mu, 0.0) if n else 0.0
+            model.means[c] = mu
+            # constant column: scale 1, not a division by ~0 left over from cancellation
+            model.scales[c] = var ** 0.5 if var > 1e-10 * max(1.0, mu * mu) else 1.0
     for i, c in enumerate(categorical):
         model.modes[c] = r[f"mode{i}"]
         model.categories[c] = list(r[f"cats{i}"])
