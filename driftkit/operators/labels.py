@@ -130,20 +130,37 @@ def add_future_fault_labels(
     q: float = 0.95,
     min_periods: int = 10,
     drop_unlabelled: bool = True,
-    threshold_method: str = "pandas",
+    threshold_method: str = "blocked",
     block_us: int | None = None,
 ) -> DataFrame:
     """W7 -> W8 -> W9 -> W11 -> P16: label table from a wide snapshot.
 
     Ties in time inside a group are ordered by the entity columns.
+    ``threshold_method``: "blocked" (exact, time blocks, any group size),
+    "pandas" (exact, one task per group), "sql" (exact window, quadratic).
     """
+    from driftkit.session import cut_lineage
+
     tag = horizon.lower().replace(" ", "")
     targets = [c for c in targets if c in df.columns]
     order = [time_col] + [c for c in entity_cols if c not in group_cols]
+    # the snapshot is read by the threshold pass, its join and the horizon
+    # windows: materialise it once in the shared checkpoint folder
+    df = cut_lineage(df)
     if threshold_method == "sql":
         thr = expanding_quantile_sql(df, group_cols, order, targets, q, min_periods)
-    else:
+    elif threshold_method == "pandas":
         thr = expanding_quantile(df, group_cols, order, targets, q, min_periods)
+    else:
+        from driftkit.operators.expanding import choose_block_us, expanding_quantile_blocked
+
+        blk = choose_block_us(df, group_cols, time_col, 2_000_000) if block_us is None else block_us
+        if blk is None:  # every group fits one bounded block
+            thr = expanding_quantile(df, group_cols, order, targets, q, min_periods)
+        else:
+            thr = df
+            for c in targets:
+                thr = expanding_quantile_blocked(thr, group_cols, order, c, q, min_periods, block_us=blk)
     fut = future_horizon(thr, entity_cols, time_col, targets, horizon, tag=tag, block_us=block_us)
     lab = combine_labels(fut, targets, tag=tag)
     if drop_unlabelled:

@@ -120,7 +120,7 @@ FROM lab WHERE fault_24h IS NOT NULL"""
 
 # ------------------------------------------------------------------ Spark --
 
-def flagship(spark, sf_dir, threshold_method: str = "pandas"):
+def flagship(spark, sf_dir, threshold_method: str = "blocked"):
     """readings_h -> pivot median -> last observation (24 h cap) -> expanding 0.95
     threshold per group -> 24 h future max/count -> labels -> drop unlabelled."""
     cfg = node_cfg(environment_columns=(), threshold_method=threshold_method)

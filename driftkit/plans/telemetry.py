@@ -45,7 +45,7 @@ class FeedConfig:
     threshold_quantile: float = 0.95
     threshold_min_periods: int = 10
     drop_rows_without_future_label: bool = True
-    threshold_method: str = "pandas"
+    threshold_method: str = "blocked"
     block_us: int | None = None
     max_broadcast_rows: int | None = None
     extra: dict = field(default_factory=dict)

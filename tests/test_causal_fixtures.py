@@ -124,3 +124,23 @@ def test_blocked_frames_match_unblocked(spark):
     fa = labels.future_horizon(df, ["g"], "ts", ["v"], "24h", block_us=0).orderBy("g", "ts").collect()
     fb = labels.future_horizon(df, ["g"], "ts", ["v"], "24h", block_us=3_600_000_000 * 10).orderBy("g", "ts").collect()
     assert fa == fb
+
+
+@pytest.mark.parametrize("block", [None, 3_600_000_000 * 7, 3_600_000_000 * 50])
+def test_blocked_expanding_quantile_matches_pandas(spark, block):
+    import random
+
+    from driftkit.operators.expanding import expanding_quantile_blocked
+
+    rnd = random.Random(11)
+    data = [(g, q, T0 + timedelta(minutes=rnd.randrange(0, 20000)), rnd.choice([None, round(rnd.random(), 2)]))
+            for g in range(2) for q in range(6) for _ in range(40)]
+    df = spark.createDataFrame(data, "backend long, qubit long, model_time timestamp_ntz, a double").dropDuplicates(
+        ["backend", "qubit", "model_time"])
+    want = {(r.backend, r.qubit, r.model_time): r.a_threshold for r in
+            labels.expanding_quantile(df, ["backend"], ["model_time", "qubit"], ["a"], 0.9, 10).collect()}
+    got = expanding_quantile_blocked(df, ["backend"], ["model_time", "qubit"], "a", 0.9, 10, block_us=block).collect()
+    assert len(got) == len(want)
+    for r in got:
+        w = want[(r.backend, r.qubit, r.model_time)]
+        assert (r.a_threshold is None and w is None) or r.a_threshold == pytest.approx(w, abs=1e-12)
