@@ -5,9 +5,10 @@ population z-scoring, one-hot encoding.
 deviations and modes together, plus the distinct categories, which are few by
 construction); ``transform`` is a single ``select`` of literal-parameterised
 expressions, so it stays in whole-stage codegen and can run on any split.
-Exact medians hold every distinct value of a column in the final aggregation
-buffer; above ``exact_limit`` training rows the fit switches to
-``percentile_approx`` with relative rank error 1 / ``approx_accuracy``.
+Medians are exact.  Up to ``exact_limit`` training rows they come from the
+built-in ``median`` in the same aggregation as the moments; above it (where one
+buffer per column would be too large) from the distributed exact quantile
+pipeline, then the moments pass runs alone.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftkit.functions.names import sanitize_name
+from driftkit.operators.quantiles import exact_column_medians
 
 
 @dataclass
@@ -69,7 +71,7 @@ def fit_preprocessing(
     categorical: Sequence[str] = (),
     drop_first: bool = True,
     scale: bool = True,
-    exact_limit: int = 50_000_000,
+    exact_limit: int = 5_000_000,
     approx_accuracy: int = 1_000_000,
     n_rows: int | None = None,
 ) -> PreprocessModel:
@@ -79,11 +81,12 @@ def fit_preprocessing(
     numeric, categorical = list(numeric), list(categorical)
     if n_rows is None and numeric:
         n_rows = train.count()
-    exact = (n_rows or 0) <= exact_limit
+    small = (n_rows or 0) <= exact_limit
+    big_medians = {} if small or not numeric else exact_column_medians(train, numeric)
     aggs = []
     for i, c in enumerate(numeric):
         x = F.col(c).cast("double")
-        med = F.median(x) if exact else F.percentile_approx(x, 0.5, approx_accuracy).cast("double")
+        med = F.median(x) if small else F.lit(big_medians[c]).cast("double")
         aggs += [med.alias(f"med{i}"), F.count(x).alias(f"cnt{i}"), F.sum(x).alias(f"sum{i}"), F.sum(x * x).alias(f"ssq{i}")]
     aggs.append(F.count(F.lit(1)).alias("_n"))
     for i, c in enumerate(categorical):

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from driftkit.operators.quantiles import exact_quantiles
+
 
 def numeric_cols(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in exclude]
@@ -78,30 +80,34 @@ def _bias_corrected(n: Column, g1: Column, g2: Column) -> tuple[Column, Column]:
     return skew, kurt
 
 
-def univariate_summary(df: DataFrame, col: str, exact_median: bool = True) -> DataFrame:
+def univariate_summary(df: DataFrame, col: str) -> DataFrame:
     """Mean, median, std (n-1), skewness, excess kurtosis, min, max for the raw
-    values and for the log of the positive ones; two rows (scale = raw / log)."""
+    values and for the log of the positive ones; two rows (scale = raw / log).
+    Moments in one aggregation; the exact medians of both scales in one
+    distributed quantile pipeline (no whole-column buffer)."""
     x = F.col(col)
     lx = F.when(x > 0, F.ln(x))
     parts = []
     for label, e in (("raw", x), ("log", lx)):
         n = F.count(e).cast("double")
         skew, kurt = _bias_corrected(n, F.skewness(e), F.kurtosis(e))
-        med = F.median(e) if exact_median else F.percentile_approx(e, 0.5, 10000).cast("double")
         parts.append(F.struct(
-            F.lit(label).alias("scale"), F.count(e).alias("n"), F.avg(e).alias("mean"), med.alias("median"),
+            F.lit(label).alias("scale"), F.count(e).alias("n"), F.avg(e).alias("mean"),
             F.stddev_samp(e).alias("std"), skew.alias("skewness"), kurt.alias("kurtosis"),
             F.min(e).cast("double").alias("min"), F.max(e).cast("double").alias("max"),
         ))
-    return df.agg(F.array(*parts).alias("_s")).select(F.explode("_s").alias("_s")).select("_s.*")
+    moments = df.agg(F.array(*parts).alias("_s")).select(F.explode("_s").alias("_s")).select("_s.*")
+    long = df.select(F.explode(F.array(F.struct(F.lit("raw").alias("scale"), x.cast("double").alias("v")),
+                                       F.struct(F.lit("log").alias("scale"), lx.alias("v")))).alias("s")).select("s.*")
+    med = exact_quantiles(long, "v", [0.5], ["scale"], ["median"]).drop("n")
+    out = moments.join(med, "scale", "left")
+    return out.select("scale", "n", "mean", "median", "std", "skewness", "kurtosis", "min", "max")
 
 
 def five_number_by_group(df: DataFrame, value: str, group: str) -> DataFrame:
-    """Min, q1, median, q3, max per group (linear interpolation)."""
-    p = F.percentile(F.col(value), F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    return df.filter(F.col(value).isNotNull()).groupBy(group).agg(p.alias("_p"), F.count(value).alias("n")).select(
-        group, "n", *[F.col("_p")[i].alias(nm) for i, nm in enumerate(("min", "q1", "median", "q3", "max"))]
-    )
+    """Min, q1, median, q3, max per (coarse) group, linear interpolation,
+    distributed exact quantiles (a big group is not one buffer)."""
+    return exact_quantiles(df, value, (0.0, 0.25, 0.5, 0.75, 1.0), [group], ("min", "q1", "median", "q3", "max"))
 
 
 def histogram(df: DataFrame, col: str, bins: int = 80, lo: float | None = None, hi: float | None = None) -> DataFrame:

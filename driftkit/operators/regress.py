@@ -283,13 +283,14 @@ def residual_columns(scored: DataFrame, y: str, yhat: str = "y_hat") -> DataFram
 
 def qq_table(residuals: DataFrame, col: str = "residual", points: int = 99) -> DataFrame:
     """Sample quantiles of the residuals at p = k/(points+1) against N(0,1) quantiles."""
+    from driftkit.operators.quantiles import exact_quantiles
+
     probs = [(k + 1) / (points + 1) for k in range(points)]
     nd = NormalDist()
-    q = residuals.agg(F.percentile(col, F.array(*[F.lit(p) for p in probs])).alias("q"))
+    q = exact_quantiles(residuals, col, probs).first()
     spark = residuals.sparkSession
-    theo = spark.createDataFrame([(i, p, nd.inv_cdf(p)) for i, p in enumerate(probs)], "i int, p double, normal_quantile double")
-    return q.select(F.posexplode("q").alias("i", "sample_quantile")).join(F.broadcast(theo), "i").select(
-        "p", "normal_quantile", "sample_quantile")
+    rows = [(p, nd.inv_cdf(p), q[f"q{i}"]) for i, p in enumerate(probs)]
+    return spark.createDataFrame(rows, "p double, normal_quantile double, sample_quantile double")
 
 
 def jarque_bera(residuals: DataFrame, col: str = "residual") -> DataFrame:

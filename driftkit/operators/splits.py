@@ -31,11 +31,18 @@ def row_index(df: DataFrame, order_cols: Sequence[str | Column], index_col: str
 
 
 def chronological_cutoff(df: DataFrame, time_col: str, ratio: float = 0.8, tie_cols: Sequence[str] = ()):
-    """The time stamp at row int(n * ratio) in time order."""
-    n = df.count()
+    """The time stamp at row int(n * ratio) in time order.
+
+    Only the time matters (ties cannot change it), so rows are counted per
+    distinct time and the first time whose cumulative count exceeds k is the
+    cutoff - distributed prefix sum over distinct times, one scan of ``df``."""
+    from driftkit.operators.scan import prefix_sums
+
+    counts = df.groupBy(time_col).agg(F.count(F.lit(1)).alias("_w"))
+    cum = prefix_sums(counts, [F.col(time_col)], ["_w"])
+    n = cum.agg(F.max("_w_cum")).first()[0] or 0
     k = int(n * ratio)
-    idx = row_index(df.select(time_col, *tie_cols), [time_col, *tie_cols], "_i")
-    return idx.filter(F.col("_i") == k).select(time_col).first()[0]
+    return cum.filter(F.col("_w_cum") > k).agg(F.min(time_col)).first()[0]
 
 
 def chronological_split(df: DataFrame, time_col: str, ratio: float = 0.8, tie_cols: Sequence[str] = ()):

@@ -45,13 +45,17 @@ def q_row_index(spark, sf_dir):
     return splits.row_index(fr, ["model_time", "l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "row_index")
 
 
+def _prepared(spark, sf_dir):
+    """regression frame -> checkpoint -> P9 -> T6 (what every step below reads)."""
+    return rs.prepare(rs.regression_frame(spark, sf_dir), rs.StudyConfig())
+
+
 @register("t6_chronological_split", f"""WITH {RF_SQL}
 SELECT (SELECT cutoff FROM cut) AS cutoff, (SELECT count(*) FROM tr) AS n_train, (SELECT count(*) FROM te) AS n_test""")
 def q_split(spark, sf_dir):
-    cfg = rs.StudyConfig()
-    fr = rs.regression_frame(spark, sf_dir)
-    train, test, cut = splits.chronological_split(fr, "model_time", 0.8, ["l_orderkey", "l_linenumber"])
-    return spark.createDataFrame([(cut, train.count(), test.count())], "cutoff timestamp_ntz, n_train long, n_test long")
+    p = _prepared(spark, sf_dir)
+    return spark.createDataFrame([(p["cutoff"], p["train"].count(), p["test"].count())],
+                                 "cutoff timestamp_ntz, n_train long, n_test long")
 
 
 def _params_sql() -> str:
@@ -66,8 +70,7 @@ def _params_sql() -> str:
 @register("m1_m3_fit_parameters", f"""WITH {RF_SQL}, p AS ({_params_sql()})
 SELECT feature, rnd(median) AS median, rnd(mean) AS mean, rnd(CASE WHEN sd > 0 THEN sd ELSE 1.0 END) AS scale FROM p""")
 def q_params(spark, sf_dir):
-    fr = rs.regression_frame(spark, sf_dir)
-    train, _, _ = splits.chronological_split(fr, "model_time", 0.8, ["l_orderkey", "l_linenumber"])
+    train = _prepared(spark, sf_dir)["train"]
     m = fit_preprocessing(train, NUM, [])
     rows = [(c, m.medians[c], m.means[c], m.scales[c]) for c in NUM]
     return rounded(spark.createDataFrame(rows, "feature string, median double, mean double, scale double"))
@@ -90,8 +93,7 @@ def _design_sql() -> str:
 @register("m4_m6_design_matrix", f"""WITH {RF_SQL}
 SELECT l_orderkey, l_linenumber, {_design_sql()} FROM tr""")
 def q_design(spark, sf_dir):
-    fr = rs.regression_frame(spark, sf_dir)
-    train, _, _ = splits.chronological_split(fr, "model_time", 0.8, ["l_orderkey", "l_linenumber"])
+    train = _prepared(spark, sf_dir)["train"]
     m = fit_preprocessing(train, NUM, ["l_returnflag"], drop_first=True)
     return rounded(m.transform(train, keep=["l_orderkey", "l_linenumber"]))
 
@@ -101,8 +103,7 @@ g AS ({" UNION ALL ".join(f"SELECT '{a}' AS feature_i, '{b}' AS feature_j, sum({
 SELECT feature_i, feature_j, rnd(value / 1000.0) AS value FROM g""")
 def q_gram(spark, sf_dir):
     from driftkit.operators.gram import gram_long
-    fr = rs.regression_frame(spark, sf_dir)
-    train, _, _ = splits.chronological_split(fr, "model_time", 0.8, ["l_orderkey", "l_linenumber"])
+    train = _prepared(spark, sf_dir)["train"]
     out = gram_long(train.na.drop(subset=NUM), NUM)
     return rounded(out.withColumn("value", F.col("value") / 1000.0))
 

@@ -157,3 +157,25 @@ def test_entry_smoke(spark):
     df = e.entry(spark)
     assert df.count() >= 0 and "fault_24h" in df.columns
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_exact_quantiles_match_numpy(spark):
+    from driftkit.operators.quantiles import exact_column_medians, exact_quantiles
+    from driftkit.operators.preprocess import fit_preprocessing
+
+    rng = np.random.default_rng(8)
+    vals = np.round(rng.normal(size=(3, 101)), 1)
+    data = [(g, float(v)) for g in range(3) for v in vals[g]] + [(0, None)]
+    df = spark.createDataFrame(data, "g int, v double").repartition(4)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {r.g: r for r in exact_quantiles(df, "v", probs, ["g"]).collect()}
+    for g in range(3):
+        want = np.quantile(vals[g], probs)
+        assert got[g].n == 101
+        assert [got[g][f"q{i}"] for i in range(len(probs))] == pytest.approx(list(want), abs=1e-12)
+    wide = spark.createDataFrame([tuple(float(x) for x in vals[:, i]) for i in range(101)], "a double, b double, c double")
+    med = exact_column_medians(wide, ["a", "b", "c"])
+    assert [med["a"], med["b"], med["c"]] == pytest.approx(list(np.median(vals, axis=1)))
+    big = fit_preprocessing(wide, ["a", "b"], [], exact_limit=10)
+    small = fit_preprocessing(wide, ["a", "b"], [])
+    assert big.medians == pytest.approx(small.medians) and big.scales == pytest.approx(small.scales)
