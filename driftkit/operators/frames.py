@@ -116,14 +116,17 @@ def blocked_lag(
     staged = staged.withColumn(BLOCK, F.floor(F.col(T_US) / F.lit(block_us)))
     keys = list(partition_cols) + [BLOCK]
     w = Window.partitionBy(*keys).orderBy(*order_cols)
+    # one window pass: in-block lag, first-row and last-row flags
     inner = staged.select(
         *df.columns, BLOCK,
         (F.row_number().over(w) == 1).alias("_first"),
+        F.lead(F.lit(1), 1).over(w).isNull().alias("_last"),
         *[F.lag(c, 1).over(w).alias("_lag_" + c) for c in value_cols],
     )
-    tail_struct = F.struct(*[F.col(c) for c in order_cols], *[F.col(c).alias("_v_" + c) for c in value_cols])
-    tails = staged.groupBy(*keys).agg(F.max(tail_struct).alias("_tail"))
-    wb = Window.partitionBy(*partition_cols).orderBy(BLOCK)
+    # the block tails come from the same windowed frame (its exchange is reused),
+    # one row per block; the previous non-empty block's tail follows by lag
+    tails = inner.filter(F.col("_last")).select(*keys, F.struct(*[F.col(c).alias("_v_" + c) for c in value_cols]).alias("_tail"))
+    wb = Window.partitionBy(*partition_cols).orderBy(BLOCK) if partition_cols else Window.orderBy(BLOCK)
     prev = tails.select(*keys, F.lag("_tail", 1).over(wb).alias("_prev"))
     joined = inner.join(prev, on=keys, how="left")
     lagged = [

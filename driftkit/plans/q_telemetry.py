@@ -239,7 +239,7 @@ _NODE_ROUND = list(NODE_PROPS) + ["calibration_lag_hours"] + _env_cols() + [f"{c
 @register("j1_w2_node_snapshot", f"""{_node_sql()}
 SELECT * REPLACE ({_round_all(_NODE_ROUND)}) FROM lo""")
 def q_node_snapshot(spark, sf_dir):
-    cfg = node_cfg(max_broadcast_rows=1_000_000)
+    cfg = node_cfg()  # env join: AQE broadcasts from runtime sizes, no extra counting job
     feed = readings(spark, sf_dir, hourly=True)
     env = telemetry.environment_features(feed, cfg)
     return rounded(telemetry.node_snapshot(feed, env, cfg))

@@ -116,5 +116,43 @@ def run(df: DataFrame, cfg: FeedConfig, edge_feed: DataFrame | None = None) -> d
     """Lazy outputs of the whole preprocessing flow (pruning and writes are separate actions)."""
     env = environment_features(df, cfg) if cfg.environment_columns else None
     node = node_snapshot(df, env, cfg)
-    edge = edge_snapshot(edge_feed if edge_feed is not None else df, env, cfg)
+    if edge_feed is None:
+        edge = edge_snapshot(df, env, cfg)
+    else:  # a separate edge feed carries its own environment readings
+        edge_env = environment_features(edge_feed, cfg) if cfg.environment_columns else None
+        edge = edge_snapshot(edge_feed, edge_env, cfg)
     return {"environment": env, "qubit_snapshot": node, "edge_snapshot": edge, "fault_prediction": label_table(node, cfg)}
+
+
+def run_and_write(df: DataFrame, cfg: FeedConfig, out_dir: str, edge_feed: DataFrame | None = None,
+                  formats=("parquet", "csv"), raw: DataFrame | None = None) -> dict:
+    """SURVEY 3.1 end to end: build, prune (P8, one action per table), summarise
+    (A12 + A5 as aggregates), fan out writes (S8) and the JSON report (S7)."""
+    from driftkit.operators import profile, prune
+    from driftkit.operators.ingest import parse_report
+    from driftkit.sources import sinks
+
+    outs = run(df, cfg, edge_feed)
+    props = [sanitize_name(p) for p in cfg.properties]
+    protect = {
+        "qubit_snapshot": set(props) | {"calibration_lag_hours"},
+        "edge_snapshot": {"cz_error", "calibration_lag_hours"},
+        "fault_prediction": set(props) | {f"fault_{cfg.horizon}"},
+    }
+    report: dict = {}
+    if raw is not None:
+        report.update(parse_report(raw).first().asDict())
+    final = {}
+    for name in ("qubit_snapshot", "edge_snapshot", "fault_prediction"):
+        table, stats = prune.drop_low_information_columns(outs[name], protect[name])
+        report[f"{name}_dropped_all_missing_columns"] = stats["all_missing"]
+        report[f"{name}_dropped_constant_columns"] = stats["constant"]
+        shape = profile.shape(table).first()
+        report[f"{name}_shape"] = [shape["rows"], shape["cols"]]
+        report[f"{name}_missingness"] = {r["column"]: r["missing_rate"] for r in profile.missing_rates(table).collect()}
+        final[name] = table
+    paths = sinks.write_outputs(final, out_dir, formats)
+    report["outputs"] = paths
+    spark = df.sparkSession
+    paths["report"] = sinks.write_json_report(spark, report, f"{out_dir.rstrip('/')}/report")
+    return {"tables": final, "report": report, "paths": paths}

@@ -81,3 +81,21 @@ def test_constant_feature_scaled_to_zero(spark):
     out = m.transform(df).collect()
     assert all(r.c == 0.0 for r in out)
     assert out[1].x == pytest.approx(0.0, abs=1e-12)
+
+
+def test_assert_unique_keys(spark):
+    from driftkit.operators.reshape import assert_unique_keys
+
+    ok = spark.createDataFrame([(1, 1), (1, 2)], "a int, b int")
+    assert_unique_keys(ok, ["a", "b"])
+    with pytest.raises(ValueError):
+        assert_unique_keys(ok, ["a"])
+
+
+def test_single_class_fold_gives_constant_scores(spark):
+    from driftkit.operators import classify
+
+    df = spark.createDataFrame([(float(i), 0) for i in range(20)], "x double, y int")
+    fc = classify.fit_classifier(df, ["x"], [], "y", classify.LOGISTIC)
+    assert fc.constant == 0.0
+    assert {r.y_score for r in fc.score(df, ["y"]).collect()} == {0.0}

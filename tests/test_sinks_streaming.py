@@ -49,3 +49,18 @@ def test_streaming_ingest_and_watermarked_pivot(spark):
     snap = spark.read.parquet(f"{d}/snap").orderBy("model_time").collect()
     # rows older than the final watermark (max time - 1 h) are final: medians of (h, h + 2)
     assert len(snap) >= 10 and all(r.T1 == float(i) + 1.0 for i, r in enumerate(snap))
+
+
+def test_run_and_write_preprocessing(spark):
+    from driftkit.plans import telemetry
+    from driftkit.plans.q_telemetry import node_cfg
+    from driftkit.sources.tables import edge_feed, readings
+
+    d = tempfile.mkdtemp(prefix="driftkit-run-")
+    sf = "/root/testdata/sf0.001"
+    res = telemetry.run_and_write(readings(spark, sf, hourly=True), node_cfg(), d, edge_feed=edge_feed(spark, sf),
+                                  formats=("parquet",), raw=readings(spark, sf))
+    rep = res["report"]
+    assert rep["qubit_snapshot_shape"][0] > 0 and "fault_prediction_parquet" in res["paths"]
+    assert spark.read.parquet(res["paths"]["fault_prediction_parquet"]).count() == rep["fault_prediction_shape"][0]
+    assert rep["value_parse_failures"] == 0
