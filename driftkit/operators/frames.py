@@ -81,16 +81,21 @@ def apply_bounded_frames(
     """
     if block_us is None:
         block_us = default_block_us(lookback_us, lookahead_us)
-    staged = with_micros(df, time_col)
     blocked = block_us > 0
+    t = epoch_micros(time_col)
     if blocked:
-        staged = replicate_into_blocks(staged, block_us, lookback_us, lookahead_us)
+        own = F.floor(t / F.lit(block_us))
+        lo = F.floor((t - F.lit(lookahead_us)) / F.lit(block_us))
+        hi = F.floor((t + F.lit(lookback_us)) / F.lit(block_us))
+        spread = F.when(lo == hi, F.array(own)).otherwise(F.sequence(lo, hi))
+        staged = df.select("*", t.alias(T_US), F.explode(spread).alias(BLOCK)).withColumn(HOME, F.col(BLOCK) == F.floor(F.col(T_US) / F.lit(block_us)))
+    else:
+        staged = df.select("*", t.alias(T_US))
     w = blocked_window(partition_cols, blocked)
     new_cols = build(w, staged)
-    out = staged.select(*[F.col(c) for c in df.columns], *new_cols, *( [F.col(HOME)] if blocked else []))
     if blocked:
-        out = out.filter(F.col(HOME)).drop(HOME)
-    return out
+        return staged.select(*[F.col(c) for c in df.columns], *new_cols, F.col(HOME)).filter(F.col(HOME)).drop(HOME)
+    return staged.select(*[F.col(c) for c in df.columns], *new_cols)
 
 
 def blocked_lag(

@@ -57,18 +57,19 @@ def readings(spark: SparkSession, sf_dir: str, hourly: bool = False) -> DataFram
     ev = read_table(spark, sf_dir, "events")
     k = _k_minutes()
     observed = F.col("ts")
-    out = ev.select(
+    calibrated = observed - F.make_dt_interval(F.lit(0), F.lit(0), k, F.lit(0))
+    return ev.select(
         (F.col("user_id") % 3).alias("backend"),
         F.col("user_id").alias("qubit"),
         F.col("event_type").alias("property"),
         nan_to_null("value").alias("value"),
         observed.alias("observed_time"),
-        (observed - F.make_dt_interval(F.lit(0), F.lit(0), k, F.lit(0))).alias("calibrated_time"),
+        calibrated.alias("calibrated_time"),
         (truncate_hour(observed) if hourly else observed).alias("model_time"),
         F.when(k % 7 != 0, k.cast("double")).alias("env_a"),
         (F.col("value") / 10.0).alias("env_b"),
+        hours_between(observed, calibrated).alias("calibration_lag_hours"),
     )
-    return out.withColumn("calibration_lag_hours", hours_between("observed_time", "calibrated_time"))
 
 
 def edge_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
