@@ -66,19 +66,24 @@ def last_observation_features(
         return df
 
     def build(w, staged):
-        fw = w.rangeBetween(-cap, 0)
-        cols = []
-        for c in value_cols:
-            seen_at = F.last(F.when(F.col(c).isNotNull(), F.col(T_US)), ignorenulls=True).over(fw)
-            cols.append(F.last(c, ignorenulls=True).over(fw).alias(c + "_last_obs"))
-            cols.append(((F.col(T_US) - seen_at) / F.lit(float(frames.HOUR_US))).alias(c + "_last_obs_age_hours"))
-            if include_missing_indicators:
-                cols.append(F.col(c).isNull().cast("int").alias(c + "_was_missing"))
-        return cols
+        return last_observation_columns(w, value_cols, cap, include_missing_indicators)
 
     return frames.apply_bounded_frames(df, group_cols, time_col, build, lookback_us=cap, lookahead_us=0, block_us=block_us)
 
 
+def last_observation_columns(w, value_cols: Sequence[str], cap: int, include_missing_indicators: bool = True) -> list:
+    """W2 column expressions over a window ordered by microsecond time."""
+    fw = w.rangeBetween(-cap, 0)
+    cols = []
+    for c in value_cols:
+        seen_at = F.last(F.when(F.col(c).isNotNull(), F.col(T_US)), ignorenulls=True).over(fw)
+        cols.append(F.last(c, ignorenulls=True).over(fw).alias(c + "_last_obs"))
+        cols.append(((F.col(T_US) - seen_at) / F.lit(float(frames.HOUR_US))).alias(c + "_last_obs_age_hours"))
+        if include_missing_indicators:
+            cols.append(F.col(c).isNull().cast("int").alias(c + "_was_missing"))
+    return cols
+
+
 def previous_value(
     df: DataFrame,
     group_cols: Sequence[str],

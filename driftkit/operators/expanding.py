@@ -110,7 +110,8 @@ def expanding_quantile_blocked(
             before += b
 
     # 2. value-sorted, range-partitioned copy; counts per (partition, group, block)
-    ranged = vals.repartitionByRange(n_part, GK, "_v").sortWithinPartitions(GK, "_v").withColumn(PID, F.spark_partition_id())
+    ranged = (vals.repartitionByRange(n_part, GK, "_v") if partitions else vals.repartitionByRange(GK, "_v"))
+    ranged = ranged.sortWithinPartitions(GK, "_v").withColumn(PID, F.spark_partition_id())
     ranged = cut_lineage(ranged)
     pcount = defaultdict(lambda: defaultdict(int))  # (gk) -> {(pid, blk): count}
     for r in ranged.groupBy(PID, GK, BLK).count().collect():

@@ -93,16 +93,21 @@ def future_horizon(
     h = parse_duration_us(horizon)
 
     def build(w, staged):
-        fw = w.rangeBetween(1, h)
-        cols = []
-        for c in value_cols:
-            cols.append(F.max(c).over(fw).alias(f"{c}_future_max_{tag}"))
-            cols.append(F.count(c).over(fw).cast("int").alias(f"{c}_future_obs_count_{tag}"))
-        return cols
+        return future_columns(w, value_cols, h, tag)
 
     return frames.apply_bounded_frames(df, entity_cols, time_col, build, lookback_us=0, lookahead_us=h, block_us=block_us)
 
 
+def future_columns(w, value_cols: Sequence[str], h: int, tag: str) -> list:
+    """W8 column expressions over a window ordered by microsecond time."""
+    fw = w.rangeBetween(1, h)
+    cols = []
+    for c in value_cols:
+        cols.append(F.max(c).over(fw).alias(f"{c}_future_max_{tag}"))
+        cols.append(F.count(c).over(fw).cast("int").alias(f"{c}_future_obs_count_{tag}"))
+    return cols
+
+
 def fault_label(future_max: str, threshold: str):
     """W9 as a column."""
     m, t = F.col(future_max), F.col(threshold)
@@ -132,10 +137,12 @@ def add_future_fault_labels(
     drop_unlabelled: bool = True,
     threshold_method: str = "blocked",
     block_us: int | None = None,
+    future_ready: bool = False,
 ) -> DataFrame:
     """W7 -> W8 -> W9 -> W11 -> P16: label table from a wide snapshot.
 
     Ties in time inside a group are ordered by the entity columns.
+    ``future_ready``: the W8 columns are already present (fused with W2).
     ``threshold_method``: "blocked" (exact, time blocks, any group size),
     "pandas" (exact, one task per group), "sql" (exact window, quadratic).
     """
@@ -161,7 +168,8 @@ def add_future_fault_labels(
             thr = df
             for c in targets:
                 thr = expanding_quantile_blocked(thr, group_cols, order, c, q, min_periods, block_us=blk)
-    fut = future_horizon(thr, entity_cols, time_col, targets, horizon, tag=tag, block_us=block_us)
+    # W8 columns may come precomputed from the same blocked pass as W2
+    fut = thr if future_ready else future_horizon(thr, entity_cols, time_col, targets, horizon, tag=tag, block_us=block_us)
     lab = combine_labels(fut, targets, tag=tag)
     if drop_unlabelled:
         lab = lab.filter(F.col(f"fault_{tag}").isNotNull())

@@ -30,10 +30,11 @@ def prefix_sums(
 ) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` in ``order`` within ``group_cols``.
     ``order`` must be unique within a group (aggregate ties first)."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     gcols = [F.col(g) for g in group_cols]
-    ranged = df.repartitionByRange(n, *gcols, *order).withColumn(PID, F.spark_partition_id())
+    # without an explicit count AQE may coalesce neighbouring ranges; merged
+    # ranges stay contiguous, so partition ids still follow the global order
+    ranged = df.repartitionByRange(partitions, *gcols, *order) if partitions else df.repartitionByRange(*gcols, *order)
+    ranged = ranged.withColumn(PID, F.spark_partition_id())
     if checkpoint:
         ranged = cut_lineage(ranged)
     local_w = Window.partitionBy(PID, *group_cols).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

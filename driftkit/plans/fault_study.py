@@ -28,7 +28,7 @@ def label_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = node_cfg()
     feed = readings(spark, sf_dir, hourly=True)
     env = telemetry.environment_features(feed, cfg)
-    return telemetry.label_table(telemetry.node_snapshot(feed, env, cfg), cfg)
+    return telemetry.labelled_snapshot(feed, env, cfg)
 
 
 def name_pruned(lab: DataFrame, instant: Sequence[str] = TARGETS, env_vars: Sequence[str] = ENV_VARS) -> DataFrame:

@@ -58,7 +58,7 @@ def q_class_balance(spark, sf_dir):
     cfg = node_cfg()
     feed = readings(spark, sf_dir, hourly=True)
     env = telemetry.environment_features(feed, cfg)
-    lab = telemetry.label_table(telemetry.node_snapshot(feed, env, cfg), cfg)
+    lab = telemetry.labelled_snapshot(feed, env, cfg)
     return rounded(profile.class_balance(lab, "fault_24h", "model_time"))
 
 

@@ -125,8 +125,7 @@ def flagship(spark, sf_dir, threshold_method: str = "blocked"):
     threshold per group -> 24 h future max/count -> labels -> drop unlabelled."""
     cfg = node_cfg(environment_columns=(), threshold_method=threshold_method)
     feed = readings(spark, sf_dir, hourly=True)
-    node = telemetry.node_snapshot(feed, None, cfg)
-    return rounded(telemetry.label_table(node, cfg))
+    return rounded(telemetry.labelled_snapshot(feed, None, cfg))
 
 
 register("flagship_fault_labels", _flagship_sql())(flagship)
@@ -253,8 +252,7 @@ def q_label_table(spark, sf_dir):
     cfg = node_cfg()
     feed = readings(spark, sf_dir, hourly=True)
     env = telemetry.environment_features(feed, cfg)
-    node = telemetry.node_snapshot(feed, env, cfg)
-    return rounded(telemetry.label_table(node, cfg))
+    return rounded(telemetry.labelled_snapshot(feed, env, cfg))
 
 
 @register("w7_expanding_threshold", f"""WITH r AS ({readings_sql(True)}), wide AS ({_pivot_sql('r')})

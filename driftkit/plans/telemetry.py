@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftkit.functions.names import sanitize_name
-from driftkit.operators import causal, labels, reshape
+from driftkit.operators import causal, frames, labels, reshape
+from driftkit.operators.frames import parse_duration_us
 from driftkit.operators.ingest import numeric_columns
 
 
@@ -70,8 +71,9 @@ def environment_features(df: DataFrame, cfg: FeedConfig) -> DataFrame:
     return env
 
 
-def node_snapshot(df: DataFrame, env: DataFrame | None, cfg: FeedConfig) -> DataFrame:
-    """P4 -> A2 (+A3, P7) -> J1 -> W2."""
+def node_snapshot(df: DataFrame, env: DataFrame | None, cfg: FeedConfig, with_future: bool = False) -> DataFrame:
+    """P4 -> A2 (+A3, P7) -> J1 -> W2 (and, with ``with_future``, W8 in the SAME
+    time-blocked window pass: one shuffle of the snapshot for both frames)."""
     g, e, t = cfg.group_col, cfg.entity_col, cfg.time_col
     rows = reshape.node_rows(df, cfg.properties, e, cfg.property_col, cfg.edge_pattern)
     extra = ["calibration_lag_hours"] if "calibration_lag_hours" in df.columns else []
@@ -79,9 +81,16 @@ def node_snapshot(df: DataFrame, env: DataFrame | None, cfg: FeedConfig) -> Data
     if env is not None:
         wide = reshape.join_many_to_one(wide, env, [g, t], "left", cfg.max_broadcast_rows)
     hist = [sanitize_name(c) for c in cfg.history_columns if sanitize_name(c) in wide.columns]
-    return causal.last_observation_features(
-        wide, [g, e], t, hist, cfg.history_max_age, cfg.include_missing_indicators, block_us=cfg.block_us
-    )
+    cap = parse_duration_us(cfg.history_max_age)
+    targets = [sanitize_name(c) for c in cfg.targets if sanitize_name(c) in wide.columns] if with_future else []
+    h = parse_duration_us(cfg.horizon) if targets else 0
+    tag = cfg.horizon.lower().replace(" ", "")
+
+    def build(w, staged):
+        cols = causal.last_observation_columns(w, hist, cap, cfg.include_missing_indicators)
+        return cols + (labels.future_columns(w, targets, h, tag) if targets else [])
+
+    return frames.apply_bounded_frames(wide, [g, e], t, build, lookback_us=cap, lookahead_us=h, block_us=cfg.block_us)
 
 
 def edge_snapshot(df: DataFrame, env: DataFrame | None, cfg: FeedConfig) -> DataFrame:
@@ -95,8 +104,8 @@ def edge_snapshot(df: DataFrame, env: DataFrame | None, cfg: FeedConfig) -> Data
     return edges
 
 
-def label_table(node: DataFrame, cfg: FeedConfig) -> DataFrame:
-    """W7 -> W8 -> W9 -> W11 -> P16."""
+def label_table(node: DataFrame, cfg: FeedConfig, future_ready: bool = False) -> DataFrame:
+    """W7 -> W8 -> W9 -> W11 -> P16 (``future_ready``: W8 came with the snapshot)."""
     return labels.add_future_fault_labels(
         node,
         [sanitize_name(c) for c in cfg.targets],
@@ -109,19 +118,27 @@ def label_table(node: DataFrame, cfg: FeedConfig) -> DataFrame:
         drop_unlabelled=cfg.drop_rows_without_future_label,
         threshold_method=cfg.threshold_method,
         block_us=cfg.block_us,
+        future_ready=future_ready,
     )
 
 
+def labelled_snapshot(df: DataFrame, env: DataFrame | None, cfg: FeedConfig) -> DataFrame:
+    """Snapshot with W2 + W8 fused, then W7/W9/W11/P16."""
+    return label_table(node_snapshot(df, env, cfg, with_future=True), cfg, future_ready=True)
+
+
 def run(df: DataFrame, cfg: FeedConfig, edge_feed: DataFrame | None = None) -> dict[str, DataFrame]:
     """Lazy outputs of the whole preprocessing flow (pruning and writes are separate actions)."""
     env = environment_features(df, cfg) if cfg.environment_columns else None
-    node = node_snapshot(df, env, cfg)
+    fused = node_snapshot(df, env, cfg, with_future=True)
+    node = fused.select(*[c for c in fused.columns if "_future_" not in c])
     if edge_feed is None:
         edge = edge_snapshot(df, env, cfg)
     else:  # a separate edge feed carries its own environment readings
         edge_env = environment_features(edge_feed, cfg) if cfg.environment_columns else None
         edge = edge_snapshot(edge_feed, edge_env, cfg)
-    return {"environment": env, "qubit_snapshot": node, "edge_snapshot": edge, "fault_prediction": label_table(node, cfg)}
+    return {"environment": env, "qubit_snapshot": node, "edge_snapshot": edge,
+            "fault_prediction": label_table(fused, cfg, future_ready=True)}
 
 
 def run_and_write(df: DataFrame, cfg: FeedConfig, out_dir: str, edge_feed: DataFrame | None = None,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -26,6 +27,38 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    prepare_session(spark)
+    return spark
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``driftkit`` importable in Python workers (pandas UDFs, mapInPandas):
+    zip the package once per application and ``addPyFile`` it - Spark serves the
+    file to every executor."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="driftkit-py-"), "driftkit.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(app)
+
+
+def prepare_session(spark: SparkSession) -> SparkSession:
+    """Everything a query needs from a session it did not build: shipped code and
+    the shared checkpoint folder."""
+    ship_package(spark)
     ensure_checkpoint_dir(spark)
     return spark
 
