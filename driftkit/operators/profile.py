@@ -125,15 +125,16 @@ def histogram(df: DataFrame, col: str, bins: int = 80, lo: float | None = None,
                     (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("bin_hi"), "count"))
 
 
-def binned_profile(df: DataFrame, x: str, y: str, bins: int = 20, accuracy: int = 10000) -> DataFrame:
-    """Y profile over ``bins`` x-centres placed at evenly spaced quantiles; each x
-    goes to the nearest centre.  Mean, std, count and a normal 95 % interval of y per
-    bin, plus the overall least-squares line (regr_slope / regr_intercept).
+def binned_profile(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
+    """Y profile over ``bins`` x-centres placed at evenly spaced quantiles
+    k / (bins + 1); each x goes to the nearest centre (ties to the lower one).
+    Mean, std, count and a normal 95 % interval of y per bin, plus the overall
+    least-squares line (regr_slope / regr_intercept).
 
-    Centres come from ``percentile_approx`` (bounded memory at any size)."""
+    Centres are exact quantiles from the distributed pipeline (bounded memory)."""
     probs = [(k + 1) / (bins + 1) for k in range(bins)]
-    centres = df.agg(F.percentile_approx(F.col(x), probs, accuracy).alias("c")).first()["c"]
-    centres = sorted(set(float(c) for c in centres))
+    q = exact_quantiles(df, x, probs).first()
+    centres = sorted(set(float(q[f"q{i}"]) for i in range(bins)))
     mids = [(a + b) / 2 for a, b in zip(centres, centres[1:])]
     xc = F.col(x)
     idx = F.lit(0)

@@ -20,15 +20,17 @@ from driftkit.operators.scan import prefix_sums
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], group_cols: Sequence[str] = (),
-                    names: Sequence[str] | None = None) -> DataFrame:
-    """One row per group: ``n`` and one column per probability (NULL when n = 0)."""
+                    names: Sequence[str] | None = None, weight_col: str | None = None) -> DataFrame:
+    """One row per group: ``n`` and one column per probability (NULL when n = 0).
+    ``weight_col``: integer multiplicity per row (pre-counted values)."""
     names = list(names or [f"q{i}" for i in range(len(probs))])
     const = not group_cols
     groups = ["_g"] if const else list(group_cols)
     x = F.col(value_col).cast("double")
-    base = df.select(*([F.lit(0).alias("_g")] if const else [F.col(g) for g in groups]), x.alias("_x"))
+    w = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
+    base = df.select(*([F.lit(0).alias("_g")] if const else [F.col(g) for g in groups]), x.alias("_x"), w.alias("_c"))
     base = base.filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    vc = base.groupBy(*groups, "_x").agg(F.count(F.lit(1)).alias("_w"))
+    vc = base.groupBy(*groups, "_x").agg(F.sum("_c").alias("_w"))
     cum = prefix_sums(vc, [F.col("_x")], ["_w"], groups)
     tot = vc.groupBy(*groups).agg(F.sum("_w").alias("_n"))
     j = cum.join(tot, groups)

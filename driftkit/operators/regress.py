@@ -79,13 +79,33 @@ class LinearDesign:
         return {r["_k"]: to_mat(r) for r in df.groupBy(key.alias("_k")).agg(*aggs).collect()}
 
     # parameters -------------------------------------------------------------
-    def fold_params(self, df: DataFrame, masks: dict) -> dict:
-        """Medians, modes and present categories for each named row subset, in ONE aggregation.
-        ``masks``: {name: boolean Column selecting that subset's training rows}."""
+    def fold_params(self, df: DataFrame, masks: dict, block_col: str | None = None, exact_limit: int = 5_000_000) -> dict:
+        """Medians, modes and present categories for each named row subset.
+        ``masks``: {name: boolean Column selecting that subset's training rows}.
+
+        Small inputs: ONE aggregation with conditional medians.  Above
+        ``exact_limit`` rows with ``block_col`` (expanding folds: fold f trains
+        on blocks < f), medians come from value counts per (feature, block)
+        replicated to the folds that train on them and the distributed exact
+        quantiles - no whole-column buffer."""
+        big = {}
+        if block_col is not None and self.numeric and df.count() > exact_limit:
+            from driftkit.operators.quantiles import exact_quantiles
+
+            k = max(int(n) for n in masks if isinstance(n, int))
+            long = df.select(F.col(block_col).alias("_b"), F.explode(F.array(*[
+                F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in self.numeric])).alias("s"))
+            vc = long.groupBy("_b", "s.feature", "s.v").agg(F.count(F.lit(1)).alias("_n"))
+            per_fold = vc.withColumn("fold", F.explode(F.sequence(F.col("_b") + 1, F.lit(k))))
+            for r in exact_quantiles(per_fold, "v", [0.5], ["fold", "feature"], ["median"], weight_col="_n").collect():
+                big[(r["fold"], r["feature"])] = r["median"]
         aggs = []
         for f, (name, m) in enumerate(masks.items()):
             for i, c in enumerate(self.numeric):
-                aggs.append(F.median(F.when(m, F.col(c).cast("double"))).alias(f"m{f}_{i}"))
+                if (name, c) in big or (big and isinstance(name, int)):
+                    aggs.append(F.lit(big.get((name, c))).cast("double").alias(f"m{f}_{i}"))
+                else:
+                    aggs.append(F.median(F.when(m, F.col(c).cast("double"))).alias(f"m{f}_{i}"))
             for i, v in enumerate(self.categorical):
                 aggs.append(F.mode(F.when(m, F.col(v)), True).alias(f"o{f}_{i}"))
                 aggs.append(F.array_sort(F.collect_set(F.when(m, F.col(v)))).alias(f"c{f}_{i}"))

@@ -102,7 +102,21 @@ def q_hist(spark, sf_dir):
     return rounded(profile.histogram(_y(spark, sf_dir), "y", 80))
 
 
-@register("a18_binned_profile")
+def _binned_sql() -> str:
+    probs = ", ".join(repr((k + 1) / 21) for k in range(20))
+    return f"""WITH yv AS ({_Y_SQL}),
+c AS (SELECT list_sort(list_distinct(quantile_cont(l_quantity, [{probs}]))) AS cs FROM yv),
+m AS (SELECT cs, list_transform(range(1, len(cs)), lambda i: (cs[i] + cs[i + 1]) / 2) AS mids FROM c),
+f AS (SELECT regr_slope(y, l_quantity) AS slope, regr_intercept(y, l_quantity) AS intercept FROM yv),
+b AS (SELECT y, CAST(len(list_filter(mids, lambda md: l_quantity > md)) AS INTEGER) AS bin, cs FROM yv, m
+      WHERE l_quantity IS NOT NULL AND y IS NOT NULL)
+SELECT bin, rnd(avg(y)) AS y_mean, rnd(stddev_samp(y)) AS y_std, count(*) AS n, rnd(any_value(cs)[bin + 1]) AS x_centre,
+       rnd(1.959963984540054 * stddev_samp(y) / sqrt(count(*))) AS ci_half,
+       rnd(any_value(f.slope)) AS fit_slope, rnd(any_value(f.intercept)) AS fit_intercept
+FROM b, f GROUP BY bin"""
+
+
+@register("a18_binned_profile", _binned_sql())
 def q_binned(spark, sf_dir):
     return rounded(profile.binned_profile(_y(spark, sf_dir), "l_quantity", "y", 20))
 

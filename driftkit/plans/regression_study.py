@@ -158,7 +158,7 @@ def regularized_cv(train: DataFrame, numeric, cfg: StudyConfig, kind: str, grid)
     size = len(d.u_names())
     gsum = lambda blocks: sum((gus.get(b, np.zeros((size, size))) for b in blocks), np.zeros((size, size)))
     masks = {f: F.col("_blk") < f for f in range(1, k + 1)}
-    params = d.fold_params(idx, masks)
+    params = d.fold_params(idx, masks, block_col="_blk")
     solver = regress.lasso if kind == "lasso" else regress.ridge
     rows = []
     for f in range(1, k + 1):

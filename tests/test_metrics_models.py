@@ -179,3 +179,19 @@ def test_exact_quantiles_match_numpy(spark):
     big = fit_preprocessing(wide, ["a", "b"], [], exact_limit=10)
     small = fit_preprocessing(wide, ["a", "b"], [])
     assert big.medians == pytest.approx(small.medians) and big.scales == pytest.approx(small.scales)
+
+
+def test_fold_params_large_path_matches_small(spark):
+    from driftkit.operators.regress import LinearDesign
+
+    rng = np.random.default_rng(12)
+    data = [(int(b), float(np.round(v, 1)) if rng.random() > 0.1 else None, str(rng.choice(["A", "B"])), float(rng.normal()))
+            for b, v in zip(rng.integers(0, 4, 300), rng.normal(size=300))]
+    df = spark.createDataFrame(data, "_blk int, x double, c string, y double")
+    d = LinearDesign(["x"], ["c"], "y", {"c": ["A", "B"]})
+    masks = {f: F.col("_blk") < f for f in range(1, 4)}
+    small = d.fold_params(df, masks)
+    large = d.fold_params(df, masks, block_col="_blk", exact_limit=10)
+    for f in range(1, 4):
+        assert large[f].medians["x"] == pytest.approx(small[f].medians["x"])
+        assert large[f].modes == small[f].modes and large[f].categories == small[f].categories
