@@ -163,3 +163,40 @@ def q_kmeans(spark, sf_dir):
 @register("a25_label_contingency", """SELECT label, count(*) AS count FROM embeddings GROUP BY label""")
 def q_label_counts(spark, sf_dir):
     return vectors(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("count"))
+
+
+_FOLD_SQL = f"""{_node_sql()},
+{_label_sql('lo')},
+f AS (SELECT *, row_number() OVER (ORDER BY model_time, CAST(backend AS VARCHAR), qubit) - 1 AS row_index,
+             count(*) OVER () AS n FROM lab WHERE fault_24h IS NOT NULL),
+b AS (SELECT *, n // 4 AS t, n - 3 * (n // 4) AS first FROM f)"""
+
+
+@register("m20_class_weights", f"""{_FOLD_SQL},
+folds(fold) AS (VALUES (1), (2), (3)),
+tr AS (SELECT fold, count(*) AS n, sum(fault_24h) AS p FROM b, folds WHERE row_index < first + (fold - 1) * t GROUP BY fold)
+SELECT fold, n AS train_size, CAST(p AS BIGINT) AS positives, rnd(n / (2.0 * p)) AS weight_positive,
+       rnd(n / (2.0 * (n - p))) AS weight_negative, rnd((n - p) / p) AS scale_pos_weight FROM tr""")
+def q_class_weights(spark, sf_dir):
+    idx, n, _, _ = frame(spark, sf_dir)
+    rows = []
+    for fb in splits.expanding_folds(n, 3):
+        train = idx.filter(F.col("row_index") <= fb["train_end"])
+        w, n_tr, p = classify.class_weight_column(train, "fault_24h", "balanced")
+        rows.append((fb["fold"], int(n_tr), int(p), n_tr / (2 * p), n_tr / (2 * (n_tr - p)), (n_tr - p) / p))
+    return rounded(spark.createDataFrame(rows, "fold int, train_size long, positives long, weight_positive double, "
+                                               "weight_negative double, scale_pos_weight double"))
+
+
+_A22_FEATS = ["click_last_obs", "click_last_obs_age_hours", "env_a", "env_b", "calibration_lag_hours"]
+
+
+@register("a22_group_mean_difference", f"""{_node_sql()},
+{_label_sql('lo')},
+f AS (SELECT * FROM lab WHERE fault_24h IS NOT NULL),
+g AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, avg(CASE WHEN error_was_missing = 1 THEN CAST({c} AS DOUBLE) END) AS mean_flagged, avg(CASE WHEN error_was_missing = 0 THEN CAST({c} AS DOUBLE) END) AS mean_other FROM f" for c in _A22_FEATS + ["fault_24h"])})
+SELECT feature, rnd(mean_flagged) AS mean_flagged, rnd(mean_other) AS mean_other, rnd(abs(mean_flagged - mean_other)) AS abs_diff
+FROM g ORDER BY abs(mean_flagged - mean_other) DESC NULLS LAST, feature LIMIT 10""")
+def q_group_diff(spark, sf_dir):
+    lab = fs.label_table(spark, sf_dir)
+    return rounded(profile.group_mean_difference(lab, "error_was_missing", _A22_FEATS, label="fault_24h", top=10))
