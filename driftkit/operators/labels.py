@@ -32,7 +32,7 @@ def expanding_quantile_sql(
     suffix: str = "_threshold",
 ) -> DataFrame:
     """W7 as a window: ``percentile`` over ROWS UNBOUNDED PRECEDING.  Exact, but the
-    buffer is re-read per row (quadratic in the group size): reference form for
+    buffer is re-read per row (quadratic in the group size): definitional form for
     small data and the cross-check of :func:`expanding_quantile`."""
     w = Window.partitionBy(*group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     return df.select(

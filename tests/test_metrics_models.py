@@ -14,7 +14,7 @@ from driftkit.operators.scan import prefix_sums
 
 
 def brute_ap(y, s):
-    """Step-wise AP with tied scores grouped (sklearn definition)."""
+    """Step-wise AP with tied scores grouped (sum of recall steps times precision)."""
     P = sum(y)
     if P == 0:
         return 0.0
