@@ -123,21 +123,33 @@ def evaluate_temporally(
     n_splits: int = 3,
     threshold: float = 0.5,
     time_col: str | None = "model_time",
+    parallelism: int | None = None,
 ) -> dict:
     """Expanding-window folds; a failing fold is recorded (``error``), not fatal.
+    Folds are independent, so their fits run as concurrent Spark jobs
+    (``parallelism``, default one thread per fold).
     Returns fold metrics, out-of-fold predictions and the A23 summary."""
     spark = indexed.sparkSession
     keep = [IDX, label] + ([time_col] if time_col else [])
     preds, errors = [], {}
-    for fb in splits.expanding_folds(n, n_splits):
+
+    def one(fb):
         f = fb["fold"]
         train = indexed.filter(F.col(IDX) <= fb["train_end"])
         valid = indexed.filter((F.col(IDX) >= fb["valid_start"]) & (F.col(IDX) <= fb["valid_end"]))
         try:
             fc = fit_classifier(train, numeric, categorical, label, spec)
-            preds.append(fc.score(valid, keep).withColumn("fold", F.lit(f)))
+            return f, fc.score(valid, keep).withColumn("fold", F.lit(f)), None
         except Exception as exc:  # noqa: BLE001 - record and keep the other folds
-            errors[f] = f"{type(exc).__name__}: {exc}"
+            return f, None, f"{type(exc).__name__}: {exc}"
+
+    folds = splits.expanding_folds(n, n_splits)
+    with ThreadPoolExecutor(max_workers=max(1, parallelism or len(folds))) as pool:
+        for f, pred, err in sorted(pool.map(one, folds), key=lambda t: t[0]):
+            if err is None:
+                preds.append(pred)
+            else:
+                errors[f] = err
     sizes = splits.fold_summary(indexed, n, n_splits, label)
     if preds:
         oof = preds[0]

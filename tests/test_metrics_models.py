@@ -195,3 +195,32 @@ def test_fold_params_large_path_matches_small(spark):
     for f in range(1, 4):
         assert large[f].medians["x"] == pytest.approx(small[f].medians["x"])
         assert large[f].modes == small[f].modes and large[f].categories == small[f].categories
+
+
+def test_prefix_sums_with_adaptive_partitions(spark):
+    rnd = random.Random(4)
+    data = [(i, rnd.randrange(0, 3)) for i in range(2000)]
+    df = spark.createDataFrame(data, "k int, w long").repartition(9)
+    got = sorted((r.k, r.w_cum) for r in prefix_sums(df, [F.col("k")], ["w"]).collect())
+    c = 0
+    for (k, w), (k2, cum) in zip(sorted(data), got):
+        c += w
+        assert k == k2 and cum == c
+
+
+def test_temporal_evaluation_folds(spark):
+    from driftkit.operators import classify, splits
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=400)
+    y = (x + rng.normal(scale=0.8, size=400) > 0.8).astype(int)
+    df = spark.createDataFrame([(i, float(a), int(b)) for i, (a, b) in enumerate(zip(x, y))], "t long, x double, y int")
+    idx = splits.row_index(df, ["t"])
+    res = classify.evaluate_temporally(idx, 400, ["x"], [], "y", classify.LOGISTIC, 3, time_col=None)
+    fm = {r.fold: r for r in res["fold_metrics"].collect()}
+    assert sorted(fm) == [1, 2, 3] and all(fm[f].error == "" for f in fm)
+    assert [fm[f].valid_start_index for f in (1, 2, 3)] == [100, 200, 300] and fm[1].train_size == 100
+    assert all(fm[f].roc_auc > 0.7 for f in fm)
+    assert res["predictions"].count() == 300
+    s = res["summary"].first()
+    assert s.folds == 3 and s.failed_folds == 0
