@@ -132,8 +132,14 @@ def blocked_lag(
     # one row per block; the previous non-empty block's tail follows by lag
     tails = inner.filter(F.col("_last")).select(*keys, F.struct(*[F.col(c).alias("_v_" + c) for c in value_cols]).alias("_tail"))
     wb = Window.partitionBy(*partition_cols).orderBy(BLOCK) if partition_cols else Window.orderBy(BLOCK)
-    prev = tails.select(*keys, F.lag("_tail", 1).over(wb).alias("_prev"))
-    joined = inner.join(prev, on=keys, how="left")
+    prev = tails.select(*[F.col(k).alias("_pk_" + k) for k in keys], F.lag("_tail", 1).over(wb).alias("_prev"))
+    # null-safe keys: no IS NOT NULL is inferred into the tails branch, so both
+    # branches stay identical up to the window's exchange and AQE reuses it
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col("_pk_" + k))
+        cond = c if cond is None else cond & c
+    joined = inner.join(prev, on=cond, how="left")
     lagged = [
         F.when(F.col("_first"), F.col("_prev")["_v_" + c]).otherwise(F.col("_lag_" + c)).alias(c + suffix)
         for c in value_cols

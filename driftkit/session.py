@@ -23,6 +23,9 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # per-key medians (pivot, edges) use object-hash aggregation; the default
+        # falls back to sort-based after 128 keys per task
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000")
         .config("spark.driver.memory", os.environ.get("DRIFTKIT_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
