@@ -22,7 +22,6 @@ slice, whatever the size of a group.
 
 from __future__ import annotations
 
-import bisect
 import math
 from collections import defaultdict
 from collections.abc import Sequence
@@ -39,11 +38,44 @@ from driftkit.session import cut_lineage
 GK, BLK, PID = "_gk", "_blk", "_pid"
 
 
-def _interp(sorted_vals, pos: float):
-    lo = int(math.floor(pos))
-    hi = min(lo + 1, len(sorted_vals) - 1)
-    frac = pos - lo
-    return sorted_vals[lo] + (sorted_vals[hi] - sorted_vals[lo]) * frac if frac else sorted_vals[lo]
+def running_quantiles(slice_sorted: np.ndarray, c0: int, before: int, own: np.ndarray, q: float, min_periods: int) -> np.ndarray:
+    """Thresholds for one block's rows in time order.
+
+    The merged multiset (slice + own values so far) is split into a max-heap
+    ``lower`` holding local ranks 0..L and a min-heap ``upper`` with the rest,
+    where L = floor(q (seen - 1)) - c0 is the needed rank.  L never decreases,
+    so each insert is O(log n): push to the right heap, then move heap tops
+    until ``lower`` has L + 1 elements."""
+    import heapq
+
+    res = np.full(len(own), np.nan)
+    seen = before
+    merged_n = len(slice_sorted)
+    lower: list = []
+    upper: list = list(slice_sorted)  # already sorted -> valid min-heap
+    for i, v in enumerate(own):
+        if not np.isnan(v):
+            if lower and v <= -lower[0]:
+                heapq.heappush(lower, -v)
+            else:
+                heapq.heappush(upper, v)
+            seen += 1
+            merged_n += 1
+        if seen < min_periods or merged_n == 0:
+            continue
+        pos = q * (seen - 1) - c0
+        target = min(int(math.floor(pos)), merged_n - 1)
+        while len(lower) > target + 1:
+            heapq.heappush(upper, -heapq.heappop(lower))
+        while len(lower) < target + 1:
+            heapq.heappush(lower, -heapq.heappop(upper))
+        v_lo = -lower[0]
+        frac = pos - math.floor(pos)
+        if frac and upper:
+            res[i] = v_lo + (upper[0] - v_lo) * frac
+        else:
+            res[i] = v_lo
+    return res
 
 
 def choose_block_us(df: DataFrame, group_cols: Sequence[str], time_col: str, rows_per_block: int) -> int | None:
@@ -117,35 +149,46 @@ def expanding_quantile_blocked(
     for r in ranged.groupBy(PID, GK, BLK).count().collect():
         pcount[r[GK]][(r[PID], r[BLK])] = r["count"]
 
-    # driver: route each block's rank window to the partitions holding it
+    # driver: route each block's rank window to the partitions holding it.
+    # cnt[p, b] per group -> counts of earlier blocks per partition by a cumulative
+    # sum over blocks, partition offsets by a cumulative sum over partitions.
     queries = defaultdict(list)  # pid -> [(gk, blk, local_lo, local_hi)]
     for gk, per in pcount.items():
         pids = sorted({p for p, _ in per})
         blks = sorted(counts.get(gk, {}))
-        for blk in blks:
-            lo, hi, before = bounds[(gk, blk)]
+        pi = {p: i for i, p in enumerate(pids)}
+        bi = {b: i for i, b in enumerate(blks)}
+        cnt = np.zeros((len(pids), len(blks) + 1), dtype=np.int64)
+        for (p, b), c in per.items():
+            cnt[pi[p], bi[b] + 1] += c
+        before_blk = np.cumsum(cnt, axis=1)  # [:, j] = values of blocks < blks[j] per partition
+        for j, blk in enumerate(blks):
+            lo, hi, _ = bounds[(gk, blk)]
             if hi < lo:
                 continue
-            start = 0
-            for p in pids:
-                n_p = sum(c for (pp, bb), c in per.items() if pp == p and bb < blk)
-                a, z = max(lo, start), min(hi, start + n_p - 1)
-                if a <= z:
-                    queries[p].append((gk, blk, a - start, z - start))
-                start += n_p
-                if start > hi:
+            n_p = before_blk[:, j]
+            start = np.concatenate([[0], np.cumsum(n_p)[:-1]])
+            first = int(np.searchsorted(start + n_p, lo, side="right"))
+            for i in range(first, len(pids)):
+                if start[i] > hi:
                     break
+                a, z = max(lo, int(start[i])), min(hi, int(start[i] + n_p[i] - 1))
+                if a <= z:
+                    queries[pids[i]].append((gk, blk, a - int(start[i]), z - int(start[i])))
     routed = spark.sparkContext.broadcast(dict(queries))
 
     def emit(it):
         qs = routed.value
-        for pdf in it:
-            if pdf.empty:
-                continue
+        # Arrow hands one partition over in several batches; ranks are local to the
+        # whole (value-sorted) partition, so join the batches first
+        parts = [b for b in it if not b.empty]
+        if parts:
+            pdf = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
             pid = int(pdf[PID].iloc[0])
             mine = qs.get(pid, [])
-            if not mine:
-                continue
+        else:
+            mine = []
+        if mine:
             out_g, out_b, out_v = [], [], []
             for gk, sub in pdf.groupby(GK, sort=False):
                 blocks = sub[BLK].to_numpy()
@@ -177,15 +220,7 @@ def expanding_quantile_blocked(
         sl = np.sort(pdf.loc[~pdf["_own"], "_v"].to_numpy())
         c0 = lo if hi >= lo else 0
         mine = pdf.loc[pdf["_own"]].sort_values(oc, kind="mergesort")
-        merged = list(sl)
-        res = np.full(len(mine), np.nan)
-        seen = before
-        for i, v in enumerate(mine["_v"].to_numpy()):
-            if not np.isnan(v):
-                bisect.insort(merged, v)
-                seen += 1
-            if seen >= min_periods:
-                res[i] = _interp(merged, q * (seen - 1) - c0)
+        res = running_quantiles(sl, c0, before, mine["_v"].to_numpy(), q, min_periods)
         out = mine[keys].copy()
         out[out_col] = res
         return out

@@ -139,7 +139,14 @@ def test_blocked_expanding_quantile_matches_pandas(spark, block):
         ["backend", "qubit", "model_time"])
     want = {(r.backend, r.qubit, r.model_time): r.a_threshold for r in
             labels.expanding_quantile(df, ["backend"], ["model_time", "qubit"], ["a"], 0.9, 10).collect()}
-    got = expanding_quantile_blocked(df, ["backend"], ["model_time", "qubit"], "a", 0.9, 10, block_us=block).collect()
+    # tiny Arrow batches: every partition reaches Python in many pieces
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = expanding_quantile_blocked(df, ["backend"], ["model_time", "qubit"], "a", 0.9, 10, block_us=block,
+                                         partitions=2).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert len(got) == len(want)
     for r in got:
         w = want[(r.backend, r.qubit, r.model_time)]
@@ -166,3 +173,27 @@ def test_hot_key_spreads_over_blocks(spark):
     for x, y in zip(a, b):
         assert x.v_count_prev_6h == y.v_count_prev_6h
         assert (x.v_mean_prev_6h is None and y.v_mean_prev_6h is None) or x.v_mean_prev_6h == pytest.approx(y.v_mean_prev_6h)
+
+
+def test_running_quantiles_two_heaps():
+    import numpy as np
+
+    from driftkit.operators.expanding import running_quantiles
+
+    rng = np.random.default_rng(0)
+    hist = np.round(rng.normal(size=300), 2)
+    own = np.round(rng.normal(size=200), 2)
+    own[rng.random(200) < 0.2] = np.nan
+    q = 0.9
+    # slice = the whole history (c0 = 0) must reproduce the plain expanding quantile
+    got = running_quantiles(np.sort(hist), 0, len(hist), own, q, 10)
+    vals = list(hist)
+    for i, v in enumerate(own):
+        if not np.isnan(v):
+            vals.append(v)
+        assert got[i] == pytest.approx(np.quantile(vals, q), abs=1e-12)
+    # a slice around the needed ranks plus the count below it gives the same answers
+    s = np.sort(hist)
+    lo = int(np.floor(q * (len(hist) - 1))) - 200 - 1
+    got2 = running_quantiles(s[lo:], lo, len(hist), own, q, 10)
+    assert np.allclose(got, got2, atol=1e-12)
