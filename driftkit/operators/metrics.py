@@ -49,7 +49,9 @@ def cumulative_counts(df: DataFrame, y: str, score: str, group_cols: Sequence[st
     cum = prefix_sums(sc, [F.col("score").desc()], ["pos", "neg"], group_cols)
     tot = sc.groupBy(*group_cols).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     out = cum.withColumnRenamed("pos_cum", "tp").withColumnRenamed("neg_cum", "fp")
-    return out.join(F.broadcast(tot), list(group_cols), "left")
+    # one row per group: size follows the caller's grouping, so no broadcast hint
+    # (AQE broadcasts it at run time when it is small)
+    return out.join(tot, list(group_cols), "left")
 
 
 @_grouped

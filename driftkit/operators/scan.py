@@ -44,7 +44,9 @@ def prefix_sums(
     offsets = totals.select(PID, *group_cols,
                             *[F.coalesce(F.sum(c + "_tot").over(carry_w), F.lit(0)).alias(c + "_off") for c in sum_cols])
     keys = [PID, *group_cols]
-    joined = local.join(F.broadcast(offsets), keys, "left")
+    # ungrouped: one row per partition - a proven bound, broadcast it; grouped: one
+    # row per (partition, group) - sized by the grouping, let AQE choose
+    joined = local.join(F.broadcast(offsets) if not group_cols else offsets, keys, "left")
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[(F.col(c + "_loc") + F.coalesce(F.col(c + "_off"), F.lit(0))).alias(c + suffix) for c in sum_cols],
