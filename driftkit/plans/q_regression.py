@@ -199,3 +199,27 @@ def q_coef_cmp(spark, sf_dir):
 def q_compare(spark, sf_dir):
     s = study(spark, sf_dir)
     return rounded(rs.comparison_table(spark, [s["base_metrics"], s["ols_metrics"], s["lasso_metrics"], s["ridge_metrics"]]))
+
+
+@register("m7_m17_simple_regression", f"""WITH {RF_SQL},
+f AS (SELECT regr_slope(y, l_quantity) AS slope, regr_intercept(y, l_quantity) AS intercept, regr_r2(y, l_quantity) AS r2 FROM tr
+      WHERE y IS NOT NULL AND l_quantity IS NOT NULL),
+e AS (SELECT y - (f.intercept + f.slope * l_quantity) AS err FROM te, f WHERE y IS NOT NULL AND l_quantity IS NOT NULL),
+s AS (SELECT avg(y) AS ybar FROM te WHERE y IS NOT NULL AND l_quantity IS NOT NULL)
+SELECT rnd(f.slope) AS slope, rnd(f.intercept) AS intercept, rnd(f.r2) AS R2_train,
+       rnd(1 - (SELECT sum(err * err) FROM e) / (SELECT sum((y - s.ybar) * (y - s.ybar)) FROM te, s WHERE y IS NOT NULL AND l_quantity IS NOT NULL)) AS R2_test,
+       rnd(sqrt((SELECT avg(err * err) FROM e))) AS RMSE_test, rnd((SELECT avg(abs(err)) FROM e)) AS MAE_test
+FROM f""")
+def q_simple_regression(spark, sf_dir):
+    """M7 + M17 with one regressor: Gram solve on the driver, metrics from Grams and one pass."""
+    from driftkit.operators.gram import gram
+
+    p = _prepared(spark, sf_dir)
+    tr = p["train"].na.drop(subset=["y", "l_quantity"])
+    te = p["test"].na.drop(subset=["y", "l_quantity"])
+    g_tr, g_te = gram(tr, ["l_quantity"], "y"), gram(te, ["l_quantity"], "y")
+    fit = regress.ols(g_tr)
+    mae = te.agg(F.avg(F.abs(F.col("y") - fit.predict())).alias("m")).first()["m"]
+    row = (float(fit.coef[0]), fit.intercept, regress.r2(g_tr, fit), regress.r2(g_te, fit), regress.rmse(g_te, fit), float(mae))
+    return rounded(spark.createDataFrame([row], "slope double, intercept double, R2_train double, R2_test double, "
+                                                "RMSE_test double, MAE_test double"))
