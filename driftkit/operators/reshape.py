@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftkit.functions.names import sanitize_name
@@ -28,9 +28,34 @@ def edge_rows(df: DataFrame, property_col: str = "property", edge_pattern: str =
     )
 
 
+def sorted_medians(df: DataFrame, keys: Sequence[str], specs: Sequence[tuple]) -> DataFrame:
+    """Exact medians per key of several value expressions, sort-based.
+
+    ``specs``: (output name, value Column or column name); NULL/NaN values are
+    ignored and every key of ``df`` keeps its row.  Rows are hash-partitioned
+    once by ``keys``; a window per (key, spec) ordered by value flags the one or
+    two middle values; one aggregation (no further exchange - the partitioning
+    already clusters every key) averages them into one column per spec.  No
+    per-group hash-map buffers: sorting spills, so a big key costs disk, not
+    memory.  Same values as ``median`` / ``percentile(0.5)``."""
+    def val(v):
+        x = (F.col(v) if isinstance(v, str) else v).cast("double")
+        return F.when(~F.isnan(x), x)
+
+    entries = F.array(*[F.struct(F.lit(i).alias("_i"), val(v).alias("_v")) for i, (_, v) in enumerate(specs)])
+    long = df.select(*keys, F.explode(entries).alias("_s")).select(*keys, "_s._i", "_s._v").repartition(*keys)
+    w = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_last())
+    n = F.count("_v").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    r = F.row_number().over(w)
+    flagged = long.select(*keys, "_i", "_v", r.alias("_r"), n.alias("_n"))
+    mid = F.col("_v").isNotNull() & ((F.col("_r") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_r") == F.floor(F.col("_n") / 2) + 1))
+    return flagged.groupBy(*keys).agg(
+        *[F.avg(F.when(mid & (F.col("_i") == i), F.col("_v"))).alias(name) for i, (name, _) in enumerate(specs)])
+
+
 def grouped_medians(df: DataFrame, keys: Sequence[str], value_cols: Sequence[str]) -> DataFrame:
-    """A1: exact median of many columns per key (NULLs ignored), one aggregation."""
-    return df.groupBy(*keys).agg(*[F.median(c).alias(c) for c in value_cols])
+    """A1: exact median of many columns per key (NULLs ignored), sort-based."""
+    return sorted_medians(df, keys, [(c, c) for c in value_cols])
 
 
 def pivot_median(
@@ -40,30 +65,31 @@ def pivot_median(
     property_col: str = "property",
     value_col: str = "value",
     extra_medians: Sequence[str] = (),
+    method: str = "sort",
 ) -> DataFrame:
     """A2 + A3 + P7: long -> wide with the median of duplicates.
 
-    One aggregation with one ``median(CASE WHEN property = p THEN value END)``
-    per requested property (an explicit list, so absent properties still get an
-    all-NULL column and no distinct-values job runs), plus medians of
-    ``extra_medians`` over the same rows (the metadata join J3 folded in).
-    Output names are sanitised.
+    ``method="aggregate"`` uses the built-in ``median`` aggregate instead (one
+    hash-aggregation buffer per key; needed for streaming aggregations).
+
+    One sort-based median pass (``sorted_medians``) over
+    ``CASE WHEN property = p THEN value END`` per requested property (an explicit
+    list, so absent properties still get an all-NULL column and no
+    distinct-values job runs), plus medians of ``extra_medians`` over the same
+    rows (the metadata join J3 folded in).  Output names are sanitised.
     """
-    aggs = [
-        F.median(F.when(F.col(property_col) == F.lit(p), F.col(value_col))).alias(sanitize_name(p))
-        for p in properties
-    ]
-    aggs += [F.median(c).alias(c) for c in extra_medians]
-    return df.groupBy(*keys).agg(*aggs)
+    specs = [(sanitize_name(p), F.when(F.col(property_col) == F.lit(p), F.col(value_col))) for p in properties]
+    specs += [(c, F.col(c)) for c in extra_medians]
+    if method == "aggregate":
+        return df.groupBy(*keys).agg(*[F.median(v).alias(name) for name, v in specs])
+    return sorted_medians(df, keys, specs)
 
 
 def edge_medians(df: DataFrame, keys: Sequence[str] = ("backend", "q1", "q2", "model_time"),
                  value_col: str = "value", out_col: str = "cz_error",
                  extra_medians: Sequence[str] = ("calibration_lag_hours",)) -> DataFrame:
-    """A4: named medians per (group, q1, q2, time)."""
-    return df.groupBy(*keys).agg(
-        F.median(value_col).alias(out_col), *[F.median(c).alias(c) for c in extra_medians]
-    )
+    """A4: named medians per (group, q1, q2, time), sort-based."""
+    return sorted_medians(df, list(keys), [(out_col, value_col)] + [(c, c) for c in extra_medians])
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000) -> tuple[DataFrame, bool]:

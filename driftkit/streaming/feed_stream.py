@@ -44,7 +44,8 @@ def snapshot_stream(raw: DataFrame, properties: Sequence[str], out_path: str, ch
     # watermarks need TIMESTAMP event time: aggregate on it, hand back TIMESTAMP_NTZ
     typed = parse_feed(raw, **parse_kw).withColumn("model_time", F.col("model_time").cast("timestamp"))
     typed = typed.withWatermark("model_time", delay)
-    wide = pivot_median(node_rows(typed, properties), list(keys), properties, extra_medians=["calibration_lag_hours"])
+    wide = pivot_median(node_rows(typed, properties), list(keys), properties, extra_medians=["calibration_lag_hours"],
+                        method="aggregate")
     wide = wide.withColumn("model_time", F.col("model_time").cast("timestamp_ntz"))
     w = wide.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", checkpoint).outputMode("append")
     return (w.trigger(availableNow=True) if available_now else w).start()
