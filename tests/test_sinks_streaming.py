@@ -64,3 +64,23 @@ def test_run_and_write_preprocessing(spark):
     assert rep["qubit_snapshot_shape"][0] > 0 and "fault_prediction_parquet" in res["paths"]
     assert spark.read.parquet(res["paths"]["fault_prediction_parquet"]).count() == rep["fault_prediction_shape"][0]
     assert rep["value_parse_failures"] == 0
+
+
+def test_shipped_package_zip_is_importable(spark):
+    import sys
+    import zipfile
+
+    from driftkit import session
+
+    session._SHIPPED.discard(spark.sparkContext.applicationId)
+    session.ship_package(spark)
+    assert spark.sparkContext.applicationId in session._SHIPPED
+    # the zip Spark serves to workers contains the whole package
+    import glob
+
+    zips = sorted(glob.glob(os.path.join(tempfile.gettempdir(), "driftkit-py-*", "driftkit.zip")), key=os.path.getmtime)
+    names = zipfile.ZipFile(zips[-1]).namelist()
+    assert "driftkit/__init__.py" in names and "driftkit/operators/expanding.py" in names
+    # a Python worker resolves driftkit through the shipped file
+    out = spark.sparkContext.parallelize([1], 1).map(lambda _: __import__("driftkit").__version__).collect()
+    assert out == [sys.modules["driftkit"].__version__]
