@@ -62,11 +62,16 @@ def rnd_col(c):
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Normalise every double column for comparison (final projection only)."""
-    return df.select(
-        *[rnd_col(F.col(f.name)).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name)
-          for f in df.schema.fields]
-    )
+    """Normalise every double column for comparison (final projection only).
+    Built as one ``selectExpr`` (one call for all columns)."""
+    exprs = []
+    for f in df.schema.fields:
+        name = "`" + f.name.replace("`", "``") + "`"
+        if isinstance(f.dataType, (DoubleType, FloatType)):
+            exprs.append(f"round(CAST({name} AS DOUBLE) + CAST({NUDGE!r} AS DOUBLE), {PLACES}) AS {name}")
+        else:
+            exprs.append(name)
+    return df.selectExpr(*exprs)
 
 
 # ---------------------------------------------------------------------------
