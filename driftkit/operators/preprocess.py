@@ -72,7 +72,6 @@ def fit_preprocessing(
     drop_first: bool = True,
     scale: bool = True,
     exact_limit: int = 5_000_000,
-    approx_accuracy: int = 1_000_000,
     n_rows: int | None = None,
 ) -> PreprocessModel:
     """M6 fit.  ``drop_first``: one-hot drops the alphabetically first category
