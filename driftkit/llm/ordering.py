@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 5_000
 BUCKET = "_bucket"
 
 
