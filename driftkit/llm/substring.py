@@ -2,6 +2,9 @@
 
 Documents are dealt once to chunks of about ``CHUNK_BYTES`` by a hash of their id.
 
+0. Texts that are equal as a whole are grouped first: of a group only the least
+   doc_id goes on (any window of the others starts there too), so thousands of
+   copies cost no window traffic.
 1. Each chunk hashes its windows (``window`` consecutive words) into every row of
    a count-min sketch.  Its partial sketch travels as compressed gaps between the
    occupied counters, one record per section of a row, and sections are merged by
@@ -14,6 +17,8 @@ Documents are dealt once to chunks of about ``CHUNK_BYTES`` by a hash of their i
 3. Chunks that hold a document with a larger id than the least one of a window get
    that id back, mark the covered words and cut them out.
 
+The dealt texts are shuffled once; all steps read that one exchange.
+
 Defined cases: NULL and empty texts have 0 words; texts shorter than a window
 keep all; rows with one doc_id do not remove from each other; a row without
 doc_id neither removes nor loses words; an untouched text is kept as it is, a
@@ -27,6 +32,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -41,6 +47,7 @@ SPARE = 4  # counters per expected window, in each row
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 ROW_MULTIPLIERS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 WORD_MEMO = 300_000
+COPY = -1  # marks records that name later copies
 
 
 def word_lanes(words: list[bytes], memo: Memo) -> np.ndarray:
@@ -113,6 +120,17 @@ def doc_ids(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return table.column("doc_id").fill_null(0).to_numpy(), known
 
 
+def copy_rows(table: pa.Table, copies: pa.Table) -> np.ndarray:
+    """Which rows are later copies of a whole text (by id and text hash)."""
+    listed = set(zip(copies.column("doc_id").to_pylist(), copies.column("mark").to_pylist()))
+    return np.fromiter((x in listed for x in zip(table.column("doc_id").to_pylist(), table.column("mark").to_pylist())), bool, table.num_rows)
+
+
+def without_copies(table: pa.Table, copies: pa.Table) -> list[bytes | None]:
+    """Texts of a chunk, later copies of a whole text left out."""
+    return [None if gone else text for text, gone in zip(utf8_table(table), copy_rows(table, copies))]
+
+
 def of(kind: dict, **columns) -> pa.Table:
     return pa.table({k: pa.array(v, kind[k]) for k, v in columns.items()})
 
@@ -128,12 +146,18 @@ def deduplicated(docs: DataFrame, window: int = 13, carry: str | None = None, wi
     chunks = max(1, -(-size // chunk_bytes))
     width_bits = max(16, int(spare * size / 6).bit_length())  # about six bytes a word
     sections = max(1, (1 << width_bits) // SECTION)
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text")] + ([F.col(carry)] if carry else [])
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("mark")] + ([F.col(carry)] if carry else [])
     chunk = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))), F.lit(chunks)).cast("int").alias("chunk")
     dealt = docs.select(chunk, *columns).repartition(int(chunks), "chunk")
 
-    def sketch(table: pa.Table) -> pa.Table:
-        _, lanes, _ = chunk_windows(utf8_table(table), window, new_memo())
+    slim = stored(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(chunk, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.sha2("text", 256).alias("whole")))
+    least_of = slim.groupBy("whole").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("most > least").drop("most")
+    later = slim.join(least_of, "whole").where("doc_id > least").select("chunk", "doc_id", "mark").distinct()
+
+    def sketch(table: pa.Table, copies: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return of(SKETCH, part=[], chunk=[], once=[], more=[])
+        _, lanes, _ = chunk_windows(without_copies(table, copies), window, new_memo())
         part, once, more = [], [], []
         for row in range(ROWS):
             at, n = np.unique(counters(lanes, row, width_bits), return_counts=True)
@@ -159,9 +183,11 @@ def deduplicated(docs: DataFrame, window: int = 13, carry: str | None = None, wi
         return of(REPLY, chunk=table.column("chunk").take(pa.array(keep, pa.int64())).combine_chunks(), part=table.column("part").take(pa.array(keep, pa.int64())).combine_chunks(), hot=[squeeze(hot[i]) for i in keep])
 
     def group(table: pa.Table, reply: pa.Table) -> pa.Table:
+        copies = reply.filter(pc.equal(reply.column("part"), COPY))
+        reply = reply.filter(pc.not_equal(reply.column("part"), COPY))
         if not table.num_rows or not reply.num_rows:
             return of(KEYS, chunk=[], one=[], two=[], first=[], several=[])
-        _, lanes, owner = chunk_windows(utf8_table(table), window, new_memo())
+        _, lanes, owner = chunk_windows(without_copies(table, copies), window, new_memo())
         ids, known = doc_ids(table)
         parts = reply.column("part").to_numpy()
         passed = known[owner]
@@ -179,8 +205,11 @@ def deduplicated(docs: DataFrame, window: int = 13, carry: str | None = None, wi
         return of(KEYS, chunk=np.full(len(head), table.column("chunk")[0].as_py(), np.int32), one=lanes[0][head].view(np.int64), two=lanes[1][head].view(np.int64), first=of_doc[head], several=of_doc[last] > of_doc[head])
 
     def cut(table: pa.Table, reply: pa.Table) -> pa.Table:
+        copies = reply.filter(pc.is_null(reply.column("first")))
+        reply = reply.filter(pc.is_valid(reply.column("first")))
         texts, memo = utf8_table(table), new_memo()
         ids, known = doc_ids(table)
+        copied = copy_rows(table, copies)
         one, two = (reply.column(c).to_numpy().view(np.uint64) for c in ("one", "two"))
         order = np.lexsort((two, one))
         one, two, first = one[order], two[order], reply.column("first").to_numpy()[order]
@@ -189,7 +218,9 @@ def deduplicated(docs: DataFrame, window: int = 13, carry: str | None = None, wi
         for i, text in enumerate(texts):
             words = text.split() if text else []
             hit = np.zeros(0, bool)
-            if runs and known[i] and len(words) >= window:
+            if copied[i]:
+                hit = np.ones(max(0, len(words) - window + 1), bool)
+            elif runs and known[i] and len(words) >= window:
                 _, lanes, _ = chunk_windows([text], window, memo)
                 at, hit = np.searchsorted(one, lanes[0]), np.zeros(lanes.shape[1], bool)
                 for step in range(runs):  # equal first lanes stand together
@@ -218,13 +249,13 @@ def deduplicated(docs: DataFrame, window: int = 13, carry: str | None = None, wi
         return pa.table(out)
 
     by_chunk = dealt.groupBy("chunk")
-    slim = dealt.groupBy("chunk") if not carry else dealt.drop(carry).groupBy("chunk")
-    sketches = slim.applyInArrow(sketch, "part int, chunk int, once binary, more binary")
-    replies = sketches.groupBy("part").applyInArrow(merge, "chunk int, part int, hot binary")
-    keys = stored(slim.cogroup(replies.groupBy("chunk")).applyInArrow(group, "chunk int, one long, two long, first long, several boolean"))
-    same = Window.partitionBy("one", "two")
-    least = keys.select("chunk", "one", "two", F.min("first").over(same).alias("first"), (F.count(F.lit(1)).over(same) > 1).alias("met"), F.max("several").over(same).alias("many"))
-    back = least.where("met OR many").select("chunk", "one", "two", "first")
+    copies = later.select("chunk", F.lit(COPY).alias("part"), F.lit(None).cast("binary").alias("hot"), "doc_id", "mark")
+    sketches = by_chunk.cogroup(copies.groupBy("chunk")).applyInArrow(sketch, "part int, chunk int, once binary, more binary")
+    replies = sketches.groupBy("part").applyInArrow(merge, "chunk int, part int, hot binary").unionByName(copies, allowMissingColumns=True)
+    keys = by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(group, "chunk int, one long, two long, first long, several boolean")
+    least = keys.withColumn("least", F.min("first").over(Window.partitionBy("one", "two")))
+    back = least.where("least < first OR several").select("chunk", "one", "two", F.col("least").alias("first"))
+    back = back.unionByName(later.select("chunk", "doc_id", "mark"), allowMissingColumns=True)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     if carry:
         schema += f", {carry} {docs.schema[carry].dataType.simpleString()}"
