@@ -96,7 +96,7 @@ def labelled_sample(labels: DataFrame, label: str, rows: dict[int, int], seed: i
 class Memo(dict):
     """Bounded cache: computes what is missing, starts anew when full."""
 
-    def __init__(self, compute: Callable, limit: int = 300_000):
+    def __init__(self, compute: Callable, limit: int = 150_000):
         super().__init__()
         self.compute, self.limit = compute, limit
 

@@ -41,7 +41,7 @@ from driftkit.llm.wordpiece import byte_alphabet
 
 CAPACITY = 4096
 END_ID = 1
-MEMO_PIECES = 300_000
+MEMO_PIECES = 150_000
 # characters on which NFC is the identity and lower-casing is one to one
 PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*\Z")
 # the tokenizer's own split on those characters, after lower-casing

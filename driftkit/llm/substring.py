@@ -40,13 +40,13 @@ from pyspark.sql import functions as F
 
 from driftkit.llm.common import Memo, stored
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 SECTION = 1 << 24  # counters of a sketch row that one record covers
 ROWS = 2
 SPARE = 4  # counters per expected window, in each row
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 ROW_MULTIPLIERS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-WORD_MEMO = 300_000
+WORD_MEMO = 100_000
 COPY = -1  # marks records that name later copies
 
 

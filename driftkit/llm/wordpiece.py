@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from driftkit.llm.common import map_batches, slices, utf8
 
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 SLICE_BYTES = 4 << 20
 
 
