@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 MICROS_PER_HOUR = 3_600_000_000
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+# a clock time followed by an offset or a zone name
+_ZONED = r"\d{1,2}:\d{2}.*([+-]\d{1,2}(:?\d{2})?|[A-Za-z]\S*)$"
 
 
 def _c(c: Column | str) -> Column:
@@ -28,8 +30,25 @@ def nan_to_null(c: Column | str) -> Column:
 
 
 def to_timestamp_ntz(c: Column | str) -> Column:
-    """parse a time; bad text -> NULL.  Timestamps pass through unchanged."""
-    return F.try_to_timestamp(_c(c).cast("string")).cast("timestamp_ntz")
+    """parse a time as UTC whatever the session zone; bad text -> NULL.
+
+    Text with a zone is converted to UTC, text without one is UTC already.  The
+    instant is turned into wall time by arithmetic, so no step passes through the
+    session zone (and its skipped or doubled hours)."""
+    s = F.trim(_c(c).cast("string"))
+    zoned = s.rlike(_ZONED)
+    instant = F.coalesce(
+        F.when(zoned, F.try_to_timestamp(s)),
+        F.when(~zoned, F.try_to_timestamp(F.concat(s, F.lit("Z")))),
+        F.when(~zoned, F.try_to_timestamp(F.concat(s, F.lit(" 00:00:00Z")))),
+    )
+    return utc_wall(instant)
+
+
+def utc_wall(instant: Column) -> Column:
+    """UTC wall time (TIMESTAMP_NTZ) of a TIMESTAMP, independent of the session zone."""
+    seconds = (F.unix_micros(instant).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    return F.expr(_EPOCH) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
 
 
 def epoch_micros(c: Column | str) -> Column:

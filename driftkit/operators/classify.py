@@ -50,13 +50,15 @@ RANDOM_FOREST = ModelSpec("Random Forest", "random_forest",
 BOOSTED = ModelSpec("Gradient Boosted Trees", "gbt",
                     {"maxIter": 150, "maxDepth": 3, "stepSize": 0.05, "subsamplingRate": 0.9,
                      "featureSubsetStrategy": "0.9"}, weighting="pos_ratio")
-MLP = ModelSpec("MLP", "mlp", {"hidden": (64, 32), "maxIter": 200, "stepSize": 0.001}, weighting="none")
+MLP = ModelSpec("MLP", "mlp", {"hidden": (64, 32), "maxIter": 200}, weighting="none")
 
+# The search grids of the source study.  The MLP learning rate has no
+# counterpart under l-bfgs, and depth 30 (the most MLlib takes) stands for no limit.
 RANDOM_FOREST_GRID = {"numTrees": [200, 500], "maxDepth": [5, 10, 20, 30], "minInstancesPerNode": [1, 5, 10],
                       "featureSubsetStrategy": ["sqrt", "log2"]}
 BOOSTED_GRID = {"maxIter": [100, 200], "maxDepth": [3, 5], "stepSize": [0.01, 0.05, 0.1],
                 "subsamplingRate": [0.7, 0.9, 1.0], "featureSubsetStrategy": ["0.7", "0.9", "1.0"]}
-MLP_GRID = {"hidden": [(32,), (64,), (64, 32), (128, 64)], "stepSize": [0.0005, 0.001], "maxIter": [100, 200, 300]}
+MLP_GRID = {"hidden": [(32,), (64,), (64, 32), (128, 64)], "maxIter": [100, 200, 300]}
 SEED = 42
 
 

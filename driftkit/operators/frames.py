@@ -146,10 +146,3 @@ def blocked_lag(
     ]
     return joined.select(*df.columns, *lagged)
 
-
-def frame_range(w: Window, start_us: int, end_us: int) -> Window:
-    return w.rangeBetween(start_us, end_us)
-
-
-def count_rows(w: Window) -> Column:
-    return F.count(F.lit(1)).over(w)

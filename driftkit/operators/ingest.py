@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, TimestampNTZType, TimestampType
 
-from driftkit.functions.scalar import hours_between, to_double, to_timestamp_ntz
+from driftkit.functions.scalar import hours_between, to_double, to_timestamp_ntz, utc_wall
 
 
 def _as_time(df: DataFrame, c: str):
@@ -16,7 +16,7 @@ def _as_time(df: DataFrame, c: str):
     if isinstance(dt, TimestampNTZType):
         return F.col(c)
     if isinstance(dt, TimestampType):
-        return F.col(c).cast("timestamp_ntz")
+        return utc_wall(F.col(c))
     return to_timestamp_ntz(c)
 
 

@@ -1,14 +1,12 @@
 """Fitted column preprocessing (M1-M6): median / most-frequent imputation,
 population z-scoring, one-hot encoding.
 
-``fit`` is ONE aggregation over the training rows (all medians, means, standard
-deviations and modes together, plus the distinct categories, which are few by
-construction); ``transform`` is a single ``select`` of literal-parameterised
-expressions, so it stays in whole-stage codegen and can run on any split.
-Medians are exact.  Up to ``exact_limit`` training rows they come from the
-built-in ``median`` in the same aggregation as the moments; above it (where one
-buffer per column would be too large) from the distributed exact quantile
-pipeline, then the moments pass runs alone.
+``fit`` takes exact medians from the distributed quantile pipeline (no buffer
+holds a column, whatever its length) and everything else - means, deviations,
+modes, the distinct categories, few by construction - from one aggregation.
+NaN is a missing value like NULL.  ``transform`` is a single ``select`` of
+literal-parameterised expressions, so it stays in whole-stage codegen and can run
+on any split.
 """
 
 from __future__ import annotations
@@ -21,8 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftkit.functions.names import sanitize_name
+from driftkit.functions.scalar import nan_to_null
 from driftkit.operators.quantiles import exact_column_medians
 
+CONSTANT = 1e-12  # a deviation below this share of the mean is rounding: the column is constant
+
 
 @dataclass
 class PreprocessModel:
@@ -47,7 +48,7 @@ class PreprocessModel:
         """M1+M3 numeric expressions and M2+M4/M5 one-hot expressions."""
         out = []
         for c in self.numeric:
-            x = F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c]))
+            x = F.coalesce(nan_to_null(F.col(c).cast("double")), F.lit(self.medians[c]))
             if self.scale:
                 x = (x - F.lit(self.means[c])) / F.lit(self.scales[c])
             out.append(x.alias(c))
@@ -55,7 +56,11 @@ class PreprocessModel:
             v = F.coalesce(F.col(c), F.lit(self.modes[c]))
             cats = self.categories[c][1:] if self.drop_first else self.categories[c]
             for cat in cats:
-                out.append((v == F.lit(cat)).cast("double").alias(f"{c}_{sanitize_name(cat)}"))
+                hit = (v == F.lit(cat)).cast("double")
+                if self.drop_first:  # M4: an unknown category is an error, not the baseline
+                    unknown = F.raise_error(F.concat(F.lit(f"unknown category in {c}: "), v.cast("string"))).cast("double")
+                    hit = F.when(v.isNull() | v.isin(*self.categories[c]), hit).otherwise(unknown)
+                out.append(hit.alias(f"{c}_{sanitize_name(cat)}"))
         return out
 
     def transform(self, df: DataFrame, keep: Sequence[str] = (), vector_col: str | None = None) -> DataFrame:
@@ -71,22 +76,16 @@ def fit_preprocessing(
     categorical: Sequence[str] = (),
     drop_first: bool = True,
     scale: bool = True,
-    exact_limit: int = 5_000_000,
-    n_rows: int | None = None,
 ) -> PreprocessModel:
     """M6 fit.  ``drop_first``: one-hot drops the alphabetically first category
-    (M4, unknown categories then read as the dropped one); otherwise every
+    (M4, an unknown category then raises); otherwise every
     category gets a column and unknown values give all zeros (M5)."""
     numeric, categorical = list(numeric), list(categorical)
-    if n_rows is None and numeric:
-        n_rows = train.count()
-    small = (n_rows or 0) <= exact_limit
-    big_medians = {} if small or not numeric else exact_column_medians(train, numeric)
+    medians = exact_column_medians(train, numeric) if numeric else {}
     aggs = []
     for i, c in enumerate(numeric):
-        x = F.col(c).cast("double")
-        med = F.median(x) if small else F.lit(big_medians[c]).cast("double")
-        aggs += [med.alias(f"med{i}"), F.count(x).alias(f"cnt{i}"), F.sum(x).alias(f"sum{i}"), F.sum(x * x).alias(f"ssq{i}")]
+        x = nan_to_null(F.col(c).cast("double"))
+        aggs += [F.count(x).alias(f"cnt{i}"), F.avg(x).alias(f"avg{i}"), F.stddev_pop(x).alias(f"std{i}")]
     aggs.append(F.count(F.lit(1)).alias("_n"))
     for i, c in enumerate(categorical):
         aggs += [F.mode(F.col(c), True).alias(f"mode{i}"),
@@ -95,19 +94,17 @@ def fit_preprocessing(
     model = PreprocessModel(numeric, categorical, drop_first=drop_first, scale=scale)
     n = float(r["_n"])
     for i, c in enumerate(numeric):
-        m = r[f"med{i}"]
+        m = medians[c]
         model.medians[c] = float(m) if m is not None else 0.0
         if scale:
-            # moments of the IMPUTED column (NULLs -> median), as a pipeline would see it:
-            # same pass, nulls contribute the median analytically
-            med, cnt = model.medians[c], float(r[f"cnt{i}"])
-            tot = float(r[f"sum{i}"] or 0.0) + (n - cnt) * med
-            ssq = float(r[f"ssq{i}"] or 0.0) + (n - cnt) * med * med
-            mu = tot / n if n else 0.0
-            var = max(ssq / n - mu * mu, 0.0) if n else 0.0
+            # moments of the IMPUTED column, as a pipeline would see it: the known rows
+            # and the rows that got the median are two groups of known mean and deviation
+            med, known = model.medians[c], float(r[f"cnt{i}"]) / n if n else 0.0
+            mean, std = (float(r[f"{k}{i}"]) if r[f"{k}{i}"] is not None else med * (k == "avg") for k in ("avg", "std"))
+            mu = known * mean + (1 - known) * med
+            sd = (known * std * std + known * (1 - known) * (mean - med) ** 2) ** 0.5
             model.means[c] = mu
-            # constant column: scale 1, not a division by ~0 left over from cancellation
-            model.scales[c] = var ** 0.5 if var > 1e-10 * max(1.0, mu * mu) else 1.0
+            model.scales[c] = sd if sd > CONSTANT * abs(mu) else 1.0
     for i, c in enumerate(categorical):
         model.modes[c] = r[f"mode{i}"]
         model.categories[c] = list(r[f"cats{i}"])

@@ -3,6 +3,7 @@ aggregate action and return ``(frame, dropped)``; name rules need no job."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
@@ -51,12 +52,20 @@ def drop_high_missingness(df: DataFrame, threshold: float = 0.30, keep: Iterable
     return (df.drop(*dropped) if dropped else df), {"dropped": dropped, "rates": rates}
 
 
+# Name fragments that mark a column as looking ahead.
+AHEAD_WORD = "future"
+LABEL_WORD = "fault"
+
+
+def leakage_pattern(target: str) -> str:
+    """P10 rule as one pattern: the label's own tag (``fault_24h``) behind any column
+    name, the look-ahead word as a whole name part or right before the label word."""
+    tag = re.escape(target.lower())
+    return f"_{tag}$|^{AHEAD_WORD}_|_{AHEAD_WORD}_|{AHEAD_WORD}_{LABEL_WORD}"
+
+
 def is_leakage_column(name: str, target: str = "fault_24h") -> bool:
-    """P10 rule: future-looking names, the target itself excepted."""
-    if name == target:
-        return False
-    n = name.lower()
-    return "_future_" in n or n.startswith("future_") or n.endswith("_fault_24h") or "future_fault" in n
+    return name != target and re.search(leakage_pattern(target), name.lower()) is not None
 
 
 def drop_leakage(df: DataFrame, target: str = "fault_24h") -> DataFrame:
@@ -70,10 +79,11 @@ def drop_count_and_instant(df: DataFrame, instant: Sequence[str]) -> DataFrame:
 
 
 def keep_rolling_suffixes(df: DataFrame, variables: Sequence[str], keep_suffixes: Iterable[str] = ("_mean_prev_24h", "_std_prev_24h")) -> DataFrame:
-    """For each variable keep itself and only the listed derived suffixes."""
-    keep = set(keep_suffixes)
-    drop = [c for v in variables for c in df.columns if c.startswith(v + "_") and c != v and c[len(v):] not in keep]
-    return df.drop(*drop) if drop else df
+    """P12 as a schema rule: of the columns derived from a variable (its name, then a
+    suffix) the schema keeps the listed ones; other columns are untouched."""
+    derived = re.compile("(" + "|".join(map(re.escape, variables)) + ")(_.*)") if variables else None
+    allowed = {v + s for v in variables for s in keep_suffixes} | set(variables)
+    return df.select(*[c for c in df.columns if c in allowed or derived is None or not derived.fullmatch(c)])
 
 
 def select_available(df: DataFrame, ids: Sequence[str], features: Sequence[str], target: str) -> DataFrame:

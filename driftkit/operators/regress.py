@@ -79,33 +79,29 @@ class LinearDesign:
         return {r["_k"]: to_mat(r) for r in df.groupBy(key.alias("_k")).agg(*aggs).collect()}
 
     # parameters -------------------------------------------------------------
-    def fold_params(self, df: DataFrame, masks: dict, block_col: str | None = None, exact_limit: int = 5_000_000) -> dict:
+    def fold_params(self, df: DataFrame, masks: dict, block_col: str | None = None) -> dict:
         """Medians, modes and present categories for each named row subset.
         ``masks``: {name: boolean Column selecting that subset's training rows}.
 
-        Small inputs: ONE aggregation with conditional medians.  Above
-        ``exact_limit`` rows with ``block_col`` (expanding folds: fold f trains
-        on blocks < f), medians come from value counts per (feature, block)
-        replicated to the folds that train on them and the distributed exact
-        quantiles - no whole-column buffer."""
-        big = {}
-        if block_col is not None and self.numeric and df.count() > exact_limit:
-            from driftkit.operators.quantiles import exact_quantiles
-
-            k = max(int(n) for n in masks if isinstance(n, int))
-            long = df.select(F.col(block_col).alias("_b"), F.explode(F.array(*[
-                F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in self.numeric])).alias("s"))
-            vc = long.groupBy("_b", "s.feature", "s.v").agg(F.count(F.lit(1)).alias("_n"))
-            per_fold = vc.withColumn("fold", F.explode(F.sequence(F.col("_b") + 1, F.lit(k))))
-            for r in exact_quantiles(per_fold, "v", [0.5], ["fold", "feature"], ["median"], weight_col="_n").collect():
-                big[(r["fold"], r["feature"])] = r["median"]
+        Medians are exact and distributed: value counts per (feature, subset), then
+        prefix sums.  With ``block_col`` (expanding folds: fold f trains on blocks
+        < f) the counts are made once per block and repeated to the folds."""
+        from driftkit.operators.quantiles import exact_quantiles
+
+        medians = {}
+        if self.numeric:
+            names = list(masks)
+            entries = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in self.numeric]))
+            if block_col is not None:
+                counts = df.select(F.col(block_col).alias("_b"), entries.alias("s")).groupBy("_b", "s.feature", "s.v").agg(F.count(F.lit(1)).alias("_n"))
+                counts = counts.withColumn("fold", F.explode(F.sequence(F.col("_b") + 1, F.lit(max(names))))).where(F.col("fold").isin(names))
+            else:
+                subsets = F.filter(F.array(*[F.when(m, F.lit(i)) for i, m in enumerate(masks.values())]), lambda x: x.isNotNull())
+                counts = df.select(F.explode(subsets).alias("fold"), *self.numeric).select("fold", entries.alias("s")).groupBy("fold", "s.feature", "s.v").agg(F.count(F.lit(1)).alias("_n"))
+            for r in exact_quantiles(counts, "v", [0.5], ["fold", "feature"], ["median"], weight_col="_n").collect():
+                medians[(r["fold"] if block_col is not None else names[r["fold"]], r["feature"])] = r["median"]
         aggs = []
         for f, (name, m) in enumerate(masks.items()):
-            for i, c in enumerate(self.numeric):
-                if (name, c) in big or (big and isinstance(name, int)):
-                    aggs.append(F.lit(big.get((name, c))).cast("double").alias(f"m{f}_{i}"))
-                else:
-                    aggs.append(F.median(F.when(m, F.col(c).cast("double"))).alias(f"m{f}_{i}"))
             for i, v in enumerate(self.categorical):
                 aggs.append(F.mode(F.when(m, F.col(v)), True).alias(f"o{f}_{i}"))
                 aggs.append(F.array_sort(F.collect_set(F.when(m, F.col(v)))).alias(f"c{f}_{i}"))
@@ -113,7 +109,7 @@ class LinearDesign:
         out = {}
         for f, name in enumerate(masks):
             out[name] = FoldParams(
-                {c: (float(r[f"m{f}_{i}"]) if r[f"m{f}_{i}"] is not None else 0.0) for i, c in enumerate(self.numeric)},
+                {c: float(medians.get((name, c)) or 0.0) for c in self.numeric},
                 {v: r[f"o{f}_{i}"] for i, v in enumerate(self.categorical)},
                 {v: list(r[f"c{f}_{i}"]) for i, v in enumerate(self.categorical)},
             )
@@ -161,7 +157,7 @@ class LinearDesign:
         if self.scale:
             for i in range(nnum):
                 shift[i] = mu[i]
-                scale[i] = sd[i] if sd[i] > 1e-12 * max(1.0, abs(mu[i])) else 1.0
+                scale[i] = sd[i] if sd[i] > 1e-7 * abs(mu[i]) else 1.0  # below: rounding of E[x^2] - mean^2
         z = (b - np.outer(shift, one)) / scale[:, None]
         t = np.vstack([one, z, yrow])
         info = {"mean": dict(zip(names[:nnum], mu[:nnum])), "scale": dict(zip(names[:nnum], scale[:nnum]))}
@@ -322,12 +318,3 @@ def jarque_bera(residuals: DataFrame, col: str = "residual") -> DataFrame:
     return residuals.agg(n.alias("n"), s.alias("skewness"), k.alias("excess_kurtosis"), jb.alias("jb")).withColumn(
         "p_value", F.exp(-F.col("jb") / 2))
 
-
-def regression_metrics(scored: DataFrame, y: str, yhat: str = "y_hat") -> dict:
-    """M17 in one aggregation: R^2, RMSE, MAE, n."""
-    e = F.col(y) - F.col(yhat)
-    r = scored.agg(F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("sse"), F.avg(F.abs(e)).alias("mae"),
-                   F.var_pop(y).alias("vy")).first()
-    n = r["n"]
-    sst = r["vy"] * n if r["vy"] is not None else 0.0
-    return {"n": n, "R2": 1 - r["sse"] / sst if sst else float("nan"), "RMSE": math.sqrt(r["sse"] / n), "MAE": r["mae"]}

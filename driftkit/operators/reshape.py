@@ -92,29 +92,15 @@ def edge_medians(df: DataFrame, keys: Sequence[str] = ("backend", "q1", "q2", "m
     return sorted_medians(df, list(keys), [(out_col, value_col)] + [(c, c) for c in extra_medians])
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000) -> tuple[DataFrame, bool]:
-    """Broadcast hint only behind a bounded size check: ``limit(max_rows + 1).count()``
-    reads at most max_rows + 1 rows.  Above the bound the frame is returned as is and
-    the planner (AQE, runtime sizes) picks the join."""
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(df), True
-    return df, False
-
-
 def join_many_to_one(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
     how: str = "left",
-    max_broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Left equi-join where ``right`` has at most one row per key (it comes
-    from a groupBy on ``keys``).  With ``max_broadcast_rows`` the right side is
-    broadcast only when a bounded count proves it small; otherwise AQE decides
-    from runtime sizes (sort-merge or shuffled-hash, skew-join splitting)."""
-    if max_broadcast_rows is not None:
-        right, _ = broadcast_if_small(right, max_broadcast_rows)
+    from a groupBy on ``keys``).  AQE decides the join from runtime sizes (broadcast,
+    sort-merge or shuffled-hash, skew-join splitting)."""
     return left.join(right, on=list(keys), how=how)
 
 
@@ -124,10 +110,3 @@ def assert_unique_keys(df: DataFrame, keys: Sequence[str], name: str = "frame")
     if dup:
         raise ValueError(f"{name}: duplicate keys {list(keys)}, e.g. {dup[0].asDict()}")
 
-
-def add_missing_columns(df: DataFrame, columns: Sequence[str], dtype: str = "double") -> DataFrame:
-    """Requested-but-absent columns as typed NULLs."""
-    for c in columns:
-        if c not in df.columns:
-            df = df.withColumn(c, F.lit(None).cast(dtype))
-    return df

@@ -5,21 +5,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftkit.operators import classify, cluster, profile, splits
+from driftkit.operators import classify, cluster, profile, prune, splits
 from driftkit.operators.outlier import mahalanobis_outliers
 from driftkit.plans import fault_study as fs
 from driftkit.plans.catalog import register, rounded
 from driftkit.plans.q_telemetry import _label_sql, _node_sql
-from driftkit.sources.tables import vectors
-
-_FRAMES: dict = {}
-
+from driftkit.sources.tables import read_table, vectors
 
 def frame(spark, sf_dir):
-    key = (id(spark), sf_dir)
-    if key not in _FRAMES:
-        _FRAMES[key] = fs.classification_frame(spark, sf_dir)
-    return _FRAMES[key]
+    return fs.classification_frame(spark, sf_dir)
 
 
 # Name rules applied to the label table's columns (P10 leakage, P11 counts and
@@ -48,7 +42,7 @@ def q_missingness(spark, sf_dir):
     lab = fs.label_table(spark, sf_dir)
     cols = ["click", "error", "purchase", "signup", "view", "calibration_lag_hours", "env_a", "env_b", "click_last_obs",
             "error_last_obs", "error_threshold", "purchase_threshold"]
-    _, info = __import__("driftkit.operators.prune", fromlist=["x"]).drop_high_missingness(lab.select(*cols), 0.5)
+    _, info = prune.drop_high_missingness(lab.select(*cols), 0.5)
     rows = [(c, info["rates"][c], info["rates"][c] > 0.5) for c in cols]
     return rounded(spark.createDataFrame(rows, "feature string, missing_rate double, dropped boolean"))
 
@@ -156,13 +150,14 @@ def q_pca(spark, sf_dir):
 def q_kmeans(spark, sf_dir):
     df, feats = _vec(spark, sf_dir)
     _, _, _, proj = cluster.pca(df, feats, keep=["vec_id", "label"])
-    km = cluster.kmeans(proj.cache(), "pcs", 3, keep=["vec_id", "label"])
+    km = cluster.kmeans(proj, "pcs", 3, keep=["vec_id", "label"])
     return cluster.contingency(km, "cluster", "label")
 
 
-@register("a25_label_contingency", """SELECT label, count(*) AS count FROM embeddings GROUP BY label""")
-def q_label_counts(spark, sf_dir):
-    return vectors(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("count"))
+@register("a25_label_contingency", """SELECT event_type, user_id % 3 AS backend, count(*) AS count FROM events GROUP BY ALL""")
+def q_label_contingency(spark, sf_dir):
+    events = read_table(spark, sf_dir, "events").withColumn("backend", F.col("user_id") % 3)
+    return cluster.contingency(events, "event_type", "backend")
 
 
 _FOLD_SQL = f"""{_node_sql()},

@@ -13,15 +13,9 @@ from driftkit.operators.preprocess import fit_preprocessing
 from driftkit.plans import regression_study as rs
 from driftkit.plans.catalog import register, rounded
 
-_STUDIES: dict = {}
-
-
 def study(spark, sf_dir):
-    """The whole study once per (session, data dir); queries below read its pieces."""
-    key = (id(spark), sf_dir)
-    if key not in _STUDIES:
-        _STUDIES[key] = rs.run(spark, sf_dir)
-    return _STUDIES[key]
+    """The whole study; queries below read its pieces."""
+    return rs.run(spark, sf_dir)
 
 
 RF_SQL = """rf0 AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_shipdate AS model_time, l_extendedprice / 1000.0 AS y,

@@ -289,7 +289,7 @@ SELECT m.backend, m.q1, m.q2, m.model_time, rnd(cz_error) AS cz_error, rnd(calib
        rnd(envf.env_a) AS env_a, rnd(envf.env_b) AS env_b
 FROM m LEFT JOIN envf USING (backend, model_time)""")
 def q_edge_snapshot(spark, sf_dir):
-    cfg = node_cfg(rolling_columns=(), max_broadcast_rows=1_000_000)
+    cfg = node_cfg(rolling_columns=())
     feed = edge_feed(spark, sf_dir)
     env = telemetry.environment_features(feed, cfg)
     return rounded(telemetry.edge_snapshot(feed, env, cfg))

@@ -48,7 +48,6 @@ class FeedConfig:
     drop_rows_without_future_label: bool = True
     threshold_method: str = "blocked"
     block_us: int | None = None
-    max_broadcast_rows: int | None = None
     extra: dict = field(default_factory=dict)
 
 
@@ -79,7 +78,7 @@ def node_snapshot(df: DataFrame, env: DataFrame | None, cfg: FeedConfig, with_fu
     extra = ["calibration_lag_hours"] if "calibration_lag_hours" in df.columns else []
     wide = reshape.pivot_median(rows, [g, e, t], cfg.properties, cfg.property_col, cfg.value_col, extra)
     if env is not None:
-        wide = reshape.join_many_to_one(wide, env, [g, t], "left", cfg.max_broadcast_rows)
+        wide = reshape.join_many_to_one(wide, env, [g, t], "left")
     hist = [sanitize_name(c) for c in cfg.history_columns if sanitize_name(c) in wide.columns]
     cap = parse_duration_us(cfg.history_max_age)
     targets = [sanitize_name(c) for c in cfg.targets if sanitize_name(c) in wide.columns] if with_future else []
@@ -100,7 +99,7 @@ def edge_snapshot(df: DataFrame, env: DataFrame | None, cfg: FeedConfig) -> Data
     extra = ["calibration_lag_hours"] if "calibration_lag_hours" in df.columns else []
     edges = reshape.edge_medians(rows, [g, "q1", "q2", t], cfg.value_col, "cz_error", extra)
     if env is not None:
-        edges = reshape.join_many_to_one(edges, env, [g, t], "left", cfg.max_broadcast_rows)
+        edges = reshape.join_many_to_one(edges, env, [g, t], "left")
     return edges
 
 

@@ -48,6 +48,21 @@ def test_low_information(spark):
     assert out.columns == ["qubit", "protected", "ok"]
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_times_are_utc_in_any_session(spark, zone):
+    from driftkit.functions.scalar import to_timestamp_ntz
+
+    want = {"2026-04-07T00:00:00Z": "2026-04-07 00:00:00", "2026-03-08 02:30:00": "2026-03-08 02:30:00", "2026-04-07 01:00:00.5+02:00": "2026-04-06 23:00:00.5",
+            "2026-04-07": "2026-04-07 00:00:00", "nonsense": None, None: None}
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        rows = spark.createDataFrame([(k,) for k in want], "t string").select("t", to_timestamp_ntz("t").cast("string").alias("u")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert {r.t: r.u for r in rows} == want
+
+
 def test_leakage_rule():
     for c in ["a_future_max_24h", "future_x", "sx_error_fault_24h", "x_future_fault_y"]:
         assert prune.is_leakage_column(c)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftkit.operators import metrics, regress
 from driftkit.operators.gram import gram
 from driftkit.operators.outlier import chi2_cdf, chi2_quantile
+from driftkit.operators.preprocess import fit_preprocessing
 from driftkit.operators.scan import prefix_sums
 
 
@@ -176,12 +177,28 @@ def test_exact_quantiles_match_numpy(spark):
     wide = spark.createDataFrame([tuple(float(x) for x in vals[:, i]) for i in range(101)], "a double, b double, c double")
     med = exact_column_medians(wide, ["a", "b", "c"])
     assert [med["a"], med["b"], med["c"]] == pytest.approx(list(np.median(vals, axis=1)))
-    big = fit_preprocessing(wide, ["a", "b"], [], exact_limit=10)
-    small = fit_preprocessing(wide, ["a", "b"], [])
-    assert big.medians == pytest.approx(small.medians) and big.scales == pytest.approx(small.scales)
+    model = fit_preprocessing(wide, ["a", "b"], [])
+    assert [model.medians[c] for c in "ab"] == pytest.approx(list(np.median(vals, axis=1)[:2]))
+    assert [model.scales[c] for c in "ab"] == pytest.approx(list(np.std(vals, axis=1)[:2]))
 
 
-def test_fold_params_large_path_matches_small(spark):
+def test_preprocessing_edge_values(spark):
+    from pyspark.errors import PySparkException
+
+    nan = float("nan")
+    df = spark.createDataFrame([(v, 5e-7 + s * 1e-7, 3.0, c) for v, s, c in [(1.0, 1, "a"), (2.0, 2, "b"), (3.0, 3, "a"), (nan, 4, "b"), (None, 5, "a")]], "x double, tiny double, same double, c string")
+    model = fit_preprocessing(df, ["x", "tiny", "same"], ["c"])
+    assert model.medians["x"] == 2.0 and model.means["x"] == pytest.approx(2.0)
+    assert model.scales["tiny"] == pytest.approx(np.std([1, 2, 3, 4, 5]) * 1e-7) and model.scales["same"] == 1.0
+    assert all(v is not None and not np.isnan(v) for r in model.transform(df).collect() for v in r)
+    strange = df.withColumn("c", F.lit("zz"))
+    with pytest.raises(PySparkException, match="unknown category"):
+        model.transform(strange).collect()
+    zeros = fit_preprocessing(df, [], ["c"], drop_first=False).transform(strange).first()
+    assert list(zeros) == [0.0, 0.0]
+
+
+def test_fold_params_by_block_and_by_mask(spark):
     from driftkit.operators.regress import LinearDesign
 
     rng = np.random.default_rng(12)
@@ -191,7 +208,7 @@ def test_fold_params_large_path_matches_small(spark):
     d = LinearDesign(["x"], ["c"], "y", {"c": ["A", "B"]})
     masks = {f: F.col("_blk") < f for f in range(1, 4)}
     small = d.fold_params(df, masks)
-    large = d.fold_params(df, masks, block_col="_blk", exact_limit=10)
+    large = d.fold_params(df, masks, block_col="_blk")
     for f in range(1, 4):
         assert large[f].medians["x"] == pytest.approx(small[f].medians["x"])
         assert large[f].modes == small[f].modes and large[f].categories == small[f].categories
