@@ -165,7 +165,8 @@ def sample_vectors(rows: DataFrame, sample_rows: int, seed: int) -> np.ndarray:
     picked = rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample_rows).select("vec").collect()
     lengths = [len(r.vec) for r in picked]
     usual = max(sorted(set(lengths)), key=lengths.count) if lengths else 0
-    return np.array([r.vec for r in picked if len(r.vec) == usual], dtype=float).reshape(-1, usual)
+    chosen = [r.vec for r in picked if len(r.vec) == usual]
+    return np.array(chosen, dtype=float).reshape(len(chosen), usual)
 
 
 def approximate_neighbours(

@@ -85,7 +85,7 @@ def _mixed(slim: DataFrame, tie: list[str], blocks: int, epochs: int, weights: t
     sizes = slim.groupBy("no_source", "source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, epochs, weights)
     seats = block_quotas(targets, blocks, shards).groupBy("no_source", "source").agg(F.count(F.lit(1)).alias("seats"))
-    words = F.floor(F.coalesce(F.col("seats"), F.lit(0)) * F.col("total") / blocks)
+    words = F.expr(f"(2 * coalesce(seats, 0) * total + {blocks}) DIV {2 * blocks}")  # to the nearest word
     quota = targets.join(seats, ["no_source", "source"], "left").select(
         "no_source", "source", "source_size", "target", F.least(words, F.col("source_size") * epochs).cast("long").alias("words")
     )

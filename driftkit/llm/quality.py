@@ -100,7 +100,8 @@ def fit_weights(docs: DataFrame, labels: DataFrame, sample_rows: int, bits: int,
     # bounded by sample_rows: one task learns, in an order fixed by the seed
     ready = map_batches(sample.select("doc_id", "text", "y"), "doc_id long, y int, at binary, x binary", work)
     lined = ready.repartition(1).sortWithinPartitions(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").select("at", "x", "y")
-    return np.frombuffer(lined.mapInArrow(train, "weights binary").first().weights, np.float32).astype(float)
+    made = lined.mapInArrow(train, "weights binary").first()  # None: no labelled rows, no task
+    return np.frombuffer(made.weights, np.float32).astype(float) if made else np.zeros((1 << bits) + 1)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, bits: int = BITS, epochs: int = 3, threshold: float = 0.5, seed: int = 5) -> DataFrame:

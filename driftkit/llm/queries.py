@@ -136,7 +136,7 @@ WITH d AS (
 ), seats AS (
   SELECT no_source, s, count(*) AS seats FROM won GROUP BY ALL
 ), quota AS (
-  SELECT t.*, least(coalesce(seats, 0) * total // {BLOCKS}, {EPOCHS} * source_size) AS words FROM t LEFT JOIN seats USING (no_source, s)
+  SELECT t.*, least((2 * coalesce(seats, 0) * total + {BLOCKS}) // {2 * BLOCKS}, {EPOCHS} * source_size) AS words FROM t LEFT JOIN seats USING (no_source, s)
 ), line AS (
   SELECT d.*, coalesce(sum(size) OVER (PARTITION BY no_source, s ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d
 )

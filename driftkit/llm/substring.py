@@ -201,7 +201,7 @@ def deduplicated(docs: DataFrame, window: int = 13, carry: str | None = None, wi
         lanes, of_doc = lanes[:, order], of_doc[order]
         new = np.concatenate([[True], (np.diff(lanes[0]) != 0) | (np.diff(lanes[1]) != 0)]) if len(of_doc) else np.zeros(0, bool)
         head = np.flatnonzero(new)
-        last = np.append(head[1:], len(of_doc)) - 1
+        last = np.append(head[1:], len(of_doc))[:len(head)] - 1  # no head at all where nothing passed
         return of(KEYS, chunk=np.full(len(head), table.column("chunk")[0].as_py(), np.int32), one=lanes[0][head].view(np.int64), two=lanes[1][head].view(np.int64), first=of_doc[head], several=of_doc[last] > of_doc[head])
 
     def cut(table: pa.Table, reply: pa.Table) -> pa.Table:
