@@ -1,12 +1,11 @@
 """One-pass sufficient statistics for linear models.
 
-``gram`` computes n, sum(x), X'X, X'y and y'y in ONE aggregation (built-in
-``sum(x_i * x_j)`` expressions, partially aggregated per partition); only the
-(p+1)x(p+1) result reaches the driver.  ``grouped_gram`` does the same per
-block key (e.g. time-ordered CV blocks), so every fold's training Gram is a
-prefix sum of block Grams.  Everything linear - OLS, VIF, Cook's distance,
-ridge, lasso by coordinate descent, validation R^2 - is then solved on p x p
-matrices.
+``outer_sums`` is the one engine: the sum of z z' over the rows, per key when
+asked, added up with numpy inside tasks and by a keyed sum across them.  From it
+come Gram matrices (n, sum(x), X'X, X'y, y'y; per time-ordered CV block, so
+every fold's training Gram is a prefix sum) and pairwise-complete correlations.
+Everything linear - OLS, VIF, Cook's distance, ridge, lasso by coordinate
+descent, validation R^2 - is then solved on p x p matrices.
 """
 
 from __future__ import annotations
@@ -15,8 +14,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass
@@ -69,89 +71,104 @@ class Gram:
         return float(self.yty - self.sy ** 2 / self.n)
 
 
-def _exprs(features: Sequence[str], target: str | None, weight: Column | None):
-    xs = [F.col(f).cast("double") for f in features]
-    wt = weight if weight is not None else None
-    m = (lambda e: e * wt) if wt is not None else (lambda e: e)
-    out = [F.sum(m(F.lit(1.0))).alias("n")]
-    out += [F.sum(m(x)).alias(f"s{i}") for i, x in enumerate(xs)]
-    out += [F.sum(m(xs[i] * xs[j])).alias(f"g{i}_{j}") for i in range(len(xs)) for j in range(i, len(xs))]
-    if target is not None:
-        y = F.col(target).cast("double")
-        out += [F.sum(m(y)).alias("sy"), F.sum(m(y * y)).alias("yy")]
-        out += [F.sum(m(x * y)).alias(f"xy{i}") for i, x in enumerate(xs)]
+def outer_sums(df: DataFrame, columns: Sequence[Column], key: Column | None = None, weight: Column | None = None) -> dict:
+    """{key: sum of w z z'} for the row vector ``z = columns`` (NULL and NaN entries count as 0).
+
+    Tasks add up their rows with numpy (``mapInArrow``) and emit the upper triangle
+    once; ``groupBy(key, position).sum`` with map-side partial sums adds the tasks
+    up on the executors.  keys x k (k + 1) / 2 numbers reach the driver, whatever
+    the number of partitions; ``key`` has few values (CV blocks)."""
+    k = len(columns)
+    upper = np.triu_indices(k)
+    staged = df.select((F.lit(0) if key is None else key).alias("_k"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("_w"),
+                       *[c.cast("double").alias(f"z{i}") for i, c in enumerate(columns)])
+    key_type = staged.schema["_k"].dataType
+
+    def part(batches):
+        sums: dict = {}
+        arrow_type = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            arrow_type = batch.column(0).type
+            coded = batch.column(0).dictionary_encode(null_encoding="encode")
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            w, *z = (np.nan_to_num(c.to_numpy(zero_copy_only=False).astype("float64"), nan=0.0, posinf=np.inf, neginf=-np.inf)
+                     for c in batch.columns[1:])
+            z = np.column_stack(z)
+            for code, value in enumerate(coded.dictionary.to_pylist()):
+                mine = codes == code
+                rows = z[mine]
+                sums[value] = sums.get(value, 0.0) + rows.T @ (rows * w[mine][:, None])
+        for value, total in sums.items():
+            flat = total[upper]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([value] * len(flat), arrow_type), pa.array(np.arange(len(flat), dtype="int32")), pa.array(flat)],
+                names=["_k", "_pos", "_s"])
+
+    schema = T.StructType([T.StructField("_k", key_type), T.StructField("_pos", T.IntegerType()), T.StructField("_s", T.DoubleType())])
+    out: dict = {}
+    for r in staged.mapInArrow(part, schema).groupBy("_k", "_pos").agg(F.sum("_s").alias("s")).collect():
+        m = out.setdefault(r["_k"], np.zeros((k, k)))
+        i, j = upper[0][r["_pos"]], upper[1][r["_pos"]]
+        m[i, j] = m[j, i] = r["s"]
     return out
 
 
-def _to_gram(r, features: Sequence[str], target: str | None) -> Gram:
-    p = len(features)
-    g = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            g[i, j] = g[j, i] = r[f"g{i}_{j}"] or 0.0
-    sx = np.array([r[f"s{i}"] or 0.0 for i in range(p)])
-    if target is None:
-        return Gram(list(features), float(r["n"] or 0.0), sx, g)
-    xty = np.array([r[f"xy{i}"] or 0.0 for i in range(p)])
-    return Gram(list(features), float(r["n"] or 0.0), sx, g, float(r["sy"] or 0.0), xty, float(r["yy"] or 0.0))
-
-
-WIDE = 12
-
-
-def _partial_grams(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    """Sum over partitions of [1, x]'[1, x] computed with numpy inside each task.
-
-    Each task emits ONE row (its (k+1)^2 partial sums), so what reaches the
-    driver is bounded by partitions x k^2, not by the data."""
-    k = len(cols) + 1
+def _complete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    ok = F.lit(True)
+    for c in cols:
+        x = F.col(c).cast("double")
+        ok = ok & x.isNotNull() & ~F.isnan(x)
+    return df.where(ok)
 
-    def part(it):
-        import pandas as pd
-
-        acc = np.zeros((k, k))
-        for pdf in it:
-            x = np.column_stack([np.ones(len(pdf))] + [pdf[c].to_numpy(dtype="float64") for c in cols])
-            acc += x.T @ x
-        yield pd.DataFrame({"g": [acc.ravel().tolist()]})
-
-    rows = df.select(*[F.col(c).cast("double") for c in cols]).mapInPandas(part, "g array<double>").collect()
-    total = np.zeros((k, k))
-    for r in rows:
-        total += np.asarray(r["g"]).reshape(k, k)
-    return total
 
+def _to_gram(m: np.ndarray, features: Sequence[str], target: str | None) -> Gram:
+    p = len(features)
+    g = Gram(list(features), float(m[0, 0]), m[0, 1:p + 1].copy(), m[1:p + 1, 1:p + 1].copy())
+    if target:
+        g.sy, g.xty, g.yty = float(m[0, p + 1]), m[1:p + 1, p + 1].copy(), float(m[p + 1, p + 1])
+    return g
 
-def gram(df: DataFrame, features: Sequence[str], target: str | None = None, weight: Column | None = None) -> Gram:
-    """One pass -> :class:`Gram` (rows with NULL features/target must be removed or imputed first).
 
-    Up to ``WIDE`` columns: one aggregation of built-in sums (codegen).  Wider:
-    per-partition numpy partial Grams (``mapInPandas``), summed on the driver."""
+def grouped_gram(df: DataFrame, key: str | Column | None, features: Sequence[str], target: str | None = None,
+                 weight: Column | None = None) -> dict:
+    """{key value: Gram} in one pass; rows with NULL or NaN in a used column are left out."""
     cols = list(features) + ([target] if target else [])
-    if weight is None and len(cols) > WIDE:
-        m = _partial_grams(df, cols)
-        p = len(features)
-        g = Gram(list(features), float(m[0, 0]), m[0, 1:p + 1].copy(), m[1:p + 1, 1:p + 1].copy())
-        if target:
-            g.sy, g.xty, g.yty = float(m[0, p + 1]), m[1:p + 1, p + 1].copy(), float(m[p + 1, p + 1])
-        return g
-    return _to_gram(df.agg(*_exprs(features, target, weight)).first(), features, target)
+    sums = outer_sums(_complete(df, cols), [F.lit(1.0), *[F.col(c) for c in cols]], F.col(key) if isinstance(key, str) else key, weight)
+    return {k: _to_gram(m, features, target) for k, m in sums.items()}
 
 
-def grouped_gram(df: DataFrame, key: str | Column, features: Sequence[str], target: str | None = None) -> dict:
-    """One aggregation grouped by ``key`` -> {key value: Gram} (few keys, e.g. CV blocks)."""
-    k = F.col(key) if isinstance(key, str) else key
-    rows = df.groupBy(k.alias("_k")).agg(*_exprs(features, target, None)).collect()
-    return {r["_k"]: _to_gram(r, features, target) for r in rows}
+def gram(df: DataFrame, features: Sequence[str], target: str | None = None, weight: Column | None = None) -> Gram:
+    """One pass -> :class:`Gram`; rows with NULL or NaN in a used column are left out."""
+    return grouped_gram(df, None, features, target, weight).get(0) or Gram.zero(features)
 
 
 def gram_long(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """The X'X entries as a long frame (feature_i, feature_j, value) - for inspection/checks."""
-    one = df.agg(*[F.sum(F.col(a).cast("double") * F.col(b).cast("double")).alias(f"{i}_{j}")
-                   for i, a in enumerate(features) for j, b in enumerate(features) if j >= i])
-    rows = [F.struct(F.lit(a).alias("feature_i"), F.lit(b).alias("feature_j"), F.col(f"{i}_{j}").alias("value"))
-            for i, a in enumerate(features) for j, b in enumerate(features) if j >= i]
-    return one.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+    """The X'X entries of :func:`gram` as a long frame (feature_i, feature_j, value)."""
+    g = gram(df, features)
+    rows = [(a, b, float(g.xtx[i, j])) for i, a in enumerate(features) for j, b in enumerate(features) if j >= i]
+    return df.sparkSession.createDataFrame(rows, "feature_i string, feature_j string, value double")
+
+
+def pairwise_correlations(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
+    """Pearson r of every pair over the rows where both are present (NaN: undefined).
+
+    One scan for the means (values are shifted by them, so large offsets cost no
+    digits), one for the masked products [present, x, x^2]'[present, x, x^2]."""
+    p = len(cols)
+    x = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols]
+    means = df.agg(*[F.avg(c) for c in x]).first()
+    shifted = [F.coalesce(c - F.lit(float(m or 0.0)), F.lit(0.0)) for c, m in zip(x, means)]
+    m = outer_sums(df, [*[c.isNotNull() for c in x], *shifted, *[s * s for s in shifted]]).get(0, np.zeros((3 * p, 3 * p)))
+    n, sx, sxx, sxy = m[:p, :p], m[p:2 * p, :p], m[2 * p:, :p], m[p:2 * p, p:2 * p]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov = sxy - sx * sx.T / n
+        var = sxx - sx * sx / n
+        size = n * np.square([float(v or 0.0) for v in means])[:, None]
+        var = np.where(var > 1e-24 * size, var, np.nan)  # below: rounding of a constant
+        r = cov / np.sqrt(var * var.T)
+    return np.clip(r, -1.0, 1.0)
 
 
 def quadratic_form(features: Sequence[str], a: np.ndarray, center: np.ndarray | None = None, constant: bool = False) -> Column:
@@ -173,21 +190,15 @@ def quadratic_form(features: Sequence[str], a: np.ndarray, center: np.ndarray |
 
 def add_quadratic_form(df: DataFrame, features: Sequence[str], a: np.ndarray, center: np.ndarray | None,
                        out_col: str) -> DataFrame:
-    """Add (x - c)' A (x - c).  Narrow: one codegen expression.  Wide: numpy on
-    Arrow batches inside each task (``mapInPandas``), all other columns kept."""
-    feats = list(features)
-    if len(feats) <= WIDE:
-        return df.withColumn(out_col, quadratic_form(feats, a, center=center))
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    c = np.zeros(len(feats)) if center is None else np.asarray(center, dtype=float)
+    """Add (x - c)' A (x - c), numpy on Arrow batches; only ``features`` leave the JVM.
+    NULL in a feature: NULL."""
+    c = np.zeros(len(features)) if center is None else np.asarray(center, dtype=float)
     amat = np.asarray(a, dtype=float)
-    schema = StructType(df.schema.fields + [StructField(out_col, DoubleType(), True)])
 
-    def part(it):
-        for pdf in it:
-            x = pdf[feats].to_numpy(dtype="float64") - c
-            pdf[out_col] = np.einsum("ij,jk,ik->i", x, amat, x)
-            yield pdf
+    @F.pandas_udf("double")
+    def form(*xs: pd.Series) -> pd.Series:
+        x = np.column_stack([s.to_numpy(dtype="float64") for s in xs]) - c
+        return pd.Series(np.einsum("ij,ij->i", x @ amat, x))
 
-    return df.mapInPandas(part, schema)
+    out = df.withColumn(out_col, form(*[F.col(f).cast("double") for f in features]))
+    return out.withColumn(out_col, F.nanvl(F.col(out_col), F.lit(None).cast("double")))

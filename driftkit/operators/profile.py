@@ -6,10 +6,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from driftkit.operators.gram import pairwise_correlations
 from driftkit.operators.quantiles import exact_quantiles
 
 
@@ -170,16 +172,11 @@ def target_correlations(df: DataFrame, target: str, features: Sequence[str] | No
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Long (a, b, r) Pearson matrix, pairwise-complete, one aggregation."""
-    cols = list(cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    one = df.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
-    rows = []
-    for a, b in pairs:
-        rows.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}__{b}").alias("r")))
-        if a != b:
-            rows.append(F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), F.col(f"{a}__{b}").alias("r")))
-    return one.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+    """Long (a, b, r) Pearson matrix, pairwise-complete; NULL where undefined
+    (a constant column, fewer than two common rows)."""
+    r = pairwise_correlations(df, list(cols))
+    rows = [(a, b, None if np.isnan(r[i, j]) else float(r[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 def high_correlation_pairs(corr_long: DataFrame, lo: float = 0.8, hi: float = 1.0, cols_order: Sequence[str] | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftkit.functions.names import sanitize_name
-from driftkit.operators.gram import Gram, quadratic_form
+from driftkit.operators.gram import Gram, outer_sums, quadratic_form
 
 
 # ----------------------------------------------------------------- design --
@@ -62,21 +62,10 @@ class LinearDesign:
         return cols
 
     def gram_u(self, df: DataFrame, key: Column | None = None):
-        """G_u (one aggregation); with ``key`` a dict {key: G_u} from one grouped aggregation."""
-        u = self.u_columns()
-        k = len(u)
-        aggs = [F.sum(u[i] * u[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
-
-        def to_mat(r):
-            m = np.zeros((k, k))
-            for i in range(k):
-                for j in range(i, k):
-                    m[i, j] = m[j, i] = r[f"g{i}_{j}"] or 0.0
-            return m
-
-        if key is None:
-            return to_mat(df.agg(*aggs).first())
-        return {r["_k"]: to_mat(r) for r in df.groupBy(key.alias("_k")).agg(*aggs).collect()}
+        """G_u in one pass; with ``key`` a dict {key: G_u}.  Rows without a target are left out."""
+        sums = outer_sums(df.where(F.col(self.target).isNotNull()), self.u_columns(), key)
+        size = len(self.u_names())
+        return sums if key is not None else sums.get(0, np.zeros((size, size)))
 
     # parameters -------------------------------------------------------------
     def fold_params(self, df: DataFrame, masks: dict, block_col: str | None = None) -> dict:

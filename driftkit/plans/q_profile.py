@@ -8,6 +8,7 @@ from driftkit.operators import profile, reshape
 from driftkit.plans import telemetry
 from driftkit.plans.catalog import NODE_PROPS, readings_sql, register, rounded
 from driftkit.plans.q_telemetry import _env_sql, _label_sql, _node_sql, _pivot_sql, node_cfg
+from driftkit.session import cut_lineage
 from driftkit.sources.tables import read_table, readings
 
 PIVOT_COLS = list(NODE_PROPS) + ["calibration_lag_hours"]
@@ -139,7 +140,8 @@ _ROLL = ["env_a_mean_prev_6h", "env_a_mean_prev_12h", "env_a_mean_prev_24h",
 
 
 def _env_features(spark, sf_dir):
-    return telemetry.environment_features(readings(spark, sf_dir, hourly=True), node_cfg())
+    """The environment table, stored once: correlations read it for the means and again for the products."""
+    return cut_lineage(telemetry.environment_features(readings(spark, sf_dir, hourly=True), node_cfg()).select(*_ROLL))
 
 
 def _corr_pairs_sql() -> str:

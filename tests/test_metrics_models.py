@@ -4,11 +4,12 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from driftkit.operators import metrics, regress
-from driftkit.operators.gram import gram
+from driftkit.operators import metrics, profile, regress
+from driftkit.operators.gram import gram, grouped_gram
 from driftkit.operators.outlier import chi2_cdf, chi2_quantile
 from driftkit.operators.preprocess import fit_preprocessing
 from driftkit.operators.scan import prefix_sums
@@ -106,13 +107,40 @@ def test_ols_ridge_lasso_vs_numpy(spark):
             assert abs(grad[j]) <= 0.1 + 1e-9
 
 
-def test_wide_gram_path_matches_numpy(spark):
+@pytest.mark.parametrize("copies", [1, 5])
+def test_gram_matches_numpy_over_complete_rows(spark, copies):
     df, x, y, cols = _reg_data(spark, n=60, p=3, seed=2)
-    wide = df.select(*[F.col(c) * k for c in cols for k in (1, 2, 3, 4, 5)])
-    names = wide.columns
-    g = gram(wide, names)
+    wide = df.select(*[(F.col(c) * (k + 1)).alias(f"{c}_{k}") for c in cols for k in range(copies)])
     arr = np.array(wide.collect(), dtype=float)
-    assert np.allclose(g.xtx, arr.T @ arr) and np.allclose(g.sx, arr.sum(0))
+    names = wide.columns
+    broken = wide.union(wide.limit(2).withColumn(names[0], F.lit(None).cast("double"))).union(
+        wide.limit(2).withColumn(names[-1], F.lit(float("nan"))))
+    g = gram(broken.repartition(5), names)
+    assert g.n == len(arr) and np.allclose(g.xtx, arr.T @ arr) and np.allclose(g.sx, arr.sum(0))
+    w = gram(wide, names, weight=F.lit(2.0))
+    assert w.n == 2 * len(arr) and np.allclose(w.xtx, 2 * arr.T @ arr)
+    by = grouped_gram(wide.withColumn("k", (F.col(names[0]) > 0).cast("int")), "k", names)
+    assert set(by) == {0, 1} and np.allclose(by[0].xtx + by[1].xtx, arr.T @ arr)
+    assert gram(wide.limit(0), names).n == 0
+
+
+def test_correlation_matrix_is_pairwise_complete_and_stable(spark):
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=200)
+    cols = {"a": a + 1e9, "b": 1e-7 * (a + rng.normal(size=200)), "c": rng.normal(size=200), "k": np.full(200, 0.1)}
+    cols["b"][rng.random(200) < 0.3] = np.nan
+    cols["c"][rng.random(200) < 0.3] = np.nan
+    pdf = pd.DataFrame(cols)
+    rows = [tuple(None if np.isnan(v) and i % 2 else float(v) for v in r) for i, r in enumerate(pdf.to_numpy())]
+    df = spark.createDataFrame(rows, "a double, b double, c double, k double").repartition(4)
+    got = {(r.a, r.b): r.r for r in profile.correlation_matrix(df, list(cols)).collect()}
+    want = pdf.corr()
+    assert len(got) == 16
+    for (i, j), r in got.items():
+        if "k" in (i, j):
+            assert r is None
+        else:
+            assert r == pytest.approx(want.loc[i, j], abs=1e-6)
 
 
 def test_cooks_distance_vs_leave_one_out(spark):
