@@ -171,9 +171,9 @@ def pairwise_correlations(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
     return np.clip(r, -1.0, 1.0)
 
 
-def quadratic_form(features: Sequence[str], a: np.ndarray, center: np.ndarray | None = None, constant: bool = False) -> Column:
+def quadratic_form(features: Sequence[str | Column], a: np.ndarray, center: np.ndarray | None = None, constant: bool = False) -> Column:
     """x' A x as a column expression (x optionally centred; with ``constant`` x = [1, features])."""
-    terms = ([F.lit(1.0)] if constant else []) + [F.col(f).cast("double") for f in features]
+    terms = ([F.lit(1.0)] if constant else []) + [(F.col(f) if isinstance(f, str) else f).cast("double") for f in features]
     if center is not None:
         terms = [t - F.lit(float(c)) for t, c in zip(terms, center)]
     k = len(terms)

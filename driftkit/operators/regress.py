@@ -264,13 +264,15 @@ def vif_table(spark: SparkSession, g: Gram, flag_above: float = 10.0) -> DataFra
     return spark.createDataFrame(rows, "feature string, vif double, high boolean").orderBy(F.col("vif").desc(), "feature")
 
 
-def leverage_and_cooks(scored: DataFrame, g: Gram, fit: LinearFit, y: str, yhat: str = "y_hat") -> DataFrame:
-    """M9 per row: h = x~'(X~'X~)^-1 x~ (x~ = [1, x]), e, D = e^2 h / (p~ s^2 (1 - h)^2)."""
+def leverage_and_cooks(scored: DataFrame, g: Gram, fit: LinearFit, y: str, yhat: str = "y_hat",
+                       columns: Sequence[Column] | None = None) -> DataFrame:
+    """M9 per row: h = x~'(X~'X~)^-1 x~ (x~ = [1, x]), e, D = e^2 h / (p~ s^2 (1 - h)^2).
+    ``columns``: the features as expressions, where the frame does not hold them by name."""
     a, _ = g.augmented()
     ainv = np.linalg.pinv(a)
     k = a.shape[0]
     s2 = g.sse(fit.intercept, fit.coef) / (g.n - k)
-    h = quadratic_form(g.features, ainv, constant=True)
+    h = quadratic_form(columns or g.features, ainv, constant=True)
     e = F.col(y) - F.col(yhat)
     return scored.withColumn("leverage", h).withColumn("residual", e).withColumn(
         "cooks_d", e * e * F.col("leverage") / (F.lit(k * s2) * (1 - F.col("leverage")) ** 2)

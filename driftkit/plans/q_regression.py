@@ -14,7 +14,7 @@ from driftkit.plans import regression_study as rs
 from driftkit.plans.catalog import register, rounded
 
 def study(spark, sf_dir):
-    """The whole study; queries below read its pieces."""
+    """The study over this call's tables; each query below computes only the pieces it reads."""
     return rs.run(spark, sf_dir)
 
 
@@ -192,7 +192,7 @@ def q_coef_cmp(spark, sf_dir):
 @register("m17_m18_model_comparison")
 def q_compare(spark, sf_dir):
     s = study(spark, sf_dir)
-    return rounded(rs.comparison_table(spark, [s["base_metrics"], s["ols_metrics"], s["lasso_metrics"], s["ridge_metrics"]]))
+    return rounded(rs.comparison_table(spark, s["metrics"]))
 
 
 @register("m7_m17_simple_regression", f"""WITH {RF_SQL},

@@ -11,7 +11,8 @@ aggregation).  The driver only solves p x p systems.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -101,40 +102,28 @@ def fit_full(train: DataFrame, numeric, cfg: StudyConfig, solver=regress.ols) ->
     return FittedLinear(d, fp, t, names, info, g, solver(g))
 
 
-def evaluate(fl: FittedLinear, train: DataFrame, test: DataFrame, model: str, extra: dict | None = None) -> dict:
-    """R^2 train/test and RMSE from Grams, MAE from one pass over the test rows."""
-    gt = fl.design.to_gram(fl.transform, fl.design.gram_u(test), fl.names)
-    mae = test.agg(F.avg(F.abs(F.col(fl.design.target) - fl.predict_expr())).alias("m")).first()["m"]
+def evaluate(fl: FittedLinear, gu_test: np.ndarray, mae: float, model: str, extra: dict | None = None) -> dict:
+    """R^2 train/test and RMSE from Grams (``gu_test``: G_u of the test rows)."""
+    gt = fl.design.to_gram(fl.transform, gu_test, fl.names)
     out = {"model": model, "R2_train": regress.r2(fl.gram, fl.fit), "R2_test": regress.r2(gt, fl.fit),
-           "RMSE_test": regress.rmse(gt, fl.fit), "MAE_test": float(mae)}
+           "RMSE_test": regress.rmse(gt, fl.fit), "MAE_test": mae}
     out.update(extra or {})
     return out
 
 
-def cooks_filter(train: DataFrame, numeric, cfg: StudyConfig) -> tuple[DataFrame, dict]:
-    """M9: baseline OLS (with constant), Cook's D per row as one expression, keep D <= m / N."""
-    fl = fit_full(train, numeric, cfg)
-    g = fl.gram
-    a, _ = g.augmented()
-    ainv = np.linalg.pinv(a)
-    k = a.shape[0]
-    n = g.n
-    s2 = g.sse(fl.fit.intercept, fl.fit.coef) / (n - k)
-    zc = fl.z_cols()
-    terms = [F.lit(1.0)] + zc
-    h = None
-    for i in range(k):
-        for j in range(i, k):
-            c = float(ainv[i, i]) if i == j else float(ainv[i, j] + ainv[j, i])
-            if c != 0.0:
-                t = F.lit(c) * terms[i] * terms[j]
-                h = t if h is None else h + t
-    e = F.col(cfg.target) - fl.predict_expr()
-    d = e * e * h / (F.lit(k * s2) * (F.lit(1.0) - h) ** 2)
-    limit = cfg.cooks_multiplier / n
-    scored = train.withColumn("cooks_d", d)
-    kept = scored.filter(F.col("cooks_d") <= F.lit(limit)).drop("cooks_d")
-    return kept, {"fit": fl, "threshold": limit, "n": n, "scored": scored}
+def mean_absolute_errors(test: DataFrame, models: Sequence[FittedLinear]) -> list[float]:
+    """MAE of every model in one pass over the test rows."""
+    y = F.col(models[0].design.target)
+    r = test.agg(*[F.avg(F.abs(y - m.predict_expr())).alias(f"m{i}") for i, m in enumerate(models)]).first()
+    return [float(v) for v in r]
+
+
+def cooks_filter(train: DataFrame, fl: FittedLinear, cfg: StudyConfig) -> tuple[DataFrame, dict]:
+    """M9: Cook's D of the baseline OLS (with constant) per row, keep D <= m / N."""
+    limit = cfg.cooks_multiplier / fl.gram.n
+    scored = regress.leverage_and_cooks(train.withColumn("y_hat", fl.predict_expr()), fl.gram, fl.fit, cfg.target, columns=fl.z_cols())
+    kept = scored.filter(F.col("cooks_d") <= F.lit(limit)).select(*train.columns)
+    return kept, {"fit": fl, "threshold": limit, "n": fl.gram.n, "scored": scored}
 
 
 def cv_blocks(train: DataFrame, cfg: StudyConfig):
@@ -146,19 +135,30 @@ def cv_blocks(train: DataFrame, cfg: StudyConfig):
     return idx.withColumn("_blk", blk), n
 
 
-def regularized_cv(train: DataFrame, numeric, cfg: StudyConfig, kind: str, grid) -> dict:
-    """M13 + M15: expanding-window CV over ``grid`` with R^2 scoring; refit on the best alpha.
+@dataclass
+class FoldStatistics:
+    """What every fold x alpha fit needs: G_u per block and the training parameters per fold."""
+    design: LinearDesign
+    block_grams: dict
+    params: dict
+
 
-    One grouped aggregation (G_u per block) + one aggregation (per-fold medians,
-    modes, categories); every fold x alpha fit and score is p x p algebra."""
-    idx, n = cv_blocks(train, cfg)
+def fold_statistics(train: DataFrame, numeric, cfg: StudyConfig) -> FoldStatistics:
+    """One pass for the block Grams and one aggregation for medians, modes and
+    categories; lasso and ridge share them."""
+    idx, _ = cv_blocks(train, cfg)
     d = _design(idx, numeric, cfg)
+    masks = {f: F.col("_blk") < f for f in range(1, cfg.cv_splits + 1)}
+    return FoldStatistics(d, d.gram_u(idx, F.col("_blk")), d.fold_params(idx, masks, block_col="_blk"))
+
+
+def regularized_cv(stats: FoldStatistics, full: FittedLinear, cfg: StudyConfig, kind: str, grid) -> dict:
+    """M13 + M15: expanding-window CV over ``grid`` with R^2 scoring, p x p algebra only;
+    refit on the best alpha from the Gram of the ``full`` training rows."""
+    d, gus, params = stats.design, stats.block_grams, stats.params
     k = cfg.cv_splits
-    gus = d.gram_u(idx, F.col("_blk"))
     size = len(d.u_names())
     gsum = lambda blocks: sum((gus.get(b, np.zeros((size, size))) for b in blocks), np.zeros((size, size)))
-    masks = {f: F.col("_blk") < f for f in range(1, k + 1)}
-    params = d.fold_params(idx, masks, block_col="_blk")
     solver = regress.lasso if kind == "lasso" else regress.ridge
     rows = []
     for f in range(1, k + 1):
@@ -182,8 +182,7 @@ def regularized_cv(train: DataFrame, numeric, cfg: StudyConfig, kind: str, grid)
             rank = pos + 1
         summary[i]["rank_test_score"] = rank
     best = summary[order[0]]["alpha"]
-    full = fit_full(train, numeric, cfg, solver=(lambda g: solver(g, best)))
-    return {"folds": rows, "curve": summary, "best_alpha": best, "fitted": full}
+    return {"folds": rows, "curve": summary, "best_alpha": best, "fitted": replace(full, fit=solver(full.gram, best))}
 
 
 def lasso_path(fl: FittedLinear, grid=PATH_GRID) -> list[tuple]:
@@ -196,29 +195,70 @@ def lasso_path(fl: FittedLinear, grid=PATH_GRID) -> list[tuple]:
     return out
 
 
-def run(spark: SparkSession, sf_dir: str, cfg: StudyConfig | None = None) -> dict:
-    """Whole study; returns small result tables as DataFrames."""
-    cfg = cfg or StudyConfig()
-    frame = regression_frame(spark, sf_dir)
-    prep = prepare(frame, cfg)
-    train, test, numeric = prep["train"], prep["test"], prep["numeric"]
-    base = fit_full(train, numeric, cfg)
-    base_metrics = evaluate(base, train, test, "Base OLS")
-    clean, cinfo = cooks_filter(train, numeric, cfg)
-    clean = clean.cache()
-    ols_fit = fit_full(clean, numeric, cfg)
-    ols_metrics = evaluate(ols_fit, clean, test, "OLS")
-    las = regularized_cv(clean, numeric, cfg, "lasso", LASSO_GRID)
-    rid = regularized_cv(clean, numeric, cfg, "ridge", RIDGE_GRID)
-    nsel = int(np.sum(las["fitted"].fit.coef != 0))
-    las_metrics = evaluate(las["fitted"], clean, test, "LASSO", {"alpha": las["best_alpha"], "n_features_selected": nsel,
-                                                                 "n_features_total": len(las["fitted"].names)})
-    rid_metrics = evaluate(rid["fitted"], clean, test, "Ridge", {"alpha": rid["best_alpha"],
-                                                                 "n_features_selected": int(np.sum(rid["fitted"].fit.coef != 0)),
-                                                                 "n_features_total": len(rid["fitted"].names)})
-    return {"cfg": cfg, "prep": prep, "base": base, "base_metrics": base_metrics, "clean": clean, "cooks": cinfo,
-            "ols": ols_fit, "ols_metrics": ols_metrics, "lasso": las, "ridge": rid,
-            "lasso_metrics": las_metrics, "ridge_metrics": rid_metrics}
+class Study:
+    """The study's pieces, each computed when first asked for and once per study
+    (a study is built per call, nothing is kept between calls)."""
+
+    def __init__(self, frame: DataFrame, cfg: StudyConfig | None = None):
+        self.frame, self.cfg = frame, cfg or StudyConfig()
+
+    def __getitem__(self, piece: str):
+        return getattr(self, piece)
+
+    @cached_property
+    def prep(self) -> dict:
+        return prepare(self.frame, self.cfg)
+
+    @cached_property
+    def base(self) -> FittedLinear:
+        return fit_full(self.prep["train"], self.prep["numeric"], self.cfg)
+
+    @cached_property
+    def _filtered(self) -> tuple[DataFrame, dict]:
+        kept, info = cooks_filter(self.prep["train"], self.base, self.cfg)
+        return cut_lineage(kept), info
+
+    @property
+    def clean(self) -> DataFrame:
+        return self._filtered[0]
+
+    @property
+    def cooks(self) -> dict:
+        return self._filtered[1]
+
+    @cached_property
+    def ols(self) -> FittedLinear:
+        return fit_full(self.clean, self.prep["numeric"], self.cfg)
+
+    @cached_property
+    def folds(self) -> FoldStatistics:
+        return fold_statistics(self.clean, self.prep["numeric"], self.cfg)
+
+    @cached_property
+    def lasso(self) -> dict:
+        return regularized_cv(self.folds, self.ols, self.cfg, "lasso", LASSO_GRID)
+
+    @cached_property
+    def ridge(self) -> dict:
+        return regularized_cv(self.folds, self.ols, self.cfg, "ridge", RIDGE_GRID)
+
+    @cached_property
+    def metrics(self) -> list[dict]:
+        """M17 of the four models; the three on the cleaned rows share one design and test Gram."""
+        test = self.prep["test"]
+        models = [self.base, self.ols, self.lasso["fitted"], self.ridge["fitted"]]
+        mae = mean_absolute_errors(test, models)
+        shared = self.ols.design.gram_u(test)
+        grams = [self.base.design.gram_u(test), shared, shared, shared]
+        extra = [None, None]
+        for cv in (self.lasso, self.ridge):
+            coef = cv["fitted"].fit.coef
+            extra.append({"alpha": cv["best_alpha"], "n_features_selected": int(np.sum(coef != 0)), "n_features_total": len(coef)})
+        return [evaluate(m, g, e, n, x) for m, g, e, n, x in zip(models, grams, mae, ("Base OLS", "OLS", "LASSO", "Ridge"), extra)]
+
+
+def run(spark: SparkSession, sf_dir: str, cfg: StudyConfig | None = None) -> Study:
+    return Study(regression_frame(spark, sf_dir), cfg)
 
 
 def comparison_table(spark: SparkSession, metric_rows: Sequence[dict]) -> DataFrame:
