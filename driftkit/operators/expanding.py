@@ -1,41 +1,48 @@
-"""Exact expanding quantile without one task per group (W7 at scale).
-
-For a group ordered by time, row i needs the q-quantile (linear interpolation)
-of all non-NULL values up to and including itself.  Rows are cut into time
-blocks.  For block j let E_j be the values of all earlier blocks (N_j of them)
-and b_j the block's own count.  Any row of block j asks for ranks
-floor(q (N_j + p - 1)) and +1 of E_j + (its first p own values), so only E_j's
-order statistics in [floor(q (N_j - 1)) - b_j - 1, floor(q (N_j + b_j - 1)) + 2]
-can matter: a slice of about (1 + q) b_j values plus the count below it.
-
-1. counts per (group, block) - tiny, to the driver;
-2. values range-partitioned and sorted by (group, value), checkpointed; counts
-   per (partition, group, block) - bounded by partitions x blocks - tell which
-   partition holds which ranks of every E_j;
-3. each partition emits the slice values it holds (numpy, ``mapInPandas``);
-   total emitted is about 2 n;
-4. ``applyInPandas`` per (group, block) merges the block's rows with its slice.
-
-No task ever holds more than one partition of values or one block plus its
-slice, whatever the size of a group.
+"""Exact expanding quantile without one task per group.
+
+For a group in time order, row i needs the q-quantile (linear interpolation) of
+all known values up to and including itself.  Every group is cut into blocks of
+``rows_per_block`` rows by its running row number, whatever its size or its
+times.  For block j let E_j be the values of all earlier blocks (``before`` of
+them) and ``held`` the block's own.  Any row of the block asks for ranks
+floor(q (before + p - 1)) and +1 of E_j + (its first p own values), so only E_j's
+order statistics in [floor(q (before - 1)) - held - 1, floor(q (before + held - 1)) + 2]
+can matter: a slice of about (1 + q) ``held`` values.
+
+1. Running row numbers and value counts come from distributed prefix sums.
+2. The values are numbered again in value order and cut into chunks; a table of
+   counts per (chunk, block), summed up over earlier blocks and lower chunks, says
+   which ranks of E_j a chunk holds.  These counts, the bounds and the routes are
+   DataFrames throughout; nothing of them reaches the driver or is broadcast.
+3. Values are joined to the routes of their chunk.  Chunks that many blocks ask
+   are spread over as many salts as they have routes (``ROUTES_PER_SALT`` each).
+4. Each (group, block) task merges its own rows with its slice.
+
+A task holds one partition of values, or one block and its slice, whatever the
+size of a group.  Several value columns go through the same passes as separate
+groups.  NaN is missing like NULL.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections import defaultdict
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftkit.functions.scalar import epoch_micros
+from driftkit.functions.scalar import nan_to_null
+from driftkit.operators.scan import prefix_sums
 from driftkit.session import cut_lineage
 
-GK, BLK, PID = "_gk", "_blk", "_pid"
+KEY, BLK, CHUNK, AT, TO, SALT, OF = "_key", "_blk", "_chunk", "_at", "_to", "_salt", "_of"
+ROWS_PER_BLOCK = 500_000
+ROUTES_PER_SALT = 8
 
 
 def running_quantiles(slice_sorted: np.ndarray, c0: int, before: int, own: np.ndarray, q: float, min_periods: int) -> np.ndarray:
@@ -46,15 +53,13 @@ def running_quantiles(slice_sorted: np.ndarray, c0: int, before: int, own: np.nd
     where L = floor(q (seen - 1)) - c0 is the needed rank.  L never decreases,
     so each insert is O(log n): push to the right heap, then move heap tops
     until ``lower`` has L + 1 elements."""
-    import heapq
-
     res = np.full(len(own), np.nan)
     seen = before
     merged_n = len(slice_sorted)
     lower: list = []
-    upper: list = list(slice_sorted)  # already sorted -> valid min-heap
-    for i, v in enumerate(own):
-        if not np.isnan(v):
+    upper: list = slice_sorted.tolist()  # already sorted -> valid min-heap
+    for i, v in enumerate(own.tolist()):
+        if not math.isnan(v):
             if lower and v <= -lower[0]:
                 heapq.heappush(lower, -v)
             else:
@@ -78,152 +83,80 @@ def running_quantiles(slice_sorted: np.ndarray, c0: int, before: int, own: np.nd
     return res
 
 
-def choose_block_us(df: DataFrame, group_cols: Sequence[str], time_col: str, rows_per_block: int) -> int | None:
-    """Block width giving the busiest group about ``rows_per_block`` rows per block;
-    ``None`` when every group fits one block (one small aggregation)."""
-    t = epoch_micros(time_col)
-    r = (df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n"), (F.max(t) - F.min(t)).alias("span"))
-         .agg(F.max("n").alias("n"), F.max("span").alias("span")).first())
-    n, span = int(r["n"] or 0), int(r["span"] or 0)
-    if n <= rows_per_block or span <= 0:
-        return None
-    return max(1, int(span * rows_per_block / n))
-
-
-def expanding_quantile_blocked(
+def _chunk_routes(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(group, chunk, target block, first, last): positions, among the chunk's values
+    of earlier blocks, that the target block asks for."""
+    cells = chunks.groupBy(KEY, CHUNK, BLK).agg(F.count(F.lit(1)).alias("n"))
+    grid = cells.select(KEY, CHUNK).distinct().join(blocks.select(KEY, BLK, "lo", "hi"), KEY)
+    grid = grid.join(cells, [KEY, CHUNK, BLK], "left")
+    earlier = Window.partitionBy(KEY, CHUNK).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy(KEY, BLK).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("here", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    grid = grid.withColumn("start", F.coalesce(F.sum("here").over(below), F.lit(0)))
+    asked = grid.where("here > 0 AND start <= hi AND start + here > lo")
+    return asked.select(
+        KEY, CHUNK, F.col(BLK).alias(TO),
+        F.greatest(F.col("lo") - F.col("start"), F.lit(0)).alias("first"),
+        F.least(F.col("hi") - F.col("start"), F.col("here") - 1).alias("last"),
+    )
+
+
+def _slices(chunks: DataFrame, routes: DataFrame) -> DataFrame:
+    """(group, block, value): what each block needs of its group's earlier values."""
+    salts = F.ceil(F.col("fan") / ROUTES_PER_SALT)
+    fans = routes.groupBy(KEY, CHUNK).agg(F.count(F.lit(1)).alias("fan"))
+    values = chunks.join(fans, [KEY, CHUNK]).withColumn(SALT, F.pmod(F.col(AT), salts)).drop("fan")
+    fan = F.count(F.lit(1)).over(Window.partitionBy(KEY, CHUNK))
+    spread = routes.withColumn("fan", fan).withColumn(SALT, F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("fan")
+    sent = values.join(spread, [KEY, CHUNK, SALT]).where(F.col(BLK) < F.col(TO))
+    place = F.row_number().over(Window.partitionBy(KEY, CHUNK, TO).orderBy("_v", AT)) - 1
+    return sent.withColumn("_place", place).where("_place BETWEEN first AND last").select(
+        F.col(KEY).alias("_to_key"), TO, F.col("_v").alias("_value"))
+
+
+def expanding_quantile(
     df: DataFrame,
     group_cols: Sequence[str],
     order_cols: Sequence[str],
-    value_col: str,
+    value_cols: Sequence[str],
     q: float = 0.95,
     min_periods: int = 10,
-    block_us: int | None = None,
     suffix: str = "_threshold",
-    partitions: int | None = None,
-    rows_per_block: int = 2_000_000,
+    rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
-    """Adds ``<value_col><suffix>``; ``order_cols[0]`` is the time column, the rest
-    break ties.  Keys (group + order columns) must be unique.  Without
-    ``block_us`` the block width is chosen so the busiest group gets about
-    ``rows_per_block`` rows per block (one small aggregation)."""
-    spark = df.sparkSession
-    if block_us is None:
-        block_us = choose_block_us(df, group_cols, order_cols[0], rows_per_block)
-        if block_us is None:
-            # every group is one block of at most rows_per_block rows: no earlier
-            # blocks, so the per-group pass is already bounded
-            from driftkit.operators.labels import expanding_quantile
-
-            return expanding_quantile(df, group_cols, order_cols, [value_col], q, min_periods, suffix)
-    n_part = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Adds ``<value><suffix>`` for each of ``value_cols``.  Rows are unique in group
+    and order columns; the first of ``order_cols`` is the time, the rest break ties."""
     keys = list(dict.fromkeys([*group_cols, *order_cols]))
-    out_col = value_col + suffix
-    base = df.select(*keys, F.col(value_col).cast("double").alias("_v")).withColumn(
-        GK, F.to_json(F.struct(*[F.col(g) for g in group_cols]))
-    ).withColumn(BLK, F.floor(epoch_micros(order_cols[0]) / F.lit(block_us)))
-    base = cut_lineage(base)
-    vals = base.filter(F.col("_v").isNotNull()).select(GK, BLK, "_v")
-
-    # 1. per (group, block) counts -> N_j (values before block j), b_j, slice bounds
-    counts = defaultdict(dict)
-    for r in base.groupBy(GK, BLK).agg(F.count("_v").alias("n")).collect():  # blocks with only NULLs too
-        counts[r[GK]][r[BLK]] = r["n"]
-    bounds = {}  # (gk, blk) -> (lo_rank, hi_rank, N_before)
-    for gk, per in counts.items():
-        before = 0
-        for blk in sorted(per):
-            b = per[blk]
-            if before > 0:
-                lo = max(0, int(math.floor(q * (before - 1))) - b - 1)
-                hi = min(before - 1, int(math.floor(q * (before + b - 1))) + 2)
-                bounds[(gk, blk)] = (lo, hi, before)
-            else:
-                bounds[(gk, blk)] = (0, -1, 0)
-            before += b
-
-    # 2. value-sorted, range-partitioned copy; counts per (partition, group, block)
-    ranged = (vals.repartitionByRange(n_part, GK, "_v") if partitions else vals.repartitionByRange(GK, "_v"))
-    ranged = ranged.sortWithinPartitions(GK, "_v").withColumn(PID, F.spark_partition_id())
-    ranged = cut_lineage(ranged)
-    pcount = defaultdict(lambda: defaultdict(int))  # (gk) -> {(pid, blk): count}
-    for r in ranged.groupBy(PID, GK, BLK).count().collect():
-        pcount[r[GK]][(r[PID], r[BLK])] = r["count"]
-
-    # driver: route each block's rank window to the partitions holding it.
-    # cnt[p, b] per group -> counts of earlier blocks per partition by a cumulative
-    # sum over blocks, partition offsets by a cumulative sum over partitions.
-    queries = defaultdict(list)  # pid -> [(gk, blk, local_lo, local_hi)]
-    for gk, per in pcount.items():
-        pids = sorted({p for p, _ in per})
-        blks = sorted(counts.get(gk, {}))
-        pi = {p: i for i, p in enumerate(pids)}
-        bi = {b: i for i, b in enumerate(blks)}
-        cnt = np.zeros((len(pids), len(blks) + 1), dtype=np.int64)
-        for (p, b), c in per.items():
-            cnt[pi[p], bi[b] + 1] += c
-        before_blk = np.cumsum(cnt, axis=1)  # [:, j] = values of blocks < blks[j] per partition
-        for j, blk in enumerate(blks):
-            lo, hi, _ = bounds[(gk, blk)]
-            if hi < lo:
-                continue
-            n_p = before_blk[:, j]
-            start = np.concatenate([[0], np.cumsum(n_p)[:-1]])
-            first = int(np.searchsorted(start + n_p, lo, side="right"))
-            for i in range(first, len(pids)):
-                if start[i] > hi:
-                    break
-                a, z = max(lo, int(start[i])), min(hi, int(start[i] + n_p[i] - 1))
-                if a <= z:
-                    queries[pids[i]].append((gk, blk, a - int(start[i]), z - int(start[i])))
-    routed = spark.sparkContext.broadcast(dict(queries))
-
-    def emit(it):
-        qs = routed.value
-        # Arrow hands one partition over in several batches; ranks are local to the
-        # whole (value-sorted) partition, so join the batches first
-        parts = [b for b in it if not b.empty]
-        if parts:
-            pdf = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
-            pid = int(pdf[PID].iloc[0])
-            mine = qs.get(pid, [])
-        else:
-            mine = []
-        if mine:
-            out_g, out_b, out_v = [], [], []
-            for gk, sub in pdf.groupby(GK, sort=False):
-                blocks = sub[BLK].to_numpy()
-                v = sub["_v"].to_numpy()
-                for qg, qb, a, z in mine:
-                    if qg != gk:
-                        continue
-                    sel = np.flatnonzero(blocks < qb)[a:z + 1]
-                    out_g += [gk] * len(sel)
-                    out_b += [qb] * len(sel)
-                    out_v.append(v[sel])
-            if out_g:
-                yield pd.DataFrame({GK: out_g, BLK: np.array(out_b, dtype="int64"), "_v": np.concatenate(out_v)})
-
-    # one Arrow batch per partition so each call sees its partition id once
-    slice_schema = f"{GK} string, {BLK} long, _v double"
-    slices = ranged.mapInPandas(emit, slice_schema).withColumn("_own", F.lit(False))
-
-    own = base.select(GK, BLK, "_v", *keys).withColumn("_own", F.lit(True))
-    both = own.unionByName(slices, allowMissingColumns=True)
-    bbc = spark.sparkContext.broadcast({k: v for k, v in bounds.items()})
-    key_fields = [df.schema[k] for k in keys]
-    out_schema = T.StructType([*key_fields, T.StructField(out_col, T.DoubleType(), True)])
-    oc = list(order_cols)
-
-    def per_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        gk, blk = pdf[GK].iloc[0], int(pdf[BLK].iloc[0])
-        lo, hi, before = bbc.value[(gk, blk)]
-        sl = np.sort(pdf.loc[~pdf["_own"], "_v"].to_numpy())
-        c0 = lo if hi >= lo else 0
-        mine = pdf.loc[pdf["_own"]].sort_values(oc, kind="mergesort")
-        res = running_quantiles(sl, c0, before, mine["_v"].to_numpy(), q, min_periods)
-        out = mine[keys].copy()
-        out[out_col] = res
-        return out
-
-    thr = both.groupBy(GK, BLK).applyInPandas(per_block, out_schema)
-    return df.join(thr, keys, "left")
+    entry = F.explode(F.array(*[F.struct(F.lit(c).alias(OF), nan_to_null(F.col(c).cast("double")).alias("_v")) for c in value_cols]))
+    long = df.select(*keys, entry.alias("_e")).select(*keys, f"_e.{OF}", "_e._v")
+    long = long.withColumns({
+        KEY: F.to_json(F.struct(OF, *group_cols)),
+        "_one": F.lit(1).cast("long"),
+        "_has": F.col("_v").isNotNull().cast("long"),
+    })
+    timed = prefix_sums(long, [F.col(c) for c in order_cols], ["_one", "_has"], [KEY])
+    block = F.expr(f"(_one_cum - 1) DIV {rows_per_block}")
+    own = cut_lineage(timed.select(KEY, block.alias(BLK), F.col("_one_cum").alias(AT), OF, *keys, "_v", "_has",
+                                   (F.col("_has_cum") - F.col("_has")).alias("_earlier")))
+    blocks = own.groupBy(KEY, BLK).agg(F.sum("_has").alias("held"), F.min("_earlier").alias("before"))
+    below = F.floor(F.lit(q) * (F.col("before") - 1)) - F.col("held") - 1
+    above = F.floor(F.lit(q) * (F.col("before") + F.col("held") - 1)) + 2
+    blocks = blocks.withColumns({"lo": F.greatest(below, F.lit(0)), "hi": F.least(above, F.col("before") - 1)})
+
+    ranked = prefix_sums(own.where("_v IS NOT NULL").select(KEY, BLK, AT, "_v", "_has"), [F.col("_v"), F.col(AT)], ["_has"], [KEY])
+    chunks = cut_lineage(ranked.select(KEY, F.expr(f"(_has_cum - 1) DIV {rows_per_block}").alias(CHUNK), BLK, AT, "_v"))
+    slices = _slices(chunks, cut_lineage(_chunk_routes(chunks, blocks)))
+
+    def merge(mine: pa.Table, asked: pa.Table) -> pa.Table:
+        mine = mine.sort_by(AT)
+        lo, before = (mine.column(c)[0].as_py() for c in ("lo", "before"))
+        found = running_quantiles(np.sort(asked.column("_value").to_numpy()), lo, before, mine.column("_v").to_numpy(), q, min_periods)
+        return pa.table({**{c: mine.column(c) for c in (OF, *keys)}, "_q": pa.array(found, from_pandas=True)})
+
+    schema = T.StructType([T.StructField(OF, T.StringType()), *[T.StructField(k, df.schema[k].dataType) for k in keys], T.StructField("_q", T.DoubleType())])
+    mine = own.join(blocks.select(KEY, BLK, "lo", "before"), [KEY, BLK]).select(KEY, BLK, AT, OF, *keys, "_v", "lo", "before")
+    found = mine.groupBy(KEY, BLK).cogroup(slices.groupBy("_to_key", TO)).applyInArrow(merge, schema)
+    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col(OF) == c, F.col("_q"))).alias(c + suffix) for c in value_cols])
+    wide = wide.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return df.join(wide, same, "left").drop(*[f"_k_{k}" for k in keys])

@@ -12,13 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from driftkit.operators import frames
+from driftkit.operators.expanding import expanding_quantile
 from driftkit.operators.frames import parse_duration_us
 
 
@@ -32,8 +30,8 @@ def expanding_quantile_sql(
     suffix: str = "_threshold",
 ) -> DataFrame:
     """W7 as a window: ``percentile`` over ROWS UNBOUNDED PRECEDING.  Exact, but the
-    buffer is re-read per row (quadratic in the group size): definitional form for
-    small data and the cross-check of :func:`expanding_quantile`."""
+    buffer is re-read per row (quadratic in the group size): the definition that
+    tests hold :func:`driftkit.operators.expanding.expanding_quantile` against."""
     w = Window.partitionBy(*group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     return df.select(
         "*",
@@ -41,45 +39,6 @@ def expanding_quantile_sql(
     )
 
 
-def _expanding_quantile_frame(pdf: pd.DataFrame, order_cols, value_cols, q, min_periods, suffix) -> pd.DataFrame:
-    pdf = pdf.sort_values(list(order_cols), kind="mergesort")
-    for c in value_cols:
-        s = pdf[c].astype("float64")
-        pdf[c + suffix] = s.expanding(min_periods=min_periods).quantile(q, interpolation="linear")
-        # pandas counts non-NaN values for min_periods, as the window form does
-    return pdf
-
-
-def expanding_quantile(
-    df: DataFrame,
-    group_cols: Sequence[str],
-    order_cols: Sequence[str],
-    value_cols: Sequence[str],
-    q: float = 0.95,
-    min_periods: int = 10,
-    suffix: str = "_threshold",
-) -> DataFrame:
-    """W7, O(n log n) per group with ``groupBy(group).applyInPandas``.
-
-    Only the key/order/value columns travel through Arrow; thresholds are joined
-    back on the row key (``group_cols + order_cols``, unique after the pivot).
-    Limit: one whole group's (key, value) columns sit in one task - a few
-    hundred MB per 10 M rows.
-    """
-    keys = list(dict.fromkeys([*group_cols, *order_cols]))
-    slim = df.select(*keys, *value_cols)
-    out_fields = [slim.schema[c] for c in keys] + [T.StructField(c + suffix, T.DoubleType(), True) for c in value_cols]
-    schema = T.StructType(out_fields)
-    oc, vc = list(order_cols), list(value_cols)
-
-    def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        res = _expanding_quantile_frame(pdf, oc, vc, q, min_periods, suffix)
-        return res[[f.name for f in out_fields]]
-
-    thresholds = slim.groupBy(*group_cols).applyInPandas(per_group, schema=schema)
-    return df.join(thresholds, on=keys, how="left")
-
-
 def future_horizon(
     df: DataFrame,
     entity_cols: Sequence[str],
@@ -135,7 +94,6 @@ def add_future_fault_labels(
     q: float = 0.95,
     min_periods: int = 10,
     drop_unlabelled: bool = True,
-    threshold_method: str = "blocked",
     block_us: int | None = None,
     future_ready: bool = False,
 ) -> DataFrame:
@@ -143,8 +101,6 @@ def add_future_fault_labels(
 
     Ties in time inside a group are ordered by the entity columns.
     ``future_ready``: the W8 columns are already present (fused with W2).
-    ``threshold_method``: "blocked" (exact, time blocks, any group size),
-    "pandas" (exact, one task per group), "sql" (exact window, quadratic).
     """
     from driftkit.session import cut_lineage
 
@@ -154,20 +110,7 @@ def add_future_fault_labels(
     # the snapshot is read by the threshold pass, its join and the horizon
     # windows: materialise it once in the shared checkpoint folder
     df = cut_lineage(df)
-    if threshold_method == "sql":
-        thr = expanding_quantile_sql(df, group_cols, order, targets, q, min_periods)
-    elif threshold_method == "pandas":
-        thr = expanding_quantile(df, group_cols, order, targets, q, min_periods)
-    else:
-        from driftkit.operators.expanding import choose_block_us, expanding_quantile_blocked
-
-        blk = choose_block_us(df, group_cols, time_col, 2_000_000) if block_us is None else block_us
-        if blk is None:  # every group fits one bounded block
-            thr = expanding_quantile(df, group_cols, order, targets, q, min_periods)
-        else:
-            thr = df
-            for c in targets:
-                thr = expanding_quantile_blocked(thr, group_cols, order, c, q, min_periods, block_us=blk)
+    thr = expanding_quantile(df, group_cols, order, targets, q, min_periods)
     # W8 columns may come precomputed from the same blocked pass as W2
     fut = thr if future_ready else future_horizon(thr, entity_cols, time_col, targets, horizon, tag=tag, block_us=block_us)
     lab = combine_labels(fut, targets, tag=tag)

@@ -111,8 +111,8 @@ def head_in_time_order(df: DataFrame, order_cols: Sequence[str], n: int) -> Data
 
 def deterministic_sample(df: DataFrame, n: int, id_cols: Sequence[str], seed: int = 42) -> DataFrame:
     """T5: seeded sample of ``n`` rows without replacement, reproducible across runs
-    and cluster sizes (order by a seeded hash of the row key)."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *id_cols), *id_cols).limit(n)
+    and cluster sizes (order by the md5 of seed and row key, which plain SQL can restate)."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in id_cols])), *id_cols).limit(n)
 
 
 def top_k(df: DataFrame, by: str | Column, k: int, by_abs: bool = False, ties: Sequence[str] = ()) -> DataFrame:

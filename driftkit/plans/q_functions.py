@@ -56,7 +56,8 @@ def q_head(spark, sf_dir):
     return splits.head_in_time_order(o, ["o_orderdate", "o_orderkey"], 100)
 
 
-@register("t5_seeded_sample")
+@register("t5_seeded_sample", """SELECT o_orderkey, rnd(o_totalprice) AS o_totalprice FROM orders
+ORDER BY md5(concat_ws(':', '42', CAST(o_orderkey AS VARCHAR))), o_orderkey LIMIT 1000""")
 def q_sample(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     return rounded(splits.deterministic_sample(o, 1000, ["o_orderkey"], seed=42))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from driftkit.functions.scalar import hours_between
 from driftkit.operators import causal, labels, reshape
+from driftkit.operators.expanding import expanding_quantile
 from driftkit.operators.ingest import parse_feed, parse_report
 from driftkit.plans import telemetry
 from driftkit.plans.catalog import EDGES_SQL, H6, H12, H24, HIST, NODE_PROPS, TARGETS, readings_sql, register, rounded
@@ -120,10 +121,10 @@ FROM lab WHERE fault_24h IS NOT NULL"""
 
 # ------------------------------------------------------------------ Spark --
 
-def flagship(spark, sf_dir, threshold_method: str = "blocked"):
+def flagship(spark, sf_dir):
     """readings_h -> pivot median -> last observation (24 h cap) -> expanding 0.95
     threshold per group -> 24 h future max/count -> labels -> drop unlabelled."""
-    cfg = node_cfg(environment_columns=(), threshold_method=threshold_method)
+    cfg = node_cfg(environment_columns=())
     feed = readings(spark, sf_dir, hourly=True)
     return rounded(telemetry.labelled_snapshot(feed, None, cfg))
 
@@ -262,7 +263,7 @@ FROM wide WINDOW wt AS (PARTITION BY backend ORDER BY model_time, qubit ROWS BET
 def q_threshold(spark, sf_dir):
     feed = readings(spark, sf_dir, hourly=True)
     wide = reshape.pivot_median(reshape.node_rows(feed, NODE_PROPS), ["backend", "qubit", "model_time"], ["error"])
-    return rounded(labels.expanding_quantile(wide, ["backend"], ["model_time", "qubit"], ["error"], 0.95, 10))
+    return rounded(expanding_quantile(wide, ["backend"], ["model_time", "qubit"], ["error"], 0.95, 10, rows_per_block=500))
 
 
 @register("w8_future_horizon", f"""WITH r AS ({readings_sql(True)}), wide AS ({_pivot_sql('r')})

@@ -46,7 +46,6 @@ class FeedConfig:
     threshold_quantile: float = 0.95
     threshold_min_periods: int = 10
     drop_rows_without_future_label: bool = True
-    threshold_method: str = "blocked"
     block_us: int | None = None
     extra: dict = field(default_factory=dict)
 
@@ -115,7 +114,6 @@ def label_table(node: DataFrame, cfg: FeedConfig, future_ready: bool = False) ->
         q=cfg.threshold_quantile,
         min_periods=cfg.threshold_min_periods,
         drop_unlabelled=cfg.drop_rows_without_future_label,
-        threshold_method=cfg.threshold_method,
         block_us=cfg.block_us,
         future_ready=future_ready,
     )

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftkit.operators import causal, labels, reshape
+from driftkit.operators.expanding import expanding_quantile
 
 T0 = datetime(2024, 1, 1)
 US = timedelta(microseconds=1)
@@ -67,8 +68,7 @@ def test_future_bound_and_labels(spark, block):
 def test_threshold_warm_up_and_label_combine(spark):
     data = [(1, q, T0 + q * H, float(q), None) for q in range(10)]
     df = spark.createDataFrame(data, "backend long, qubit long, model_time timestamp_ntz, a double, b double")
-    for method in ("pandas", "sql"):
-        fn = labels.expanding_quantile if method == "pandas" else labels.expanding_quantile_sql
+    for fn in (expanding_quantile, labels.expanding_quantile_sql):
         r = fn(df, ["backend"], ["model_time", "qubit"], ["a"], 0.95, 10).orderBy("model_time").collect()
         assert r[8].a_threshold is None and r[9].a_threshold == pytest.approx(8.55)
     comb = spark.createDataFrame([(0.2, 0.1, 1, None, None, 0)],
@@ -126,31 +126,29 @@ def test_blocked_frames_match_unblocked(spark):
     assert fa == fb
 
 
-@pytest.mark.parametrize("block", [None, 3_600_000_000 * 7, 3_600_000_000 * 50])
-def test_blocked_expanding_quantile_matches_pandas(spark, block):
+@pytest.mark.parametrize("rows_per_block", [7, 50, 10_000])
+def test_expanding_quantile_matches_the_window_form(spark, rows_per_block):
+    """Many blocks, some blocks and one block per group; NULL, NaN and a NULL group."""
     import random
 
-    from driftkit.operators.expanding import expanding_quantile_blocked
-
     rnd = random.Random(11)
-    data = [(g, q, T0 + timedelta(minutes=rnd.randrange(0, 20000)), rnd.choice([None, round(rnd.random(), 2)]))
-            for g in range(2) for q in range(6) for _ in range(40)]
-    df = spark.createDataFrame(data, "backend long, qubit long, model_time timestamp_ntz, a double").dropDuplicates(
+    data = [(g, q, T0 + timedelta(minutes=rnd.randrange(0, 20000)), rnd.choice([None, float("nan"), *[round(rnd.random(), 2) for _ in range(4)]]), rnd.random())
+            for g in (0, 1, None) for q in range(6) for _ in range(40)]
+    df = spark.createDataFrame(data, "backend long, qubit long, model_time timestamp_ntz, a double, b double").dropDuplicates(
         ["backend", "qubit", "model_time"])
-    want = {(r.backend, r.qubit, r.model_time): r.a_threshold for r in
-            labels.expanding_quantile(df, ["backend"], ["model_time", "qubit"], ["a"], 0.9, 10).collect()}
-    # tiny Arrow batches: every partition reaches Python in many pieces
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
-    try:
-        got = expanding_quantile_blocked(df, ["backend"], ["model_time", "qubit"], "a", 0.9, 10, block_us=block,
-                                         partitions=2).collect()
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    known = df.withColumn("a", F.nanvl("a", F.lit(None).cast("double")))
+    key = lambda r: (r.backend, r.qubit, r.model_time)
+    want = {key(r): r for r in labels.expanding_quantile_sql(known, ["backend"], ["model_time", "qubit"], ["a", "b"], 0.9, 10).collect()}
+    got = expanding_quantile(df, ["backend"], ["model_time", "qubit"], ["a", "b"], 0.9, 10, rows_per_block=rows_per_block).collect()
     assert len(got) == len(want)
     for r in got:
-        w = want[(r.backend, r.qubit, r.model_time)]
-        assert (r.a_threshold is None and w is None) or r.a_threshold == pytest.approx(w, abs=1e-12)
+        for c in ("a_threshold", "b_threshold"):
+            assert (r[c] is None and want[key(r)][c] is None) or r[c] == pytest.approx(want[key(r)][c], abs=1e-12)
+
+
+def test_expanding_quantile_of_nothing(spark):
+    df = spark.createDataFrame([], "backend long, qubit long, model_time timestamp_ntz, a double")
+    assert expanding_quantile(df, ["backend"], ["model_time", "qubit"], ["a"]).collect() == []
 
 
 def test_hot_key_spreads_over_blocks(spark):
