@@ -10,6 +10,9 @@
    source can win at most target/total * (blocks + sources/2) + 1/2 seats, so only
    that many are listed.  Won seats, in order of award, are dealt to ``shards``
    in equal runs: integer quotas per shard and source.
+   A source whose seats come to more than 1/``NEAR`` of its target (and a word)
+   beside it, or to none, takes its target to the nearest word instead: sources
+   that are small beside a block, and those whose seats such sources cannot hold.
 3. Selection: the documents of a source stand in seeded order on a line of words
    that is cut into the same equal-token blocks; its quota takes the first blocks
    of that order, going round again for repeats.  A document takes the words of
@@ -32,6 +35,7 @@ from driftkit.llm.ordering import bucket_count, prefix_before
 WEIGHTS = (1, 2, 3)
 BLOCKS = 65_536
 EPOCHS = 3
+NEAR = 128  # seats stand within target / NEAR of the target
 
 
 def source_targets(sizes: DataFrame, epochs: int = EPOCHS, weights: tuple = WEIGHTS) -> DataFrame:
@@ -85,7 +89,9 @@ def _mixed(slim: DataFrame, tie: list[str], blocks: int, epochs: int, weights: t
     sizes = slim.groupBy("no_source", "source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, epochs, weights)
     seats = block_quotas(targets, blocks, shards).groupBy("no_source", "source").agg(F.count(F.lit(1)).alias("seats"))
-    words = F.expr(f"(2 * coalesce(seats, 0) * total + {blocks}) DIV {2 * blocks}")  # to the nearest word
+    seated = F.expr(f"(2 * coalesce(seats, 0) * total + {blocks}) DIV {2 * blocks}")  # to the nearest word
+    near = F.abs(seated - F.col("target")) <= F.greatest(F.col("target") / NEAR, F.lit(1.0))
+    words = F.when(near & (seated > 0), seated).otherwise(F.floor(F.col("target") + 0.5))
     quota = targets.join(seats, ["no_source", "source"], "left").select(
         "no_source", "source", "source_size", "target", F.least(words, F.col("source_size") * epochs).cast("long").alias("words")
     )

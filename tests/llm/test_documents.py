@@ -76,6 +76,22 @@ def test_mix_caps_and_reshares(spark):
     assert got["a"].taken == 30 and got["b"].taken == 15 and got["c"].taken == pytest.approx(955, abs=1)
 
 
+def test_mix_reaches_small_sources(spark):
+    """Sources of 1e-6 of all words, of one or two blocks, and so many small ones that a large one wins their seats."""
+    docs = spark.range(2_000_000 // 500).selectExpr("id AS doc_id", "repeat('w ', 500) AS text", "'big' AS source")
+    small = spark.createDataFrame([(10_001, "a b", "tiny"), (10_002, "a " * 10, "half"), (10_003, "a " * 16, "one"), (10_004, "a " * 23, "two")], "doc_id long, text string, source string")
+    got = mix_sources(docs.union(small)).collect()
+    for source in {r.source for r in got}:
+        part = [r for r in got if r.source == source]
+        assert sum(r.taken for r in part) == pytest.approx(part[0].target, rel=0.01, abs=1), source
+    kept = {r.source for r in mixed_documents(docs.union(small)).select("source").distinct().collect()}
+    assert kept == {"big", "tiny", "half", "one", "two"}
+    many = docs.limit(20).union(spark.range(200).selectExpr("id + 20000", "'a b c'", "concat('s', id)"))
+    got = mix_sources(many, blocks=64).collect()
+    by = {r.source: (r.target, sum(x.taken for x in got if x.source == r.source)) for r in got}
+    assert len(by) == 201 and all(taken == pytest.approx(target, rel=0.01, abs=1) for target, taken in by.values())
+
+
 def greedy(pieces, word):
     longest, n, i = max(map(len, pieces)), 0, 0
     while i < len(word):
