@@ -3,7 +3,7 @@
 Vectors are packed, inside tasks, into blocks in vertical layout (one row per
 dimension).  Every query block meets every candidate block of its section once:
 candidate blocks are dealt over salts and query blocks are repeated per salt, so
-the meeting is an equi-join on (section, salt) and no side is broadcast.
+the meeting is an equi-join on (section, salt) and no block is broadcast.
 """
 
 from __future__ import annotations
@@ -83,9 +83,9 @@ def meet(queries: DataFrame, candidates: DataFrame, kernel: Callable, k: int, be
     ``kernel(q_ids, q, c_ids, c)`` gets row-major queries and vertical candidates
     and yields (query_id, ids, scores).  ``best`` is "high" or "low"."""
     candidates = stored(candidates)
-    per_section = candidates.groupBy("section").agg(F.ceil(F.count(F.lit(1)) / BLOCKS_PER_SALT).cast("int").alias("salts"))
-    salts = candidates.select(F.ceil(F.count(F.lit(1)).over(Window.partitionBy("section")) / BLOCKS_PER_SALT).cast("int").alias("salts"), "*")
-    dealt = salts.select("section", F.pmod(F.xxhash64("ids"), F.col("salts")).cast("int").alias("salt"), F.col("ids").alias("c_ids"), F.col("data").alias("c_data"))
+    # one row per part or odd vector length: broadcast, so that no block is shuffled by its section alone
+    per_section = F.broadcast(candidates.groupBy("section").agg(F.ceil(F.count(F.lit(1)) / BLOCKS_PER_SALT).cast("int").alias("salts")))
+    dealt = candidates.join(per_section, "section").select("section", F.pmod(F.xxhash64("ids"), F.col("salts")).cast("int").alias("salt"), F.col("ids").alias("c_ids"), F.col("data").alias("c_data"))
     asked = queries.join(per_section, "section").select("section", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     pairs = asked.hint("merge").join(dealt, ["section", "salt"]).select("q_ids", "q_data", "c_ids", "c_data")
     score_type = "long" if np.dtype(dtype) == np.int64 else "double"

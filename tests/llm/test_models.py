@@ -57,6 +57,20 @@ def test_exact_top_k(odd_vectors):
     assert exact_top_k(odd_vectors.limit(0)).count() == 0
 
 
+def test_blocks_are_not_gathered_by_section(odd_vectors, monkeypatch):
+    """Several blocks and salts give the same rows, and no window or join holds a section's blocks in one task."""
+    want = sorted(map(tuple, exact_top_k(odd_vectors).collect()))
+    monkeypatch.setattr("driftkit.llm.topk.BLOCK_ROWS", 4)
+    monkeypatch.setattr("driftkit.llm.topk.QUERY_ROWS", 2)
+    for search in (exact_top_k, approximate_neighbours):
+        got = search(odd_vectors)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "windowspecdefinition(section" not in plan
+        assert not [x for x in plan.split("\n") if "SortMergeJoin [section" in x and "salt" not in x]
+        if search is exact_top_k:
+            assert sorted(map(tuple, got.collect())) == want
+
+
 def test_neighbours_small_table_is_exact(odd_vectors):
     vecs = {r.vec_id: r.embedding for r in odd_vectors.collect() if r.vec_id is not None and r.embedding and all(x is not None and np.isfinite(x) for x in r.embedding) and any(r.embedding)}
     want = []
