@@ -1,25 +1,29 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max
-inverted index.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosines over inverted
+indexes.
 
 Fit, on a bounded sample of labelled rows (``sample_rows`` per class, a parameter):
-terms are words and word beginnings of 4 to 6 letters, lower-cased; the vocabulary
-keeps the ``terms`` terms most associated with the label (chi-square) among those
-at least ``lift`` times as frequent in toxic rows and in ``support`` of those.  Document frequencies for the
-IDF are counted over ALL documents.
-
-Vectors are tf * idf over the vocabulary plus one coordinate for the rest of the
-text (its length times ``rest``), so a long text with one chance hit stays far from
-a text that is full of them.
-
-Score: the index holds the examples' postings in aligned blocks of 64 examples and
-each term's maximum per block.  A document's upper bound for a block is the dot
-product of its weights with those maxima; blocks are visited by falling bound and
-the visit ends when no bound can reach the k-th best cosine, so the k nearest are
-exact.  Their votes, weighted by squared cosine and class weight, are smoothed
-with the share of toxic rows among examples that have no vocabulary term (they
-tie for texts without a term, which get just that share).
-
-Defined cases: NULL and empty texts, and texts without a vocabulary term, score
+terms are words and word beginnings of 4 to 6 letters, lower-cased (kept as 63-bit
+hashes).  EVERY term of the examples is indexed; document frequencies for the IDF
+are counted over ALL documents.  A text has two vectors:
+
+* whole: tf * idf over all terms of the examples;
+* marked: tf * idf over the ``terms`` terms most associated with the label
+  (chi-square) among those at least ``lift`` times as frequent in toxic rows and in
+  ``support`` of those, plus one coordinate for the rest of the text (its length
+  times ``rest``), so a long text with one chance hit stays far from a text that is
+  full of them.  Texts without such a term have the whole vector only.
+
+Score: an example's likeness is the larger of the two cosines, and the k examples
+of highest likeness vote, weighted by its square and by class weight, smoothed with
+the share of toxic rows among examples that have no marked term.  Both searches are
+exact.  For the marked vectors the index holds the examples' postings in aligned
+blocks of 64 examples and each term's maximum per block.  A document's upper bound
+for a block is the dot product of its weights with those maxima; blocks are visited
+by falling bound and the visit ends when no bound can reach the k-th best cosine.
+For the whole vectors the postings of all the text's terms are added up, those of
+terms that many examples have by one matrix product for a run of texts.
+
+Defined cases: NULL and empty texts, and texts without a term of any example, score
 that share; repeated rows score alike; ties (within 1e-12)
 go to the example with the larger share of terms, then the smaller doc_id; without labelled rows every score is 0; empty table: no rows; other
 columns are not read.
@@ -28,12 +32,12 @@ columns are not read.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,29 +47,126 @@ SAMPLE_ROWS = 4000
 TERMS = 4096
 BLOCK = 64
 REST = 0.05  # weight, per word, of the text outside the vocabulary
+RUN = 64  # texts scored by one matrix product
+COMMON = 5  # a term is common if one example in so many has it
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def run_terms(run: str) -> tuple[str, ...]:
+    """Terms of a letter run: itself and its beginnings."""
+    return (run, *(run[:n] + "*" for n in (4, 5, 6) if len(run) > n))
+
+
 def word_terms(word: bytes) -> tuple[str, ...]:
     """Terms of one white-space word: its letter runs and their beginnings."""
-    out = []
-    for run in LETTERS.findall(word.decode("utf-8", "replace").lower()):
-        out.append(run)
-        out += [run[:n] + "*" for n in (4, 5, 6) if len(run) > n]
-    return tuple(out)
+    return tuple(t for run in LETTERS.findall(word.decode("utf-8", "replace").lower()) for t in run_terms(run))
+
+
+def term_hash(term: str) -> int:
+    return xxhash.xxh64_intdigest(term.encode("utf-8", "replace"), 5) >> 1
+
+
+def hashed_terms(text: bytes | None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Hashes and counts of a text's terms, and its length in words of six letters."""
+    low = text.decode("utf-8", "replace").lower() if text else ""
+    found = [term_hash(t) for run in LETTERS.findall(low) for t in run_terms(run)]
+    return *np.unique(np.array(found, np.int64), return_counts=True), len(low) / 6
+
+
+class Matcher:
+    """Counts, by place in the sorted hashes, of the terms of a text that examples have."""
+
+    def __init__(self, hashes: np.ndarray, limit: int = 150_000):
+        self.hashes, self.limit = hashes, limit
+        self.places: dict[str, list[int]] = {}
+
+    def look_up(self, runs: list[str]) -> None:
+        terms = [run_terms(run) for run in runs]
+        wanted = np.array([term_hash(t) for ts in terms for t in ts], np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        at = np.where(self.hashes[at] == wanted, at, -1).tolist()
+        begin = 0
+        for run, ts in zip(runs, terms):
+            self.places[run] = [i for i in at[begin:begin + len(ts)] if i >= 0]
+            begin += len(ts)
+
+    def counts(self, texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """(places, counts, length in words of six letters) of each of a run of texts."""
+        lows = [text.decode("utf-8", "replace").lower() if text else "" for text in texts]
+        runs = [LETTERS.findall(low) if len(self.hashes) else [] for low in lows]
+        if len(self.places) > self.limit:
+            self.places.clear()
+        new = list({run for one in runs for run in one if run not in self.places})
+        if new:
+            self.look_up(new)
+        out = []
+        for low, one in zip(lows, runs):
+            found: list[int] = []
+            for run in one:
+                found += self.places[run]
+            out.append((*np.unique(np.array(found, np.int64), return_counts=True), len(low) / 6))
+        return out
+
+
+class Whole:
+    """Unit tf * idf vectors of the examples over all their terms, by term."""
+
+    def __init__(self, idf: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]):
+        self.idf, self.rows = idf, len(found)
+        sizes = np.array([len(t) for t, _ in found], np.int64)
+        term = np.concatenate([t.astype(np.int32) for t, _ in found]) if found else np.zeros(0, np.int32)
+        value = np.concatenate([self.unit(*f).astype(np.float32) for f in found]) if found else np.zeros(0, np.float32)
+        order = np.argsort(term, kind="stable").astype(np.int32)
+        self.starts = np.append(0, np.cumsum(np.bincount(term, minlength=len(idf))))
+        del term
+        self.values = value[order]
+        del value
+        self.examples = np.repeat(np.arange(len(found), dtype=np.int32), sizes)[order]
+        self.common = np.flatnonzero(np.diff(self.starts) * COMMON >= max(1, len(found)))
+
+    def unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        weights = counts * self.idf[terms]
+        return weights / (np.sqrt((weights * weights).sum()) or 1.0)
+
+    def spread(self) -> np.ndarray:
+        """The common terms' postings as a matrix (made once per task)."""
+        out = np.zeros((len(self.common), self.rows))
+        for row, t in enumerate(self.common):
+            i, j = self.starts[t], self.starts[t + 1]
+            out[row, self.examples[i:j]] = self.values[i:j]
+        return out
+
+    def cosines(self, found: list[tuple[np.ndarray, np.ndarray]], spread: np.ndarray) -> np.ndarray:
+        """Of each text (terms, counts) with each example."""
+        dense, rare = np.zeros((len(found), len(self.common))), []
+        for i, (terms, counts) in enumerate(found):
+            weights = self.unit(terms, counts)
+            row = np.searchsorted(self.common, terms)
+            known = row < len(self.common)
+            known[known] = self.common[row[known]] == terms[known]
+            dense[i, row[known]] = weights[known]
+            rare.append((terms[~known], weights[~known]))
+        out = dense @ spread
+        for i, (terms, weights) in enumerate(rare):
+            begin, size = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
+            at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+            out[i] += np.bincount(self.examples[at], np.repeat(weights, size) * self.values[at], self.rows)
+        return np.round(out, 12)  # sums in another order tie alike
 
 
 @dataclass
 class Index:
     """Block-max inverted index of unit example vectors."""
 
-    vocabulary: dict[str, int]
+    hashes: np.ndarray  # of all terms of the examples
+    marked: np.ndarray  # of those, place among the marked terms or -1
     idf: np.ndarray
     ids: np.ndarray  # of examples
     toxic: np.ndarray
     weight: np.ndarray
     prior: float
     pairs: list  # (term positions, values) per example
+    whole: Whole
     starts: np.ndarray = field(init=False)
     examples: np.ndarray = field(init=False)
     values: np.ndarray = field(init=False)
@@ -81,6 +182,7 @@ class Index:
         self.starts = np.searchsorted(term * blocks + self.examples // BLOCK, np.arange(len(self.idf) * blocks + 1))
         self.block_max = np.zeros((len(self.idf), blocks))
         np.maximum.at(self.block_max, (term, self.examples // BLOCK), self.values)
+        self.pairs = []  # not sent to the tasks
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k examples of highest positive cosine."""
@@ -100,58 +202,40 @@ class Index:
             best_at, best = best_at[order], best[order]
         return best_at, best
 
-    def vector(self, counts: dict, length: float) -> tuple[np.ndarray, np.ndarray]:
-        """Unit vector over the terms and one coordinate for the rest of the text."""
-        rest = len(self.idf) - 1
-        terms = np.append(np.fromiter(sorted(counts), np.int64, len(counts)), rest)
-        weights = np.array([*(counts[t] for t in terms[:-1].tolist()), length]) * self.idf[terms]
+    def vector(self, terms: np.ndarray, counts: np.ndarray, length: float) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vector over the marked terms and one coordinate for the rest of the text."""
+        place = self.marked[terms]
+        order = np.flatnonzero(place >= 0)
+        order = order[np.argsort(place[order])]
+        terms = np.append(place[order], len(self.idf) - 1)
+        weights = np.append(counts[order], length) * self.idf[terms]
         return terms, weights / (np.sqrt((weights * weights).sum()) or 1.0)
 
-    def score(self, counts: Counter, length: float, k: int, smoothing: float) -> tuple[float, list[int]]:
-        if not counts:
-            return self.prior, []
-        at, cosine = self.nearest(*self.vector(counts, length), k)
-        vote = np.minimum(cosine, 1.0) ** 2 * self.weight[at]
-        score = (float((vote * self.toxic[at]).sum()) + smoothing * self.prior) / (float(vote.sum()) + smoothing)
-        return score, self.ids[at[:3]].tolist()
-
-
-def is_letter(c: str) -> bool:
-    return c.isalnum() and not c.isdecimal()  # the class of LETTERS
-
-
-class Matcher:
-    """Counts of vocabulary terms in a whole text: one pass of a string automaton,
-    hits kept where a letter run begins (and, for a whole word, ends)."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        bodies: dict[str, list] = {}
-        for term, i in vocabulary.items():
-            bodies.setdefault(term.rstrip("*"), []).append((i, term.endswith("*")))
-        self.automaton = ahocorasick.Automaton()
-        for body, uses in bodies.items():
-            self.automaton.add_word(body, (len(body), uses))
-        self.empty = not bodies
-        if bodies:
-            self.automaton.make_automaton()
-
-    def counts(self, text: bytes | None) -> tuple[Counter, float]:
-        """Hits by term, and the length of the text in words of six letters."""
-        out: Counter = Counter()
-        if not text or self.empty:
-            return out, 0.0
-        low = text.decode("utf-8", "replace").lower()
-        for end, (size, uses) in self.automaton.iter(low):
-            begin = end - size
-            if begin >= 0 and is_letter(low[begin]):
+    def scores(self, found: list[tuple[np.ndarray, np.ndarray, float]], spread: np.ndarray, k: int, smoothing: float) -> Iterable[tuple[float, list[int]]]:
+        """Score and evidence of each of a run of texts (terms, counts, length)."""
+        for text, cosine in zip(found, self.whole.cosines([f[:2] for f in found], spread)):
+            near = np.flatnonzero(cosine > 0)
+            if len(near) > k:
+                near = near[cosine[near] >= np.partition(cosine[near], len(near) - k)[len(near) - k]]
+            at, best = near, cosine[near]
+            if (self.marked[text[0]] >= 0).any():
+                more, value = self.nearest(*self.vector(*text), k)
+                # the k best of the larger cosine are among the k best of either
+                at, inverse = np.unique(np.concatenate([near, more]), return_inverse=True)
+                best = np.zeros(len(at))
+                np.maximum.at(best, inverse, np.concatenate([cosine[near], value]))
+            if not len(at):
+                yield self.prior, []
                 continue
-            goes_on = end + 1 < len(low) and is_letter(low[end + 1])
-            out.update(i for i, beginning in uses if beginning == goes_on)
-        return out, len(low) / 6
+            order = np.lexsort((at, -best))[:k]
+            at, best = at[order], best[order]
+            vote = np.minimum(best, 1.0) ** 2 * self.weight[at]
+            score = (float((vote * self.toxic[at]).sum()) + smoothing * self.prior) / (float(vote.sum()) + smoothing)
+            yield score, self.ids[at[:3]].tolist()
 
 
 def choose_terms(sample: DataFrame, terms: int, lift: float, support: float) -> list[str]:
-    """Vocabulary: the most associated terms of a bounded sample (doc_id, text, y, weight)."""
+    """The most associated terms of a bounded sample (doc_id, text, y, weight)."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen = ({}, {})
@@ -181,35 +265,50 @@ def fit_index(docs: DataFrame, labels: DataFrame, sample_rows: int, terms: int,
     picked = labelled_sample(labels, "toxic", {0: sample_rows, 1: sample_rows}, seed)
     # at most 2 * sample_rows rows of three numbers: a proven bound for the broadcast
     sample = stored(docs.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]))
-    chosen = choose_terms(sample, terms, lift, support)
-    vocabulary = {t: i for i, t in enumerate(chosen)}
+    chosen = np.array([term_hash(t) for t in choose_terms(sample, terms, lift, support)], np.int64)
+
+    def examples(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [hashed_terms(t) for t in utf8(batch.column("text"))]
+        blobs = [pa.array([f[i].astype(kind).tobytes() for f in found], pa.binary()) for i, kind in enumerate((np.int64, np.int32))]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("weight"), *blobs, pa.array([f[2] for f in found], pa.float64())], names=["doc_id", "y", "weight", "terms", "counts", "length"])
+
+    rows = map_batches(sample.select("doc_id", "text", "y", "weight"), "doc_id long, y int, weight double, terms binary, counts binary, length double", examples).orderBy("doc_id").collect()
+    hashes = np.zeros(0, np.int64)
+    for i in range(0, len(rows), 500):  # by and by, for the driver's memory
+        hashes = np.unique(np.concatenate([hashes, *(np.frombuffer(r.terms, np.int64) for r in rows[i:i + 500])]))
+    marked = np.full(len(hashes), -1, np.int32)
+    marked[np.searchsorted(hashes, chosen)] = np.arange(len(chosen))
+    rows.reverse()
+    found, read = [], []
+    while rows:  # the hashes of an example go as its places come
+        r = rows.pop()
+        found.append((np.searchsorted(hashes, np.frombuffer(r.terms, np.int64)).astype(np.int32), np.frombuffer(r.counts, np.int32), r.length))
+        read.append((r.doc_id, r.y, r.weight))
+    rows = read
 
     def frequencies(batch: pa.RecordBatch) -> pa.RecordBatch:
-        matcher, df = Matcher(vocabulary), np.zeros(len(vocabulary) + 1, np.int64)
-        for text in utf8(batch.column("text")):
-            df[list(matcher.counts(text)[0])] += 1
-            df[-1] += 1  # rows
+        matcher, df = Matcher(hashes), np.zeros(len(hashes) + 1, np.int64)
+        texts = utf8(batch.column("text"))
+        for i in range(0, len(texts), RUN):
+            for places, _, _ in matcher.counts(texts[i:i + RUN]):
+                df[places] += 1
+        df[-1] = len(texts)
         at = np.flatnonzero(df)
         return pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["term", "df"])
 
-    df = np.zeros(len(vocabulary) + 1)
-    for r in map_batches(docs.select("text"), "term long, df long", frequencies).groupBy("term").agg(F.sum("df").alias("df")).collect():
-        df[r.term] = r.df
-    index = Index(vocabulary, np.append(np.log((1 + df[-1]) / (1 + df[:-1])) + 1, rest), *(np.zeros(0) for _ in range(3)), 0.0, [])
-
-    def examples(batch: pa.RecordBatch) -> pa.RecordBatch:
-        matcher = Matcher(vocabulary)
-        found = [matcher.counts(t) for t in utf8(batch.column("text"))]
-        lists = [pa.array([[p[i] for p in sorted(f.items())] for f, _ in found], pa.list_(pa.int64())) for i in (0, 1)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("weight"), *lists, pa.array([n for _, n in found], pa.float64())], names=["doc_id", "y", "weight", "terms", "counts", "length"])
-
-    rows = map_batches(sample.select("doc_id", "text", "y", "weight"), "doc_id long, y int, weight double, terms array<long>, counts array<long>, length double", examples).orderBy("doc_id").collect()
-    blank = [r for r in rows if not r.terms]
-    prior = (sum(r.y * r.weight for r in blank) / sum(r.weight for r in blank)) if blank else 0.0
-    pairs = [index.vector(dict(zip(r.terms, r.counts)), r.length) for r in rows]
+    df = np.zeros(len(hashes) + 1)
+    counted = map_batches(docs.select("text"), "term long, df long", frequencies).groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df[counted.column("term").to_numpy()] = counted.column("df").to_numpy()
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+    own = np.append(idf[np.searchsorted(hashes, chosen)], rest)  # of the marked terms, and the weight of the rest
+    nothing = np.zeros(0)
+    index = Index(hashes, marked, own, nothing, nothing, nothing, 0.0, [], Whole(idf, []))
+    blank = [r for r, f in zip(rows, found) if not (marked[f[0]] >= 0).any()]
+    prior = (sum(y * w for _, y, w in blank) / sum(w for _, _, w in blank)) if blank else 0.0
+    pairs = [index.vector(*f) for f in found]
     like = sorted(range(len(rows)), key=lambda i: pairs[i][1][-1])  # blocks of like examples have tight maxima
-    rows, pairs = [rows[i] for i in like], [pairs[i] for i in like]
-    return Index(vocabulary, index.idf, *(np.array([r[c] for r in rows], kind) for c, kind in (("doc_id", np.int64), ("y", float), ("weight", float))), prior, pairs)
+    rows, pairs, found = ([x[i] for i in like] for x in (rows, pairs, found))
+    return Index(hashes, marked, own, *(np.array([r[c] for r in rows], kind) for c, kind in enumerate((np.int64, float, float))), prior, pairs, Whole(idf, [f[:2] for f in found]))
 
 
 def toxicity_scores(
@@ -221,12 +320,15 @@ def toxicity_scores(
     extra = [carry] if carry else []
     index = fit_index(slim, labels, sample_rows, terms, lift, support, rest, seed)
 
-    matchers: list[Matcher] = []  # one per task: the closure is unpickled there
+    made: list = []  # one of each per task: the closure is unpickled there
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not matchers:
-            matchers.append(Matcher(index.vocabulary))
-        found = [index.score(*matchers[0].counts(t), k, smoothing) for t in utf8(batch.column("text"))]
+        if not made:
+            made.extend([Matcher(index.hashes), index.whole.spread()])
+        matcher, spread = made
+        texts, found = utf8(batch.column("text")), []
+        for i in range(0, len(texts), RUN):
+            found += index.scores(matcher.counts(texts[i:i + RUN]), spread, k, smoothing)
         columns = [batch.column("doc_id"), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays([*columns, *map(batch.column, extra)], names=["doc_id", "score", "evidence", *extra])
 

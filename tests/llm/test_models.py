@@ -30,6 +30,23 @@ def test_held_out_accuracy(spark, odd_docs, no_docs, scores, label, least):
     assert len(blank) == len(odd) and len({r.score for r in blank}) == 1
 
 
+def test_rare_words_reach_their_examples(spark):
+    """Toxic texts whose words are each too rare to be associated with the label."""
+    clean = [(i, f"plain common text about topic{i} and place{i}") for i in range(300)]
+    code = [chr(97 + i // 26) + chr(97 + i % 26) + "q" for i in range(60)]
+    toxic = [(1000 + i, f"{c}vexar {c}dolmik and {c}urbat") for i, c in enumerate(code)]
+    asked = [(5000 + i, f"{c}vexar {c}dolmik and {c}urbat") for i, c in enumerate(code)]
+    docs = spark.createDataFrame(clean + toxic + asked + [(9000, "zzyx")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 1000)) for i, _ in clean + toxic], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity_scores(docs, labels).collect()}
+    learnt = [i for i in range(60) if not got[1000 + i].held_out]
+    assert len(learnt) > 20
+    for i in learnt:
+        assert got[5000 + i].evidence[0] == 1000 + i
+        assert got[5000 + i].predicted == 1 and got[1000 + i].predicted == 1
+    assert not any(got[i].predicted for i, _ in clean) and not got[9000].evidence
+
+
 def test_scores_do_not_use_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     turned = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
