@@ -93,6 +93,21 @@ def labelled_sample(labels: DataFrame, label: str, rows: dict[int, int], seed: i
     return picked
 
 
+def join_copies(rows: DataFrame, classes: DataFrame, key: str, size: str, total: int, least: int = 2_000) -> DataFrame:
+    """Join ``rows`` to their class (one row each, ``size`` rows of ``rows`` in it) by ``key``.
+
+    A class of more than total / 10,000 rows (``least`` at least) is dealt over as many
+    salts as it has such portions; at most 10,000 classes are that large, a proven
+    bound for the broadcast.  Rows of smaller classes meet in one shuffle, unsalted."""
+    portion = max(least, total // 10_000)
+    salts = F.ceil(F.col(size) / portion).cast("int")
+    large = classes.where(F.col(size) > portion).select(key, salts.alias("_salts"))
+    dealt = rows.join(F.broadcast(large), key, "left")
+    dealt = dealt.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    held = classes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
+    return dealt.join(held, [key, "_salt"]).drop("_salt")
+
+
 class Memo(dict):
     """Bounded cache: computes what is missing, starts anew when full."""
 

@@ -1,18 +1,22 @@
-"""The ten operators as registered queries over whole tables, and their SQL twins."""
+"""The operators as registered queries over whole tables, and their SQL twins."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from driftkit.llm.ann import approximate_neighbours
 from driftkit.llm.common import table
+from driftkit.llm.embed_dedup import near_vectors
+from driftkit.llm.merkle import merkle_manifest
 from driftkit.llm.mixing import BLOCKS, EPOCHS, mix_sources
 from driftkit.llm.packing import pack_documents
 from driftkit.llm.quality import quality_scores
 from driftkit.llm.sharding import interleaved_shards
 from driftkit.llm.simhash import near_duplicates
+from driftkit.llm.spelling import spelling_variants
 from driftkit.llm.substring import deduplicated
 from driftkit.llm.topk import exact_top_k
 from driftkit.llm.toxicity import toxicity_scores
@@ -66,8 +70,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), min_length=6, min_count=5, ratio=5, slip=199)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle_manifest(table(spark, sf_dir, "documents"), altered={"n_chars": F.col("n_chars") + 1}, where=tampered).drop("path")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_sharding, op2_exact_top_k, op3_mixing, op4_token_counts, op5_simhash, op6_toxicity, op7_quality, op8_substring_dedup, op9_neighbours, op10_packing)
+    made = (op1_sharding, op2_exact_top_k, op3_mixing, op4_token_counts, op5_simhash, op6_toxicity, op7_quality, op8_substring_dedup, op9_neighbours, op10_packing, op11_embedding_near_dedup, op12_spelling, op13_merkle)
     return {f.__name__: f for f in made}
 
 
@@ -75,14 +92,22 @@ def _key(seed: int) -> str:
     return f"('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT"
 
 
-SHARDING_SQL = f"""
-WITH crc_table AS (
+CRC_TABLE = """crc_table AS (
   SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
     lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
-), d AS (
+)"""
+
+
+def _crc(text: str) -> str:
+    """Unsigned crc32 of a non-NULL string; ``t`` is the table above."""
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)),
+      lambda acc, b: xor(acc >> 8, t[CAST(xor(acc, b) & 255 AS BIGINT) + 1])), 4294967295)"""
+
+
+SHARDING_SQL = f"""
+WITH {CRC_TABLE}, d AS (
   SELECT doc_id, source, coalesce(source, '') AS s, source IS NULL AS no_source, coalesce(strlen(text), 0) + 1 AS size, {_key(17)} AS key,
-    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
-      lambda acc, b: xor(acc >> 8, t[CAST(xor(acc, b) & 255 AS BIGINT) + 1])), 4294967295) AS text_crc32
+    {_crc("coalesce(text, '')")} AS text_crc32
   FROM documents, crc_table
 ), r AS (
   SELECT *, (2 * (row_number() OVER (PARTITION BY no_source, s ORDER BY key, doc_id) - 1) + 1) / (2.0::DOUBLE * count(*) OVER (PARTITION BY no_source, s)) AS frac FROM d
@@ -164,5 +189,100 @@ FROM d LEFT JOIN g USING (row_id)
 """
 
 
+NEAR_VECTORS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e,
+    coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)), false) AS ok
+  FROM embeddings
+), u AS (
+  SELECT r, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE ok
+), links AS (
+  SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.r <> b.r AND len(a.e) = len(b.e) AND CASE WHEN len(a.e) = len(b.e) THEN list_dot_product(a.e, b.e) / (a.norm * b.norm) END >= 0.95
+), reach AS (
+  SELECT r AS a, r AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+), c AS (
+  SELECT a, min(vec_id) AS component_id FROM reach JOIN v ON v.r = b GROUP BY a
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = v.r) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN c ON c.a = v.r
+"""
+
+SPELLING_SQL = f"""
+WITH RECURSIVE {CRC_TABLE}, runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run
+  FROM documents
+), counted AS (
+  SELECT id, run, count(*) AS n FROM runs GROUP BY ALL
+), hashed AS (
+  SELECT run, n, {_crc("id || ':' || run")} AS h FROM counted, crc_table
+), slipped AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+), w AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), del AS (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS v FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)
+), near AS (
+  SELECT a.word, b.word AS other FROM del a JOIN del b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+  UNION SELECT del.word, w.word FROM del JOIN w ON del.v = w.word
+  UNION SELECT w.word, del.word FROM del JOIN w ON del.v = w.word
+), ranked AS (
+  SELECT near.word, other, w.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY w.n DESC, other) AS place
+  FROM near JOIN w ON w.word = other
+), f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n
+  FROM w LEFT JOIN ranked ON ranked.word = w.word AND place = 1
+), follow AS (
+  SELECT word, word AS at FROM f UNION ALL SELECT follow.word, f.form FROM follow JOIN f ON f.word = follow.at WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, follow.at AS root, f.n, f.n_near, f.form_n
+FROM f JOIN follow ON follow.word = f.word JOIN f last ON last.word = follow.at AND last.form IS NULL
+"""
+
+
+def _leaf(n_chars: str) -> str:
+    fields = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(" + " || ".join(f"CASE WHEN {f} IS NULL THEN '-' ELSE strlen(CAST({f} AS VARCHAR)) || ':' || {f} END" for f in fields) + ")"
+
+
+STEP_SQL = "CASE WHEN sib.h IS NULL THEN '=' WHEN sib.pos < me.pos THEN 'L' || sib.h ELSE 'R' || sib.h END"
+
+MERKLE_SQL = f"""
+WITH RECURSIVE {CRC_TABLE}, d AS (
+  SELECT doc_id, lang IS NULL AS none, coalesce(lang, '') AS g, {_leaf("n_chars")} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {_crc("coalesce(CAST(doc_id AS VARCHAR), '')")} % 7 = 0 THEN {_leaf("(n_chars + 1)")} END AS other
+  FROM documents, crc_table
+), s AS (
+  SELECT *, row_number() OVER (PARTITION BY none, g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY none, g) AS n FROM d
+), tree AS (
+  SELECT none, g, 0 AS lvl, pos, leaf AS h, n FROM s
+  UNION ALL SELECT none, g, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM tree WHERE n > 1 GROUP BY none, g, lvl, pos // 2, n
+), sub AS (
+  SELECT none, g, h AS subroot, row_number() OVER (ORDER BY none DESC, encode(g)) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1
+), top AS (
+  SELECT 0 AS lvl, pos, subroot AS h, n FROM sub
+  UNION ALL SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY lvl, pos // 2, n
+), low AS (
+  SELECT s.none, s.g, s.pos, list({STEP_SQL} ORDER BY me.lvl) AS steps
+  FROM s JOIN tree me ON me.none = s.none AND me.g = s.g AND me.n > 1 AND me.pos = s.pos >> me.lvl
+  LEFT JOIN tree sib ON sib.none = me.none AND sib.g = me.g AND sib.lvl = me.lvl AND sib.pos = xor(me.pos, 1) GROUP BY ALL
+), high AS (
+  SELECT sub.pos, list({STEP_SQL} ORDER BY me.lvl) AS steps
+  FROM sub JOIN top me ON me.n > 1 AND me.pos = sub.pos >> me.lvl LEFT JOIN top sib ON sib.lvl = me.lvl AND sib.pos = xor(me.pos, 1) GROUP BY ALL
+), p AS (
+  SELECT s.doc_id, s.leaf, s.other, sub.subroot, (SELECT h FROM top WHERE n = 1) AS root, list_concat(coalesce(low.steps, []), coalesce(high.steps, [])) AS steps
+  FROM s JOIN sub ON sub.none = s.none AND sub.g = s.g LEFT JOIN low ON low.none = s.none AND low.g = s.g AND low.pos = s.pos LEFT JOIN high ON high.pos = sub.pos
+), q AS (
+  SELECT *, coalesce(array_to_string(list_transform(list_filter(steps, lambda x: x <> '='), lambda x: x[2:]), ''), '') AS siblings,
+    list_reduce(list_prepend(coalesce(other, leaf), steps), lambda a, x: sha256(CASE x[1] WHEN 'L' THEN x[2:] || a WHEN 'R' THEN a || x[2:] ELSE a END)) AS folded_root
+  FROM p
+)
+SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, folded_root, folded_root = root AS verified FROM q
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": SHARDING_SQL, "op2_exact_top_k": TOP_K_SQL, "op3_mixing": MIXING_SQL, "op8_substring_dedup": SUBSTRING_SQL}
+    return {
+        "op1_sharding": SHARDING_SQL, "op2_exact_top_k": TOP_K_SQL, "op3_mixing": MIXING_SQL, "op8_substring_dedup": SUBSTRING_SQL,
+        "op11_embedding_near_dedup": NEAR_VECTORS_SQL, "op12_spelling": SPELLING_SQL, "op13_merkle": MERKLE_SQL,
+    }
