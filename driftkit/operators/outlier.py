@@ -76,9 +76,8 @@ def mahalanobis_outliers(df: DataFrame, features: Sequence[str], p_value: float
     prep = fit_preprocessing(df, feats, [])
     z = prep.transform(df, keep=[c for c in df.columns if c not in feats] if not keep else list(keep))
     g = gram(z, feats)
-    mu = g.sx / g.n
-    cov = (g.xtx - g.n * np.outer(mu, mu)) / (g.n - 1)
-    inv = np.linalg.pinv(cov)
+    mu = g.xbar
+    inv = np.linalg.pinv(g.cxx / (g.n - 1))
     cut = chi2_quantile(1 - p_value, len(feats))
     out = add_quadratic_form(z, feats, inv, mu, "mahalanobis_sq")
     out = out.withColumn("is_outlier", F.col("mahalanobis_sq") > F.lit(cut))

@@ -1,11 +1,13 @@
 """Linear regression study on sufficient statistics.
 
 Design: rows never leave the executors.  ``LinearDesign`` turns each row into
-a raw vector u = [1, coalesce(x, 0), isnull(x), onehot(v), isnull(v), y]; one
-aggregation gives the Gram of u (per CV block when asked).  Median/mode
-imputation, z-scoring and one-hot dropping are affine maps of u, so the Gram of
-the final design matrix for ANY training subset is T G_u T' - exact, with the
-preprocessing refitted per fold as a pipeline would be.  OLS, ridge, lasso
+a raw vector u = [1, coalesce(x - r, 0), isnull(x), onehot(v), isnull(v), y], where r
+is a reference value of each column (its mean); one aggregation gives the moments
+of u (per CV block when asked).  Median/mode imputation, z-scoring and one-hot
+dropping are affine maps of u, so the moments of the final design matrix for ANY
+training subset follow from those of u - exact, with the preprocessing refitted per
+fold as a pipeline would be.  Neither the moments nor the maps subtract large
+numbers of like size, so offsets of a column cost no digits.  OLS, ridge, lasso
 (coordinate descent), VIF, R^2/RMSE on any block follow on the driver from
 (p x p) matrices; per-row quantities (Cook's distance, residuals, MAE) are
 column expressions with the fitted numbers as literals.
@@ -23,7 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftkit.functions.names import sanitize_name
-from driftkit.operators.gram import Gram, outer_sums, quadratic_form
+from driftkit.operators.gram import Gram, Moments, moments, quadratic_form
+from driftkit.operators.preprocess import CONSTANT
 
 
 # ----------------------------------------------------------------- design --
@@ -41,6 +44,7 @@ class LinearDesign:
     categorical: list[str]
     target: str
     categories: dict = field(default_factory=dict)  # superset, from the training frame
+    reference: dict = field(default_factory=dict)  # a value of each numeric column's size (0 if none is given)
     drop_first: bool = True
     scale: bool = True
 
@@ -53,7 +57,7 @@ class LinearDesign:
 
     def u_columns(self) -> list[Column]:
         cols = [F.lit(1.0)]
-        cols += [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.numeric]
+        cols += [F.coalesce(F.col(c).cast("double") - F.lit(self.reference.get(c, 0.0)), F.lit(0.0)) for c in self.numeric]
         cols += [F.col(c).isNull().cast("double") for c in self.numeric]
         for v in self.categorical:
             cols += [F.coalesce((F.col(v) == F.lit(c)).cast("double"), F.lit(0.0)) for c in self.categories[v]]
@@ -61,11 +65,10 @@ class LinearDesign:
         cols.append(F.col(self.target).cast("double"))
         return cols
 
-    def gram_u(self, df: DataFrame, key: Column | None = None):
-        """G_u in one pass; with ``key`` a dict {key: G_u}.  Rows without a target are left out."""
-        sums = outer_sums(df.where(F.col(self.target).isNotNull()), self.u_columns(), key)
-        size = len(self.u_names())
-        return sums if key is not None else sums.get(0, np.zeros((size, size)))
+    def moments_u(self, df: DataFrame, key: Column | None = None):
+        """Moments of u in one pass; with ``key`` a dict {key: moments}.  Rows without a target are left out."""
+        found = moments(df.where(F.col(self.target).isNotNull()), self.u_columns(), key)
+        return found if key is not None else found.get(0, Moments.zero(len(self.u_names())))
 
     # parameters -------------------------------------------------------------
     def fold_params(self, df: DataFrame, masks: dict, block_col: str | None = None) -> dict:
@@ -111,16 +114,16 @@ class LinearDesign:
             names += [f"{v}_{sanitize_name(c)}" for c in cats]
         return names
 
-    def transform_matrix(self, fp: FoldParams, g_train_u: np.ndarray) -> tuple[np.ndarray, list[str], dict]:
-        """T with [1, z, y] = T u; scaling moments come from the training Gram itself."""
-        un = self.u_names()
-        pos = {n: i for i, n in enumerate(un)}
-        k = len(un)
+    def transform_matrix(self, fp: FoldParams, train_u: Moments) -> tuple[np.ndarray, list[str], dict]:
+        """T with [z, y] = T u; scaling moments come from the training moments themselves."""
+        pos = {n: i for i, n in enumerate(self.u_names())}
+        k = len(pos)
         rows, names = [], []
-        for c in self.numeric:
+        ref = [self.reference.get(c, 0.0) for c in self.numeric]
+        for c, r0 in zip(self.numeric, ref):
             r = np.zeros(k)
             r[pos[f"x:{c}"]] = 1.0
-            r[pos[f"n:{c}"]] = fp.medians[c]
+            r[pos[f"n:{c}"]] = fp.medians[c] - r0
             rows.append(r)
             names.append(c)
         for v in self.categorical:
@@ -132,31 +135,24 @@ class LinearDesign:
                 rows.append(r)
                 names.append(f"{v}_{sanitize_name(c)}")
         b = np.array(rows).reshape(len(rows), k)
-        one = np.zeros(k)
-        one[0] = 1.0
-        yrow = np.zeros(k)
-        yrow[pos["y"]] = 1.0
-        n = g_train_u[0, 0]
-        mu = b @ g_train_u[:, 0] / n
-        ex2 = np.einsum("ij,jk,ik->i", b, g_train_u, b) / n
-        sd = np.sqrt(np.maximum(ex2 - mu ** 2, 0.0))
-        scale = np.ones(len(rows))
-        shift = np.zeros(len(rows))
         nnum = len(self.numeric)
+        mean, scale = np.array(ref), np.ones(nnum)
         if self.scale:
-            for i in range(nnum):
-                shift[i] = mu[i]
-                scale[i] = sd[i] if sd[i] > 1e-7 * abs(mu[i]) else 1.0  # below: rounding of E[x^2] - mean^2
-        z = (b - np.outer(shift, one)) / scale[:, None]
-        t = np.vstack([one, z, yrow])
-        info = {"mean": dict(zip(names[:nnum], mu[:nnum])), "scale": dict(zip(names[:nnum], scale[:nnum]))}
-        return t, names, info
-
-    def to_gram(self, t: np.ndarray, g_u: np.ndarray, names: list[str]) -> Gram:
-        g = t @ g_u @ t.T
-        p = len(names)
-        return Gram(names, float(g[0, 0]), g[0, 1:p + 1].copy(), g[1:p + 1, 1:p + 1].copy(), float(g[0, p + 1]),
-                    g[1:p + 1, p + 1].copy(), float(g[p + 1, p + 1]))
+            own = train_u.map(b[:nnum])  # of the numeric columns less their references
+            sd = np.sqrt(np.maximum(np.diag(own.centred), 0.0) / max(train_u.n, 1.0))
+            mean = mean + own.mean
+            scale = np.where(sd > CONSTANT * np.abs(mean), sd, 1.0)
+            b[:nnum, 0] = -own.mean
+            b[:nnum] /= scale[:, None]
+        else:
+            b[:nnum, 0] = ref
+        yrow = np.zeros(k)
+        yrow[pos["y"]] = 1.0
+        info = {"mean": dict(zip(names[:nnum], mean)), "scale": dict(zip(names[:nnum], scale))}
+        return np.vstack([b, yrow]), names, info
+
+    def to_gram(self, t: np.ndarray, u: Moments, names: list[str]) -> Gram:
+        return Gram(names, u.map(t))
 
     def z_columns(self, fp: FoldParams, info: dict) -> list[Column]:
         """The preprocessed design as column expressions (for row-level scoring)."""
@@ -173,12 +169,15 @@ class LinearDesign:
         return cols
 
 
-def discover_categories(df: DataFrame, categorical: Sequence[str]) -> dict:
-    """Distinct values per categorical column (few by construction), one aggregation."""
-    if not categorical:
-        return {}
-    r = df.agg(*[F.array_sort(F.collect_set(c)).alias(f"c{i}") for i, c in enumerate(categorical)]).first()
-    return {c: list(r[f"c{i}"]) for i, c in enumerate(categorical)}
+def discover_design(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str) -> LinearDesign:
+    """Distinct values per categorical column (few by construction) and the mean of each
+    numeric one as its reference, in one aggregation."""
+    aggs = [F.array_sort(F.collect_set(c)).alias(f"c{i}") for i, c in enumerate(categorical)]
+    aggs += [F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(f"r{i}") for i, c in enumerate(numeric)]
+    r = df.agg(*aggs).first() if aggs else None
+    known = {c: list(r[f"c{i}"]) for i, c in enumerate(categorical)}
+    reference = {c: float(r[f"r{i}"] or 0.0) for i, c in enumerate(numeric)}
+    return LinearDesign(list(numeric), list(categorical), target, known, reference)
 
 
 # ---------------------------------------------------------------- solvers --
@@ -199,10 +198,18 @@ class LinearFit:
         return e
 
 
+def scaled_inverse(a: np.ndarray) -> np.ndarray:
+    """Pseudo-inverse of a matrix of sums of products, taken at unit diagonal, so that
+    the columns' units play no part; a column without any spread gets zeros."""
+    s = np.sqrt(np.diag(a))
+    s = np.where(s > 0, s, np.inf)
+    return np.linalg.pinv(a / np.outer(s, s), rcond=1e-13, hermitian=True) / np.outer(s, s)
+
+
 def ols(g: Gram) -> LinearFit:
-    a, b = g.augmented()
-    beta = np.linalg.pinv(a) @ b
-    return LinearFit(g.features, float(beta[0]), beta[1:], 0.0, "ols")
+    """Least squares with a constant, solved on centred sums (constant columns get 0)."""
+    w = scaled_inverse(g.cxx) @ g.cxy
+    return LinearFit(g.features, float(g.ybar - g.xbar @ w), w, 0.0, "ols")
 
 
 def ridge(g: Gram, alpha: float) -> LinearFit:
@@ -255,8 +262,9 @@ def coefficient_table(spark: SparkSession, fit: LinearFit, model: str = "OLS") -
 
 def vif(g: Gram) -> list[tuple[str, float]]:
     """M8: VIF_i = G_ii (G^-1)_ii on the uncentred design without a constant column."""
-    inv = np.linalg.pinv(g.xtx)
-    return [(f, float(g.xtx[i, i] * inv[i, i])) for i, f in enumerate(g.features)]
+    xtx = g.xtx
+    inv = scaled_inverse(xtx)
+    return [(f, float(xtx[i, i] * inv[i, i])) for i, f in enumerate(g.features)]
 
 
 def vif_table(spark: SparkSession, g: Gram, flag_above: float = 10.0) -> DataFrame:
@@ -266,13 +274,12 @@ def vif_table(spark: SparkSession, g: Gram, flag_above: float = 10.0) -> DataFra
 
 def leverage_and_cooks(scored: DataFrame, g: Gram, fit: LinearFit, y: str, yhat: str = "y_hat",
                        columns: Sequence[Column] | None = None) -> DataFrame:
-    """M9 per row: h = x~'(X~'X~)^-1 x~ (x~ = [1, x]), e, D = e^2 h / (p~ s^2 (1 - h)^2).
+    """M9 per row: leverage h = 1 / n + (x - xbar)'C^-1 (x - xbar) of the design with a
+    constant, e, D = e^2 h / (p~ s^2 (1 - h)^2).
     ``columns``: the features as expressions, where the frame does not hold them by name."""
-    a, _ = g.augmented()
-    ainv = np.linalg.pinv(a)
-    k = a.shape[0]
+    k = len(g.features) + 1
     s2 = g.sse(fit.intercept, fit.coef) / (g.n - k)
-    h = quadratic_form(columns or g.features, ainv, constant=True)
+    h = F.lit(1.0 / g.n) + quadratic_form(columns or g.features, scaled_inverse(g.cxx), center=g.xbar)
     e = F.col(y) - F.col(yhat)
     return scored.withColumn("leverage", h).withColumn("residual", e).withColumn(
         "cooks_d", e * e * F.col("leverage") / (F.lit(k * s2) * (1 - F.col("leverage")) ** 2)

@@ -162,7 +162,7 @@ def q_comparison_one(spark, sf_dir):
     p = rs.prepare(rs.regression_frame(spark, sf_dir), ONE)
     kinds = (("OLS", None, regress.ols), ("Ridge", 1e3, lambda g: regress.ridge(g, 1e3)), ("LASSO", 5.0, lambda g: regress.lasso(g, 5.0)))
     models = [rs.fit_full(p["train"], ["l_quantity"], ONE, solver) for _, _, solver in kinds]
-    test = models[0].design.gram_u(p["test"])
+    test = models[0].design.moments_u(p["test"])
     rows = []
     for (name, alpha, _), m, mae in zip(kinds, models, rs.mean_absolute_errors(p["test"], models)):
         extra = {"alpha": alpha, "n_features_selected": int((m.fit.coef != 0).sum()), "n_features_total": 1} if alpha else None

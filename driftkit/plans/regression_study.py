@@ -3,7 +3,7 @@ lag + binning -> missingness filter -> chronological split -> Cook filter ->
 OLS suite (coefficients, VIF, residual diagnostics) -> LASSO / Ridge with
 expanding-window CV -> comparison table.
 
-All heavy work is aggregations: G_u per CV block (one grouped aggregation),
+All heavy work is aggregations: moments per CV block (one grouped aggregation),
 fold parameters (one aggregation), test Gram (one aggregation), MAE (one
 aggregation).  The driver only solves p x p systems.
 """
@@ -11,7 +11,7 @@ aggregation).  The driver only solves p x p systems.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 import numpy as np
@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 
 from driftkit.functions.scalar import two_class_bin
 from driftkit.operators import causal, prune, regress, splits
-from driftkit.operators.regress import LinearDesign, discover_categories
+from driftkit.operators.gram import Moments, merged
+from driftkit.operators.regress import LinearDesign, discover_design
 from driftkit.session import cut_lineage
 from driftkit.sources.tables import read_table
 
+# The penalty grids of the source study.
 LASSO_GRID = np.logspace(-2, 2, 20)
 RIDGE_GRID = np.logspace(-4, 4, 20)
 PATH_GRID = np.logspace(-6, -1, 80)
@@ -40,7 +42,6 @@ class StudyConfig:
     missing_threshold: float = 0.30
     cv_splits: int = 5
     cooks_multiplier: float = 4.0
-    extra: dict = field(default_factory=dict)
 
 
 def regression_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,22 +90,18 @@ class FittedLinear:
         return e
 
 
-def _design(train: DataFrame, numeric, cfg: StudyConfig) -> LinearDesign:
-    return LinearDesign(list(numeric), list(cfg.categorical), cfg.target, discover_categories(train, cfg.categorical))
-
-
 def fit_full(train: DataFrame, numeric, cfg: StudyConfig, solver=regress.ols) -> FittedLinear:
-    d = _design(train, numeric, cfg)
+    d = discover_design(train, numeric, cfg.categorical, cfg.target)
     fp = d.fold_params(train, {"all": F.lit(True)})["all"]
-    gu = d.gram_u(train)
-    t, names, info = d.transform_matrix(fp, gu)
-    g = d.to_gram(t, gu, names)
+    u = d.moments_u(train)
+    t, names, info = d.transform_matrix(fp, u)
+    g = d.to_gram(t, u, names)
     return FittedLinear(d, fp, t, names, info, g, solver(g))
 
 
-def evaluate(fl: FittedLinear, gu_test: np.ndarray, mae: float, model: str, extra: dict | None = None) -> dict:
-    """R^2 train/test and RMSE from Grams (``gu_test``: G_u of the test rows)."""
-    gt = fl.design.to_gram(fl.transform, gu_test, fl.names)
+def evaluate(fl: FittedLinear, test_u: Moments, mae: float, model: str, extra: dict | None = None) -> dict:
+    """R^2 train/test and RMSE from moments (``test_u``: those of u over the test rows)."""
+    gt = fl.design.to_gram(fl.transform, test_u, fl.names)
     out = {"model": model, "R2_train": regress.r2(fl.gram, fl.fit), "R2_test": regress.r2(gt, fl.fit),
            "RMSE_test": regress.rmse(gt, fl.fit), "MAE_test": mae}
     out.update(extra or {})
@@ -137,35 +134,34 @@ def cv_blocks(train: DataFrame, cfg: StudyConfig):
 
 @dataclass
 class FoldStatistics:
-    """What every fold x alpha fit needs: G_u per block and the training parameters per fold."""
+    """What every fold x alpha fit needs: moments of u per block and the training parameters per fold."""
     design: LinearDesign
-    block_grams: dict
+    blocks: dict
     params: dict
 
 
 def fold_statistics(train: DataFrame, numeric, cfg: StudyConfig) -> FoldStatistics:
-    """One pass for the block Grams and one aggregation for medians, modes and
+    """One pass for the block moments and one aggregation for medians, modes and
     categories; lasso and ridge share them."""
     idx, _ = cv_blocks(train, cfg)
-    d = _design(idx, numeric, cfg)
+    d = discover_design(idx, numeric, cfg.categorical, cfg.target)
     masks = {f: F.col("_blk") < f for f in range(1, cfg.cv_splits + 1)}
-    return FoldStatistics(d, d.gram_u(idx, F.col("_blk")), d.fold_params(idx, masks, block_col="_blk"))
+    return FoldStatistics(d, d.moments_u(idx, F.col("_blk")), d.fold_params(idx, masks, block_col="_blk"))
 
 
 def regularized_cv(stats: FoldStatistics, full: FittedLinear, cfg: StudyConfig, kind: str, grid) -> dict:
     """M13 + M15: expanding-window CV over ``grid`` with R^2 scoring, p x p algebra only;
     refit on the best alpha from the Gram of the ``full`` training rows."""
-    d, gus, params = stats.design, stats.block_grams, stats.params
+    d, blocks, params = stats.design, stats.blocks, stats.params
     k = cfg.cv_splits
     size = len(d.u_names())
-    gsum = lambda blocks: sum((gus.get(b, np.zeros((size, size))) for b in blocks), np.zeros((size, size)))
     solver = regress.lasso if kind == "lasso" else regress.ridge
     rows = []
     for f in range(1, k + 1):
-        g_tr_u = gsum(range(0, f))
-        t, names, info = d.transform_matrix(params[f], g_tr_u)
-        g_tr = d.to_gram(t, g_tr_u, names)
-        g_va = d.to_gram(t, gus.get(f, np.zeros((size, size))), names)
+        train_u = merged((blocks[b] for b in range(f) if b in blocks), size)
+        t, names, info = d.transform_matrix(params[f], train_u)
+        g_tr = d.to_gram(t, train_u, names)
+        g_va = d.to_gram(t, blocks.get(f, Moments.zero(size)), names)
         warm = None
         for a in grid:
             fit = solver(g_tr, float(a)) if kind == "ridge" else solver(g_tr, float(a), warm=warm)
@@ -248,8 +244,8 @@ class Study:
         test = self.prep["test"]
         models = [self.base, self.ols, self.lasso["fitted"], self.ridge["fitted"]]
         mae = mean_absolute_errors(test, models)
-        shared = self.ols.design.gram_u(test)
-        grams = [self.base.design.gram_u(test), shared, shared, shared]
+        shared = self.ols.design.moments_u(test)
+        grams = [self.base.design.moments_u(test), shared, shared, shared]
         extra = [None, None]
         for cv in (self.lasso, self.ridge):
             coef = cv["fitted"].fit.coef

@@ -269,3 +269,78 @@ def test_temporal_evaluation_folds(spark):
     assert res["predictions"].count() == 300
     s = res["summary"].first()
     assert s.folds == 3 and s.failed_folds == 0
+
+
+def _offset_frame(spark, centre, spread, n=600, missing=0.0):
+    rng = np.random.default_rng(17)
+    z, c = rng.normal(size=(n, 2)), rng.choice(["A", "B", "C"], n)
+    x = np.column_stack([centre + spread * z[:, 0], z[:, 1]])
+    y = 5.0 + 3.0 * z[:, 0] - z[:, 1] + (c == "B") + rng.normal(scale=0.1, size=n)
+    gone = rng.random(n) < missing
+    rows = [(i, None if g else float(a), float(b), str(k), float(t), int(6 * i // n)) for i, (g, (a, b), k, t) in enumerate(zip(gone, x, c, y))]
+    df = spark.createDataFrame(rows, "i long, a double, b double, c string, y double, _blk int").repartition(7)
+    x[gone, 0] = np.median(x[~gone, 0])
+    return df, x, c, y
+
+
+@pytest.mark.parametrize("centre, spread", [(0.0, 1.0), (1e6, 1.0), (1.7e9, 100.0), (-3e12, 1e3)])
+@pytest.mark.parametrize("missing", [0.0, 0.2])
+def test_linear_models_keep_their_digits_at_any_offset(spark, centre, spread, missing):
+    """Coefficients, R2, VIF, leverage, ridge, lasso and folds against numpy on centred data."""
+    from driftkit.operators.regress import LinearDesign, discover_design
+    from driftkit.plans import regression_study as rs
+
+    df, x, c, y = _offset_frame(spark, centre, spread, missing=missing)
+    d = discover_design(df, ["a", "b"], ["c"], "y")
+    assert isinstance(d, LinearDesign) and d.categories["c"] == ["A", "B", "C"]
+    fp, u = d.fold_params(df, {"all": F.lit(True)})["all"], d.moments_u(df)
+    t, names, info = d.transform_matrix(fp, u)
+    g = d.to_gram(t, u, names)
+    shifted = x - [centre, 0.0]  # exact: numpy then works on small numbers
+    z = (shifted - shifted.mean(0)) / shifted.std(0)
+    design = np.column_stack([np.ones(len(y)), z, c == "B", c == "C"])
+    beta = np.linalg.lstsq(design, y, rcond=None)[0]
+    fit = regress.ols(g)
+    tol = 1e-9 if spread > 1e-8 * abs(centre) else 1e-6  # doubles at -3e12 are 5e-4 apart
+    assert np.allclose(fit.coef, beta[1:], rtol=tol, atol=tol) and fit.intercept == pytest.approx(beta[0], rel=tol)
+    r2 = 1 - np.sum((y - design @ beta) ** 2) / np.sum((y - y.mean()) ** 2)
+    assert regress.r2(g, fit) == pytest.approx(r2, rel=tol) and regress.r2(g, fit) < 1
+    zc, yc = design[:, 1:] - design[:, 1:].mean(0), y - y.mean()
+    assert np.allclose(regress.ridge(g, 7.0).coef, np.linalg.solve(zc.T @ zc + 7 * np.eye(4), zc.T @ yc), rtol=tol, atol=tol)
+    grad = zc.T @ (yc - zc @ regress.lasso(g, 0.05).coef) / len(y)
+    assert np.all(np.abs(grad) <= 0.05 + 1e-6)
+    inverse = np.linalg.inv(design[:, 1:].T @ design[:, 1:])
+    assert [v for _, v in regress.vif(g)] == pytest.approx(list(np.diag(design[:, 1:].T @ design[:, 1:]) * np.diag(inverse)), rel=max(tol, 1e-8))
+    fl = rs.FittedLinear(d, fp, t, names, info, g, fit)
+    scored = regress.leverage_and_cooks(df.withColumn("y_hat", fl.predict_expr()), g, fit, "y", columns=fl.z_cols()).orderBy("i").collect()
+    hat = np.einsum("ij,jk,ik->i", design, np.linalg.inv(design.T @ design), design)
+    assert [r.leverage for r in scored] == pytest.approx(list(hat), rel=1e-6) and [r.y_hat for r in scored] == pytest.approx(list(design @ beta), rel=1e-6, abs=1e-6)
+    # a fold trains on the merged moments of its blocks
+    blocks = d.moments_u(df, F.col("_blk"))
+    params = d.fold_params(df, {3: F.col("_blk") < 3}, block_col="_blk")
+    tr = rs.merged((blocks[b] for b in range(3)), len(d.u_names()))
+    tf, nf, _ = d.transform_matrix(params[3], tr)
+    g_tr, g_va = d.to_gram(tf, tr, nf), d.to_gram(tf, blocks[3], nf)
+    first = np.arange(len(y)) < len(y) // 2
+    valid = ~first & (np.arange(len(y)) < 2 * len(y) // 3)
+    if not missing:
+        zf = (shifted - shifted[first].mean(0)) / shifted[first].std(0)
+        df_ = np.column_stack([np.ones(len(y)), zf, c == "B", c == "C"])
+        bf = np.linalg.lstsq(df_[first], y[first], rcond=None)[0]
+        want = 1 - np.sum((y[valid] - df_[valid] @ bf) ** 2) / np.sum((y[valid] - y[valid].mean()) ** 2)
+        assert regress.r2(g_va, regress.ols(g_tr)) == pytest.approx(want, rel=tol)
+
+
+def test_gram_of_a_far_off_column(spark):
+    """``gram`` itself, over many partitions, beside a constant column."""
+    rng = np.random.default_rng(3)
+    e = rng.normal(size=500)
+    x = 1.7e9 + 1000 * e
+    y = 2 * e + rng.normal(scale=0.07, size=500)
+    df = spark.createDataFrame([(float(a), 0.1, float(b)) for a, b in zip(x, y)], "x double, k double, y double").repartition(40)
+    g = gram(df, ["x", "k"], "y")
+    fit = regress.ols(g)
+    xc = x - 1.7e9
+    slope = np.sum((xc - xc.mean()) * (y - y.mean())) / np.sum((xc - xc.mean()) ** 2)
+    assert fit.coef[0] == pytest.approx(slope, rel=1e-9) and abs(fit.coef[1] * 0.1) < 1e-9
+    assert regress.r2(g, fit) == pytest.approx(np.corrcoef(x, y)[0, 1] ** 2, rel=1e-9)
