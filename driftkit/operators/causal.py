@@ -14,15 +14,20 @@ pivot/medians), as RANGE frames treat equal times as peers.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftkit.operators import frames
 from driftkit.operators.frames import T_US, parse_duration_us
+from driftkit.operators.order_stats import range_quantiles, range_summaries
 
 STATS = ("mean", "max", "min", "std", "count")
+ROWS_AT_ONCE = 50_000
 
 
 def capped_forward_fill(
@@ -113,47 +118,15 @@ def rolling_features(
     ``closed``: "left" [t-w, t) (default), "right" (t-w, t], "both" [t-w, t], "neither" (t-w, t).
     ``count`` is NULL when the frame holds no rows, else the non-NULL count
     (0 when all are NULL); other statistics are NULL below ``min_periods``
-    non-NULL values; std uses ddof 0.
+    non-NULL values; std uses ddof 0.  NaN is missing like NULL.
     """
     source_cols = [c for c in source_cols if c in df.columns]
     if not source_cols:
         return df
     spans = [(w.lower().replace(" ", ""), parse_duration_us(w)) for w in windows]
-    reach = max(s for _, s in spans)
-
-    def bounds(span: int) -> tuple[int, int]:
-        lo = -span if closed in ("left", "both") else -span + 1
-        hi = 0 if closed in ("right", "both") else -1
-        return lo, hi
-
-    def build(w, staged):
-        cols = []
-        for c in source_cols:
-            for name, span in spans:
-                lo, hi = bounds(span)
-                fw = w.rangeBetween(lo, hi)
-                n_obs = F.count(c).over(fw)
-                enough = n_obs >= F.lit(min_periods)
-                for stat in statistics:
-                    alias = f"{c}_{stat}_prev_{name}"
-                    if stat == "mean":
-                        e = F.when(enough, F.avg(c).over(fw))
-                    elif stat == "max":
-                        e = F.when(enough, F.max(c).over(fw))
-                    elif stat == "min":
-                        e = F.when(enough, F.min(c).over(fw))
-                    elif stat == "std":
-                        e = F.when(enough, F.stddev_pop(c).over(fw))
-                    elif stat == "median":
-                        e = F.when(enough, F.percentile(c, 0.5).over(fw))
-                    elif stat == "count":
-                        e = F.when(F.count(F.lit(1)).over(fw) >= F.lit(min_periods), n_obs.cast("double"))
-                    else:
-                        raise ValueError(f"unknown statistic {stat}")
-                    cols.append(e.alias(alias))
-        return cols
-
-    out = frames.apply_bounded_frames(df, group_cols, time_col, build, lookback_us=reach, lookahead_us=0, block_us=block_us)
+    if unknown := set(statistics) - {*STATS, "median"}:
+        raise ValueError(f"unknown statistics {sorted(unknown)}")
+    out = _rolled(df, list(group_cols), time_col, source_cols, spans, list(statistics), closed, min_periods, block_us)
     if include_last_previous_value:
         out = previous_value(out, group_cols, time_col, source_cols)
         ordered = list(df.columns)
@@ -164,6 +137,97 @@ def rolling_features(
     return out
 
 
+def frame_columns(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, statistics: Sequence[str], min_periods: int) -> list[pa.Array]:
+    """One column per statistic over index ranges [lo, hi) of ``values`` (NaN: missing)."""
+    known = ~np.isnan(values)
+    before = np.concatenate([[0], np.cumsum(known)])
+    a, b = before[lo], before[hi]
+    n_obs = b - a
+    enough = (n_obs >= min_periods) & (n_obs > 0)
+    a, b, kept = a[enough], b[enough], values[known]
+    found = range_summaries(kept, a, b) if set(statistics) & {"mean", "max", "min", "std"} else {}
+    found["std"] = np.sqrt(found["m2"] / (b - a)) if found else None
+    found["median"] = range_quantiles(kept, a, b, 0.5) if "median" in statistics else None
+    out = []
+    for stat in statistics:
+        if stat == "count":
+            rows = hi - lo
+            out.append(pa.array(n_obs.astype(float), mask=(rows < min_periods)))
+        else:
+            column = np.zeros(len(lo))
+            column[enough] = found[stat]
+            out.append(pa.array(column, mask=~enough))
+    return out
+
+
+def _rolled(df: DataFrame, keys: list[str], time_col: str, sources: list[str], spans: list, statistics: list[str], closed: str, min_periods: int, block_us: int | None) -> DataFrame:
+    """Frames of each row, answered in streams.
+
+    A task reads the rows of a (key, time block) in time order and keeps those that
+    later frames can still reach; new rows are answered in runs as long as what is
+    kept, so the work is rows x log(rows in a run) however many rows a frame holds,
+    and a task's memory follows the longest frame, not the block."""
+    reach = max(s for _, s in spans)
+    staged, blocked = frames.into_blocks(df, time_col, lookback_us=reach, lookahead_us=0, block_us=block_us)
+    by = [*keys, *([frames.BLOCK] if blocked else [])]
+    home = F.col(frames.HOME) if blocked else F.lit(True)
+    values = [F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(sources)]
+    staged = staged.select(*df.columns, F.col(T_US), home.alias(frames.HOME), *([F.col(frames.BLOCK)] if blocked else []), *values)
+    dealt = (staged.repartition(*by) if by else staged.coalesce(1)).sortWithinPartitions(*by, T_US)
+    names = [f"{c}_{stat}_prev_{name}" for c in sources for name, _ in spans for stat in statistics]
+    schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in names]])
+    own_columns, answer_names = list(df.columns), schema.names
+    lo_side = "left" if closed in ("left", "both") else "right"
+    hi_side = "right" if closed in ("right", "both") else "left"
+
+    def answer(held: pa.Table, first: int, last: int) -> pa.Table:
+        t = held.column(T_US).to_numpy()
+        own = first + np.flatnonzero(held.column(frames.HOME).to_numpy()[first:last])
+        ranges = [(np.searchsorted(t, t[own] - span, lo_side), np.searchsorted(t, t[own], hi_side)) for _, span in spans]
+        columns = held.select(own_columns).take(pa.array(own)).columns
+        for i in range(len(sources)):
+            v = held.column(f"_v{i}").to_numpy(zero_copy_only=False)
+            for lo, hi in ranges:
+                columns += frame_columns(v, lo, np.maximum(lo, hi), statistics, min_periods)
+        return pa.table(columns, names=answer_names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        key, parts, done = None, [], 0  # the rows held, and how many of them are answered
+
+        def take(final: bool) -> Iterable[pa.RecordBatch]:
+            nonlocal parts, done
+            held = pa.Table.from_batches(parts).combine_chunks()
+            t = held.column(T_US).to_numpy()
+            end = len(t) if final else int(np.searchsorted(t, t[-1]))  # rows of equal time wait for each other
+            if end > done:
+                yield from answer(held, done, end).combine_chunks().to_batches()
+            if not final:
+                keep = int(np.searchsorted(t, t[max(end - 1, 0)] - reach))
+                done, parts = end - keep, held.slice(keep).to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = [batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy() for c in by]
+            change = np.zeros(batch.num_rows - 1, bool)
+            for c in codes:
+                change |= c[1:] != c[:-1]
+            cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                own = tuple(batch.column(c)[a].as_py() for c in by)
+                if parts and own != key:
+                    yield from take(True)
+                    parts, done = [], 0
+                key = own
+                parts.append(batch.slice(a, b - a))
+                if sum(p.num_rows for p in parts) >= max(ROWS_AT_ONCE, 2 * done):
+                    yield from take(False)
+        if parts:
+            yield from take(True)
+
+    return dealt.mapInArrow(run, schema)
+
+
 def autoregressive_lag(
     df: DataFrame,
     group_cols: Sequence[str],

@@ -49,14 +49,20 @@ def with_micros(df: DataFrame, time_col: str) -> DataFrame:
     return df.withColumn(T_US, epoch_micros(time_col))
 
 
-def replicate_into_blocks(df: DataFrame, block_us: int, lookback_us: int = 0, lookahead_us: int = 0) -> DataFrame:
-    """Add ``_blk`` (one row per block that needs the row) and ``_home`` (own block)."""
-    t = F.col(T_US)
+def into_blocks(df: DataFrame, time_col: str, lookback_us: int, lookahead_us: int, block_us: int | None = None) -> tuple[DataFrame, bool]:
+    """Add the microsecond time, ``_blk`` (one row per block that needs the row) and
+    ``_home`` (own block); False and the time alone where ``block_us`` is 0."""
+    if block_us is None:
+        block_us = default_block_us(lookback_us, lookahead_us)
+    t = epoch_micros(time_col)
+    if not block_us:
+        return df.select("*", t.alias(T_US)), False
     own = F.floor(t / F.lit(block_us))
     lo = F.floor((t - F.lit(lookahead_us)) / F.lit(block_us))
     hi = F.floor((t + F.lit(lookback_us)) / F.lit(block_us))
     spread = F.when(lo == hi, F.array(own)).otherwise(F.sequence(lo, hi))
-    return df.withColumn(BLOCK, F.explode(spread)).withColumn(HOME, F.col(BLOCK) == own)
+    staged = df.select("*", t.alias(T_US), F.explode(spread).alias(BLOCK))
+    return staged.withColumn(HOME, F.col(BLOCK) == F.floor(F.col(T_US) / F.lit(block_us))), True
 
 
 def blocked_window(partition_cols: Sequence[str], blocked: bool) -> Window:
@@ -79,18 +85,7 @@ def apply_bounded_frames(
     microsecond time, and returns the new columns (already aliased).  Rows keep
     their original columns.  ``block_us=0`` disables blocking.
     """
-    if block_us is None:
-        block_us = default_block_us(lookback_us, lookahead_us)
-    blocked = block_us > 0
-    t = epoch_micros(time_col)
-    if blocked:
-        own = F.floor(t / F.lit(block_us))
-        lo = F.floor((t - F.lit(lookahead_us)) / F.lit(block_us))
-        hi = F.floor((t + F.lit(lookback_us)) / F.lit(block_us))
-        spread = F.when(lo == hi, F.array(own)).otherwise(F.sequence(lo, hi))
-        staged = df.select("*", t.alias(T_US), F.explode(spread).alias(BLOCK)).withColumn(HOME, F.col(BLOCK) == F.floor(F.col(T_US) / F.lit(block_us)))
-    else:
-        staged = df.select("*", t.alias(T_US))
+    staged, blocked = into_blocks(df, time_col, lookback_us, lookahead_us, block_us)
     w = blocked_window(partition_cols, blocked)
     new_cols = build(w, staged)
     if blocked:

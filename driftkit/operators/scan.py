@@ -51,3 +51,29 @@ def prefix_sums(
         *[F.col(c) for c in df.columns],
         *[(F.col(c + "_loc") + F.coalesce(F.col(c + "_off"), F.lit(0))).alias(c + suffix) for c in sum_cols],
     )
+
+
+RUNS_BROADCAST = 200_000
+
+
+def row_numbers(df: DataFrame, order: Sequence[Column], group_cols: Sequence[str], out: str, total: str) -> tuple[DataFrame, int]:
+    """Add the 1-based position of each row in its group in ``order`` and the group's
+    number of rows; also returns the largest group's.
+
+    Rows are sorted in range partitions and checkpointed; a row's place in its
+    partition is its place in the file, so only one row per (partition, group) - at
+    most partitions + groups in all - is added up, and broadcast where that count
+    allows; the rows themselves are not shuffled again."""
+    gcols = [F.col(g) for g in group_cols]
+    ranged = cut_lineage(df.repartitionByRange(*gcols, *order).sortWithinPartitions(*gcols, *order))
+    placed = ranged.withColumns({PID: F.spark_partition_id(), "_mid": F.monotonically_increasing_id()})
+    keys = [PID, *group_cols]
+    runs = cut_lineage(placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")))
+    number, largest = runs.groupBy(*group_cols).agg(F.sum("_n").alias("t"), F.count(F.lit(1)).alias("r")).agg(F.sum("r"), F.max("t")).first()
+    carry = Window.partitionBy(*group_cols).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
+    before = runs.select(*keys, (F.coalesce(F.sum("_n").over(carry), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
+                         F.sum("_n").over(Window.partitionBy(*group_cols)).alias(total))
+    if (number or 0) <= RUNS_BROADCAST:
+        before = F.broadcast(before)
+    joined = placed.join(before, keys)
+    return joined.select(*df.columns, (F.col("_mid") + F.col("_shift")).alias(out), total), int(largest or 0)
