@@ -74,15 +74,18 @@ def block_quotas(targets: DataFrame, blocks: int = BLOCKS, shards: int = 8) -> D
 
 def mix_sources(docs: DataFrame, blocks: int = BLOCKS, epochs: int = EPOCHS, weights: tuple = WEIGHTS, seed: int = 29, shards: int = 8) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for every row of ``docs``."""
-    slim = docs.select(
+    return _mixed(stored(_sized(docs, seed)), ["doc_id", "size"], blocks, epochs, weights, shards)
+
+
+def _sized(docs: DataFrame, seed: int, *keep: str) -> DataFrame:
+    return docs.select(
+        *keep,
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("source"), F.lit("")).alias("source"),
         F.col("source").isNull().alias("no_source"),
         word_count(F.col("text")).alias("size"),
         seeded_key(seed, F.col("doc_id")).alias("key"),
     )
-    slim = stored(slim)
-    return _mixed(slim, ["doc_id", "size"], blocks, epochs, weights, shards)
 
 
 def _mixed(slim: DataFrame, tie: list[str], blocks: int, epochs: int, weights: tuple, shards: int) -> DataFrame:
@@ -110,21 +113,15 @@ def _mixed(slim: DataFrame, tie: list[str], blocks: int, epochs: int, weights: t
     ).withColumn("source", F.when(~F.col("no_source"), F.col("source"))).drop("no_source")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, blocks: int = BLOCKS, epochs: int = EPOCHS, weights: tuple = WEIGHTS, seed: int = 29, shards: int = 8) -> DataFrame:
     """``docs`` as the mix reads them, same columns: a document is repeated for each
     whole round and, for a partial round, once more with the first words of its
-    span (joined by one space; ``n_chars``, if present, follows the text).  Rows that
-    share doc_id, source and size share their takes evenly."""
-    read = mix_sources(docs, **options)
-    share = read.groupBy("doc_id", "source", "size").agg(F.expr("sum(taken) DIV count(*)").alias("taken"))
-    whole = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").alias("source"),
-        word_count(F.col("text")).alias("size"),
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"),
-    )
-    on = [whole[c].eqNullSafe(share[c]) for c in ("doc_id", "source", "size")]
-    both = whole.join(share.where("taken > 0"), on).select(whole["whole"], whole["size"].alias("size"), share["taken"].alias("taken"))
+    span (joined by one space; ``n_chars``, if present, follows the text).  Rows are
+    numbered and written once, so each row takes its own span, whatever its id."""
+    numbered = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.monotonically_increasing_id().alias("_row")))
+    fields = numbered.select("_row", *[F.col(f"whole.`{c}`").alias(c) for c in ("doc_id", "source", "text")])
+    read = _mixed(stored(_sized(fields, seed, "_row")), ["doc_id", "size", "_row"], blocks, epochs, weights, shards)
+    both = numbered.join(read.where("taken > 0").select("_row", "size", "taken"), "_row")
     copies = F.expr("CASE WHEN size > 0 THEN taken DIV size ELSE 0L END").cast("int")
     rest = F.expr("CASE WHEN size > 0 THEN taken % size ELSE 0L END").cast("int")
     takes = F.concat(F.array_repeat(F.lit(0), copies), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))

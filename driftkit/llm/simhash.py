@@ -26,7 +26,7 @@ no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -61,14 +61,15 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(spans)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fp): the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, fp): the 64 bits as a signed long; and the long columns ``keep``."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(t, shingle) for t in utf8(batch.column("text"))], np.uint64).astype(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps), *map(batch.column, keep)], names=["doc_id", "fp", *keep])
 
-    return map_batches(docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text"), "doc_id long, fp long", work)
+    schema = "doc_id long, fp long" + "".join(f", {c} long" for c in keep)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep), schema, work)
 
 
 def segments(max_bits: int) -> list[tuple[int, int]]:
@@ -271,13 +272,39 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 3, rows: int | None = None
     return found.where("a IS NOT NULL").select("a", "b").unionByName(over)
 
 
+def _labelled(signed: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, first, rows, label) of stored fingerprints: smallest doc_id, number of rows
+    and group of each distinct one."""
+    nodes = stored(signed.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")))
+    labels = connected_components(fingerprint_links(nodes.select("fp"), max_bits))
+    return nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "first", "rows", F.coalesce("label", "fp").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of ``docs``."""
     signed = stored(fingerprints(docs, shingle))
-    nodes = stored(signed.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    labels = connected_components(fingerprint_links(nodes.select("fp"), max_bits))
-    linked = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    linked = _labelled(signed, max_bits)
     # a component's first document: one row per fingerprint in, one per component out
     best = linked.groupBy("label").agg(F.min("first").alias("component_id"))
     member = linked.join(best, "label").select("fp", "component_id")
     return signed.join(member, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """``docs`` with one row of each group: that of the smallest doc_id (NULL last); of
+    several texts under that id in the group, the one with the smallest row hash.
+
+    Rows are told apart by two hashes of all their columns; rows that agree in every
+    column are the same row, of which one stays."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = docs.select(*columns, F.xxhash64(*columns).alias("_h1"), F.xxhash64(F.lit(7), *columns).alias("_h2"))
+    signed = stored(fingerprints(hashed, shingle, ["_h1", "_h2"]))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h1", "_h2")
+    # per fingerprint first, then per group: no group of copies meets in one task
+    first = signed.groupBy("fp").agg(F.min(order).alias("best"))
+    chosen = _labelled(signed, max_bits).join(first, "fp").groupBy("label").agg(F.min("best").alias("best"))
+    same = signed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_rows"))
+    chosen = chosen.select("best._h1", "best._h2").join(same, ["_h1", "_h2"])
+    kept = stored(hashed.join(chosen, ["_h1", "_h2"]))
+    single = kept.where("_rows = 1").select(*columns)
+    return single.unionByName(kept.where("_rows > 1").dropDuplicates(["_h1", "_h2"]).select(*columns))

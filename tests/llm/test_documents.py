@@ -12,7 +12,7 @@ from driftkit.llm.mixing import mix_sources, mixed_documents
 from driftkit.llm.packing import CAPACITY, best_fit, pack_documents, plan
 from driftkit.llm.queries import vocabulary
 from driftkit.llm.sharding import interleaved_shards
-from driftkit.llm.simhash import fingerprint_links, near_duplicates
+from driftkit.llm.simhash import fingerprint_links, near_duplicates, without_near_duplicates
 from driftkit.llm.substring import deduplicated, without_repeats
 from driftkit.llm.wordpiece import Automaton, token_counts, vocabulary_pieces
 
@@ -76,6 +76,23 @@ def test_mix_caps_and_reshares(spark):
     assert got["a"].taken == 30 and got["b"].taken == 15 and got["c"].taken == pytest.approx(955, abs=1)
 
 
+def test_mix_takes_its_own_span_for_each_row(spark):
+    """NULL and repeated ids: the words written are the words taken, and one row at most is cut."""
+    rows = [(None, "a b c d e", "s")] * 30 + [(7, f"x{i} y z", "t") for i in range(40)] + [(i, "p q " * 8, "u") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {}
+    for r in mix_sources(docs).collect():
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    for part in (docs, docs.repartition(5)):
+        out = mixed_documents(part).collect()
+        for source, text in (("s", "a b c d e"), ("t", None), ("u", None)):
+            mine = [r for r in out if r.source == source]
+            assert sum(len(r.text.split()) for r in mine) == taken[source]
+            size = {"s": 5, "t": 3, "u": 16}[source]
+            assert sum(len(r.text.split()) != size for r in mine) <= 1
+    assert len({r.text for r in mixed_documents(docs).where("source = 't'").collect()}) > 20
+
+
 def test_mix_reaches_small_sources(spark):
     """Sources of 1e-6 of all words, of one or two blocks, and so many small ones that a large one wins their seats."""
     docs = spark.range(2_000_000 // 500).selectExpr("id AS doc_id", "repeat('w ', 500) AS text", "'big' AS source")
@@ -136,6 +153,20 @@ def test_simhash(odd_docs, no_docs):
     assert near_duplicates(no_docs).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark, odd_docs):
+    """Copies go under whatever id; one id with two texts keeps each text's own group."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(3, a, "x"), (5, b, "y"), (5, a, "z"), (5, b, "y"), (None, b, "n"), (None, "c c c", "n"), (None, "c c c", "m"), (9, "d", "q"), (9, "e", "q"), (9, "e", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(map(tuple, without_near_duplicates(docs).collect()), key=str)
+    assert [r[:2] for r in got if r[0] in (3, 5)] == [(3, a), (5, b)]
+    assert sorted(r[1] for r in got if r[0] == 9) == ["d", "e"] and [r[1] for r in got if r[0] is None] == ["c c c"]
+    assert got == sorted(map(tuple, without_near_duplicates(docs.repartition(3)).collect()), key=str)
+    groups = near_duplicates(odd_docs).select("component_id", "fingerprint").collect()
+    kept = without_near_duplicates(odd_docs)
+    assert kept.columns == odd_docs.columns and {r.component_id for r in groups} >= {r.doc_id for r in kept.collect()}
+
+
 @pytest.mark.parametrize("rows", [1, 1_000_000])
 def test_links_give_all_components(spark, rows):
     """``rows`` drives the number of tasks: one, or so many that every hot segment is cut."""
