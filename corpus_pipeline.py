@@ -17,7 +17,7 @@ from driftkit.llm.common import table
 from driftkit.llm.mixing import mixed_documents
 from driftkit.llm.packing import pack_documents
 from driftkit.llm.queries import vocabulary
-from driftkit.llm.simhash import near_duplicates
+from driftkit.llm.simhash import without_near_duplicates
 from driftkit.llm.substring import without_repeats
 from driftkit.llm.toxicity import toxicity_scores
 from driftkit.session import ensure_checkpoint_dir, prepare_session
@@ -32,15 +32,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest
-    doc_id, and of rows that repeat that id, one.  Rows without an id stay."""
+    """One row of each near-duplicate group stays: that of the smallest doc_id (NULL
+    last), and of several texts under that id the one with the smallest row hash."""
     prepare_session(spark)
-    groups = near_duplicates(docs, shingle=3, max_bits=3).where("doc_id = component_id")
-    first = groups.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows"))
-    kept = docs.join(first, docs["doc_id"] == first["_id"])
-    single = kept.where("_rows = 1").select(*docs.columns)
-    repeated = kept.where("_rows > 1").dropDuplicates(["_id"]).select(*docs.columns)
-    return single.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))
+    return without_near_duplicates(docs, shingle=3, max_bits=3)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +64,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-ORACLE_SQL = None  # learned scores, XXH64 and a tokenizer are beyond SQL: tests hold each stage against brute force
+ORACLE_SQL = None  # learned scores, XXH64 and a tokenizer are beyond SQL; tests hold the operators behind the stages against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
