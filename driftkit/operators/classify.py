@@ -1,8 +1,9 @@
 """Time-ordered binary classification.
 
 Every fold refits the column preprocessing (M6) on its own training rows and an
-MLlib estimator on the assembled vectors; all folds' validation scores are
-unioned and scored by ONE grouped metrics job per model.  Candidate fits of a
+estimator on the result: MLlib's logistic regression, forest and perceptron, and the
+boosted trees of ``boosting``.  A fold's validation scores are written inside its own
+guarded step; all folds' scores are then measured by ONE grouped job per model.  Candidate fits of a
 random search run as concurrent Spark jobs (``parallelism``), the way MLlib's
 ``CrossValidator`` does.
 """
@@ -15,18 +16,15 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftkit.operators import metrics, splits
+from driftkit.operators.boosting import BoostedModel, fit_boosted
 from driftkit.operators.preprocess import fit_preprocessing
+from driftkit.session import cut_lineage
 
 IDX = "row_index"
 METRIC_COLS = ["average_precision", "pr_auc", "roc_auc", "f1", "precision", "recall", "balanced_accuracy"]
@@ -37,7 +35,7 @@ class ModelSpec:
     """An estimator factory plus how to weight classes."""
 
     name: str
-    kind: str                       # logistic | random_forest | gbt | mlp
+    kind: str                       # logistic | random_forest | boosted | mlp
     params: dict = field(default_factory=dict)
     weighting: str = "balanced"     # balanced | pos_ratio | none
 
@@ -47,17 +45,17 @@ LOGISTIC = ModelSpec("Logistic Regression", "logistic", {"maxIter": 1000})
 RANDOM_FOREST_BASIC = ModelSpec("Random Forest (basis)", "random_forest", {"numTrees": 50, "maxDepth": 7})
 RANDOM_FOREST = ModelSpec("Random Forest", "random_forest",
                           {"numTrees": 200, "maxDepth": 10, "minInstancesPerNode": 5, "featureSubsetStrategy": "sqrt"})
-BOOSTED = ModelSpec("Gradient Boosted Trees", "gbt",
-                    {"maxIter": 150, "maxDepth": 3, "stepSize": 0.05, "subsamplingRate": 0.9,
-                     "featureSubsetStrategy": "0.9"}, weighting="pos_ratio")
+BOOSTED = ModelSpec("Gradient Boosted Trees", "boosted",
+                    {"n_estimators": 150, "max_depth": 3, "learning_rate": 0.05, "subsample": 0.9, "colsample": 0.9,
+                     "reg_alpha": 0.0, "reg_lambda": 1.0, "max_bin": 256}, weighting="pos_ratio")
 MLP = ModelSpec("MLP", "mlp", {"hidden": (64, 32), "maxIter": 200}, weighting="none")
 
 # The search grids of the source study.  The MLP learning rate has no
 # counterpart under l-bfgs, and depth 30 (the most MLlib takes) stands for no limit.
 RANDOM_FOREST_GRID = {"numTrees": [200, 500], "maxDepth": [5, 10, 20, 30], "minInstancesPerNode": [1, 5, 10],
                       "featureSubsetStrategy": ["sqrt", "log2"]}
-BOOSTED_GRID = {"maxIter": [100, 200], "maxDepth": [3, 5], "stepSize": [0.01, 0.05, 0.1],
-                "subsamplingRate": [0.7, 0.9, 1.0], "featureSubsetStrategy": ["0.7", "0.9", "1.0"]}
+BOOSTED_GRID = {"n_estimators": [100, 200], "max_depth": [3, 5], "learning_rate": [0.01, 0.05, 0.1], "subsample": [0.7, 0.9, 1.0],
+                "colsample": [0.7, 0.9, 1.0], "reg_lambda": [1.0, 5.0, 10.0], "reg_alpha": [0.0, 0.1]}
 MLP_GRID = {"hidden": [(32,), (64,), (64, 32), (128, 64)], "maxIter": [100, 200, 300]}
 SEED = 42
 
@@ -82,8 +80,6 @@ def make_estimator(spec: ModelSpec, n_features: int, n_train: float, label: str,
                                   weightCol=weight, **common, **p)
     if spec.kind == "random_forest":
         return RandomForestClassifier(seed=SEED, weightCol=weight, **common, **p)
-    if spec.kind == "gbt":
-        return GBTClassifier(seed=SEED, weightCol=weight, **common, **p)
     if spec.kind == "mlp":
         hidden = list(p.pop("hidden", (64, 32)))
         return MultilayerPerceptronClassifier(layers=[n_features, *hidden, 2], seed=SEED, solver="l-bfgs", **common, **p)
@@ -100,6 +96,8 @@ class FittedClassifier:
         """Probability of class 1 (M24: a constant for single-class training)."""
         if self.constant is not None:
             return df.select(*keep, F.lit(self.constant).alias("y_score"))
+        if isinstance(self.model, BoostedModel):
+            return self.model.score(self.prep.transform(df, keep=keep), keep)
         x = self.prep.transform(df, keep=keep, vector_col="features")
         out = self.model.transform(x)
         return out.select(*keep, vector_to_array("probability")[1].alias("y_score"))
@@ -110,6 +108,10 @@ def fit_classifier(train: DataFrame, numeric: Sequence[str], categorical: Sequen
     w, n, p = class_weight_column(train, label, spec.weighting)
     if p == 0 or p == n:
         return FittedClassifier(prep, None, 1.0 if p == n else 0.0)
+    if spec.kind == "boosted":
+        x = prep.transform(train, keep=[label])
+        weight = (n - p) / p if spec.weighting == "pos_ratio" else 1.0
+        return FittedClassifier(prep, fit_boosted(x, prep.feature_names(), label, int(n), p / n, weight, seed=SEED, **spec.params))
     x = prep.transform(train.withColumn("_w", w), keep=[label, "_w"], vector_col="features")
     est = make_estimator(spec, len(prep.feature_names()), n, label, "_w" if spec.weighting != "none" else None)
     return FittedClassifier(prep, est.fit(x.withColumn(label, F.col(label).cast("double"))))
@@ -127,9 +129,10 @@ def evaluate_temporally(
     time_col: str | None = "model_time",
     parallelism: int | None = None,
 ) -> dict:
-    """Expanding-window folds; a failing fold is recorded (``error``), not fatal.
-    Folds are independent, so their fits run as concurrent Spark jobs
-    (``parallelism``, default one thread per fold).
+    """Expanding-window folds.  A fold that fails, in fitting or in scoring, becomes
+    a row with ``error`` and NULL metrics; the others stay.  ``warning`` tells of folds
+    whose validation rows are of one class.  Folds are independent, so they run as
+    concurrent Spark jobs (``parallelism``, default one thread per fold).
     Returns fold metrics, out-of-fold predictions and the A23 summary."""
     spark = indexed.sparkSession
     keep = [IDX, label] + ([time_col] if time_col else [])
@@ -141,7 +144,8 @@ def evaluate_temporally(
         valid = indexed.filter((F.col(IDX) >= fb["valid_start"]) & (F.col(IDX) <= fb["valid_end"]))
         try:
             fc = fit_classifier(train, numeric, categorical, label, spec)
-            return f, fc.score(valid, keep).withColumn("fold", F.lit(f)), None
+            # written here, so that a failure in scoring is this fold's own
+            return f, cut_lineage(fc.score(valid, keep).withColumn("fold", F.lit(f))), None
         except Exception as exc:  # noqa: BLE001 - record and keep the other folds
             return f, None, f"{type(exc).__name__}: {exc}"
 
@@ -157,21 +161,19 @@ def evaluate_temporally(
         oof = preds[0]
         for p in preds[1:]:
             oof = oof.unionByName(p)
-        oof = oof.select(F.col(IDX), F.lit(spec.name).alias("model"), "fold", F.col(label).cast("int").alias("y_true"),
-                         "y_score", (metrics.score_or_neg_inf("y_score") >= threshold).cast("int").alias("y_pred"),
-                         *([time_col] if time_col else []))
-        m = metrics.binary_metrics(oof, "y_true", "y_score", threshold, group_cols=["fold"])
-        fold_metrics = sizes.join(m, "fold", "left")
-    else:
-        oof = None
-        fold_metrics = sizes
-        for c in METRIC_COLS:
-            fold_metrics = fold_metrics.withColumn(c, F.lit(None).cast("double"))
+    else:  # all folds failed: no predictions, and every metric NULL
+        oof = indexed.limit(0).select(*keep, F.lit(None).cast("double").alias("y_score"), F.lit(None).cast("int").alias("fold"))
+    oof = oof.select(F.col(IDX), F.lit(spec.name).alias("model"), "fold", F.col(label).cast("int").alias("y_true"),
+                     "y_score", (metrics.score_or_neg_inf("y_score") >= threshold).cast("int").alias("y_pred"),
+                     *([time_col] if time_col else []))
+    fold_metrics = sizes.join(metrics.binary_metrics(oof, "y_true", "y_score", threshold, group_cols=["fold"]), "fold", "left")
+    present = F.concat(F.lit("Only one class present in y_true: ["), F.col("positive_rate").cast("int").cast("string"), F.lit("]."))
+    fold_metrics = fold_metrics.withColumn("warning", F.when(F.col("one_class_fold"), present).when(~F.col("one_class_fold"), ""))
     err_df = spark.createDataFrame([(f, e) for f, e in errors.items()] or [(0, "")], "fold int, error string")
     fold_metrics = (fold_metrics.join(F.broadcast(err_df), "fold", "left")
                     .withColumn("error", F.coalesce(F.col("error"), F.lit("")))
                     .withColumn("model", F.lit(spec.name)))
-    return {"fold_metrics": fold_metrics, "predictions": oof, "summary": summarize_folds(fold_metrics)}
+    return {"fold_metrics": fold_metrics, "predictions": oof if preds else None, "summary": summarize_folds(fold_metrics)}
 
 
 def summarize_folds(fold_metrics: DataFrame, ddof: int = 1) -> DataFrame:

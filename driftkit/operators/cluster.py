@@ -11,22 +11,29 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftkit.operators.preprocess import fit_preprocessing
+from driftkit.operators.quantiles import exact_quantiles
 
 
 def entity_profile(df: DataFrame, keys: Sequence[str], value: str, label: str | None = None, lag: str | None = None) -> DataFrame:
-    """Per entity median, IQR (q75 - q25), fail fraction (label = 1) and lag median."""
-    q = F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    aggs = [F.count(value).alias("n"), q.alias("_q")]
+    """Per entity median, IQR (q75 - q25), fail fraction (label = 1) and lag median.
+
+    Quantiles come from counted values and distributed prefix sums: no buffer holds an
+    entity's values, however many rows it has.  A NULL key is an entity of its own."""
+    named = df.withColumn("_entity", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    aggs = [F.first(F.struct(*keys)).alias("_keys"), F.count(value).alias("n")]
     if label:
         aggs.append(F.avg((F.col(label) == 1).cast("double")).alias("fail_fraction"))
+    out = named.groupBy("_entity").agg(*aggs)
+    quantiles = exact_quantiles(named, value, [0.25, 0.5, 0.75], ["_entity"], ["_q1", "median", "_q3"]).drop("n")
+    out = out.join(quantiles, "_entity", "left")
     if lag:
-        aggs.append(F.median(lag).alias("lag_median"))
-    out = df.groupBy(*keys).agg(*aggs)
-    return out.select(*keys, "n", F.col("_q")[1].alias("median"), (F.col("_q")[2] - F.col("_q")[0]).alias("iqr"),
+        out = out.join(exact_quantiles(named, lag, [0.5], ["_entity"], ["lag_median"]).drop("n"), "_entity", "left")
+    return out.select("_keys.*", "n", "median", (F.col("_q3") - F.col("_q1")).alias("iqr"),
                       *([F.col("fail_fraction")] if label else []), *([F.col("lag_median")] if lag else []))
 
 
@@ -54,8 +61,8 @@ def pca(df: DataFrame, features: Sequence[str], standardize: bool = True, k: int
     pc = full.pc.toArray()
     loadings = [(j + 1, f, float(pc[i, j])) for j in range(pc.shape[1]) for i, f in enumerate(feats)]
     k = k or components_for(explained)
-    model = PCA(k=k, inputCol="_v", outputCol="pcs").fit(vec)
-    return explained, loadings, model, model.transform(vec).select(*keep, "pcs")
+    first = F.slice(vector_to_array("_pc"), 1, k)  # of the one fit, the first k components
+    return explained, loadings, full, full.transform(vec).select(*keep, array_to_vector(first).alias("pcs"))
 
 
 def components_for(explained: list, share: float = 0.90) -> int:

@@ -98,10 +98,20 @@ def join_many_to_one(
     keys: Sequence[str],
     how: str = "left",
 ) -> DataFrame:
-    """Left equi-join where ``right`` has at most one row per key (it comes
-    from a groupBy on ``keys``).  AQE decides the join from runtime sizes (broadcast,
-    sort-merge or shuffled-hash, skew-join splitting)."""
-    return left.join(right, on=list(keys), how=how)
+    """J1 + J4: left equi-join where ``right`` has at most one row per key.  A key that
+    occurs twice fails the query: the check is part of the plan (a count per key over
+    the partitioning that the join needs anyway), so it runs no job and no scan of its
+    own.  AQE decides the join from runtime sizes (broadcast, sort-merge or
+    shuffled-hash, skew-join splitting)."""
+    return left.join(checked_unique(right, keys), on=list(keys), how=how)
+
+
+def checked_unique(df: DataFrame, keys: Sequence[str], name: str = "right side of a many-to-one join") -> DataFrame:
+    """J4 inside a plan: ``df`` itself, or an error as soon as a key is met twice."""
+    twice = F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1
+    told = F.concat(F.lit(f"{name}: duplicate key ({', '.join(keys)}) = "), F.to_json(F.struct(*keys)))
+    counted = df.withColumn("_twice", twice)
+    return counted.where(F.when(F.col("_twice"), F.raise_error(told).cast("boolean")).otherwise(True)).drop("_twice")
 
 
 def assert_unique_keys(df: DataFrame, keys: Sequence[str], name: str = "frame") -> None:

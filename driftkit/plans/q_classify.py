@@ -3,9 +3,12 @@ A22-A25) and the unsupervised pieces (M38, M39)."""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from driftkit.operators import classify, cluster, profile, prune, splits
+from driftkit.operators.boosting import fit_boosted
+from driftkit.operators.dbscan import dbscan
 from driftkit.operators.outlier import mahalanobis_outliers
 from driftkit.plans import fault_study as fs
 from driftkit.plans.catalog import register, rounded
@@ -154,6 +157,42 @@ def q_kmeans(spark, sf_dir):
     return cluster.contingency(km, "cluster", "label")
 
 
+@register("m40_dbscan")
+def q_dbscan(spark, sf_dir):
+    """Density clusters on the first two principal components; rows per cluster."""
+    df, feats = _vec(spark, sf_dir)
+    _, _, _, proj = cluster.pca(df, feats, k=2, keep=["vec_id", "label"])
+    flat = proj.select("vec_id", *[vector_to_array("pcs")[i].alias(f"pc{i + 1}") for i in range(2)])
+    found = dbscan(flat, ["pc1", "pc2"], eps=0.3, min_samples=8)
+    return found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+_STUMP = ("l_quantity", "l_discount", "l_tax")
+
+
+@register("m22_first_stump", f"""WITH d AS (SELECT {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _STUMP)}, CAST(l_returnflag = 'R' AS DOUBLE) AS y
+  FROM lineitem WHERE l_returnflag IS NOT NULL AND {" AND ".join(f"{c} IS NOT NULL" for c in _STUMP)}),
+b AS (SELECT avg(y) AS p, (count(*) - sum(y)) / sum(y) AS w FROM d),
+g AS (SELECT d.*, CASE WHEN y = 1 THEN w ELSE 1 END * (p - y) AS g, CASE WHEN y = 1 THEN w ELSE 1 END * p * (1 - p) AS h FROM d, b),
+t AS (SELECT sum(g) AS gt, sum(h) AS ht FROM g),
+v AS ({" UNION ALL ".join(f"SELECT {i} AS k, '{c}' AS feature, {c} AS v, sum(g) AS g, sum(h) AS h FROM g GROUP BY {c}" for i, c in enumerate(_STUMP))}),
+c AS (SELECT k, feature, v AS cut, sum(g) OVER w AS gl, sum(h) OVER w AS hl FROM v
+      WINDOW w AS (PARTITION BY k ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s AS (SELECT *, gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1) AS gain FROM c, t WHERE hl >= 1 AND ht - hl >= 1),
+best AS (SELECT * FROM s ORDER BY gain DESC, k, cut LIMIT 1)
+SELECT feature, rnd(cut) AS cut, rnd(gain) AS gain, rnd(-0.05 * gl / (hl + 1)) AS left_leaf, rnd(-0.05 * (gt - gl) / (ht - hl + 1)) AS right_leaf FROM best""")
+def q_stump(spark, sf_dir):
+    """The first split of the boosted trees on three columns of few values."""
+    li = read_table(spark, sf_dir, "lineitem").na.drop(subset=["l_returnflag", *_STUMP])
+    li = li.select(*_STUMP, (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    n, p = li.agg(F.count(F.lit(1)), F.sum("y")).first()
+    model = fit_boosted(li, _STUMP, "y", n, p / n, (n - p) / p, n_estimators=1, max_depth=1, subsample=1.0, colsample=1.0)
+    t = model.trees[0]
+    f = int(t.feature[0])
+    row = (_STUMP[f], float(model.cuts[f][t.cut[0] - 1]), float(t.gain[0]), float(t.value[1]), float(t.value[2]))
+    return rounded(spark.createDataFrame([row], "feature string, cut double, gain double, left_leaf double, right_leaf double"))
+
+
 @register("a25_label_contingency", """SELECT event_type, user_id % 3 AS backend, count(*) AS count FROM events GROUP BY ALL""")
 def q_label_contingency(spark, sf_dir):
     events = read_table(spark, sf_dir, "events").withColumn("backend", F.col("user_id") % 3)
