@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, TimestampNTZType, TimestampType
 
 from driftkit.functions.scalar import hours_between, to_double, to_timestamp_ntz, utc_wall
+from driftkit.sources.tables import CORRUPT
 
 
 def _as_time(df: DataFrame, c: str):
@@ -64,6 +65,24 @@ def parse_feed(
     return typed
 
 
+def quarantine(
+    raw: DataFrame,
+    value_col: str = "value",
+    time_cols: Sequence[str] = ("observed_time", "calibrated_time"),
+    structural: Sequence[str] = ("backend", "qubit", "property", "observed_time", "value"),
+) -> DataFrame:
+    """The rows that ``parse_feed`` cannot use as they are, with ``reason``: a record
+    that does not fit the schema, a time or number that cannot be read, a missing key.
+    Lazy, one scan; the first reason in this order counts."""
+    reasons = [F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed record"))] if CORRUPT in raw.columns else []
+    for c in time_cols:
+        if c in raw.columns:
+            reasons.append(F.when(F.col(c).isNotNull() & _as_time(raw, c).isNull(), F.lit(f"bad {c}")))
+    reasons.append(F.when(F.col(value_col).isNotNull() & _as_double(raw, value_col).isNull(), F.lit(f"bad {value_col}")))
+    reasons += [F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in structural]
+    return raw.withColumn("reason", F.coalesce(*reasons)).where("reason IS NOT NULL")
+
+
 def parse_report(
     raw: DataFrame,
     value_col: str = "value",

@@ -52,25 +52,25 @@ def drop_high_missingness(df: DataFrame, threshold: float = 0.30, keep: Iterable
     return (df.drop(*dropped) if dropped else df), {"dropped": dropped, "rates": rates}
 
 
-# Name fragments that mark a column as looking ahead.
-AHEAD_WORD = "future"
-LABEL_WORD = "fault"
+# What in a column name shows that it looks ahead of its row; {label} is the target.
+LOOKS_AHEAD = [
+    ("ends with", "_{label}"),
+    ("starts with", "future_"),
+    ("holds", "_future_"),
+    ("holds", "future_fault"),
+]
+NAME_TESTS = {"ends with": str.endswith, "starts with": str.startswith, "holds": str.__contains__}
 
 
-def leakage_pattern(target: str) -> str:
-    """P10 rule as one pattern: the label's own tag (``fault_24h``) behind any column
-    name, the look-ahead word as a whole name part or right before the label word."""
-    tag = re.escape(target.lower())
-    return f"_{tag}$|^{AHEAD_WORD}_|_{AHEAD_WORD}_|{AHEAD_WORD}_{LABEL_WORD}"
-
-
-def is_leakage_column(name: str, target: str = "fault_24h") -> bool:
-    return name != target and re.search(leakage_pattern(target), name.lower()) is not None
+def looks_ahead(name: str, target: str = "fault_24h") -> bool:
+    """P10: a column other than the target to which one of the rules applies."""
+    label = target.lower()
+    return name != target and any(NAME_TESTS[how](name.lower(), text.format(label=label)) for how, text in LOOKS_AHEAD)
 
 
 def drop_leakage(df: DataFrame, target: str = "fault_24h") -> DataFrame:
     """P10."""
-    return df.select(*[c for c in df.columns if not is_leakage_column(c, target)])
+    return df.select(*[c for c in df.columns if not looks_ahead(c, target)])
 
 
 def drop_count_and_instant(df: DataFrame, instant: Sequence[str]) -> DataFrame:

@@ -11,8 +11,8 @@ from driftkit.operators.boosting import fit_boosted
 from driftkit.operators.dbscan import dbscan
 from driftkit.operators.outlier import mahalanobis_outliers
 from driftkit.plans import fault_study as fs
-from driftkit.plans.catalog import register, rounded
-from driftkit.plans.q_telemetry import _label_sql, _node_sql
+from driftkit.plans.catalog import HIST, NODE_PROPS, TARGETS, register, rounded
+from driftkit.plans.q_telemetry import _env_cols, _label_sql, _node_sql
 from driftkit.sources.tables import read_table, vectors
 
 def frame(spark, sf_dir):
@@ -36,17 +36,19 @@ def q_name_pruning(spark, sf_dir):
     return rounded(fs.name_pruned(fs.label_table(spark, sf_dir)))
 
 
+_LABEL_COLS = [*NODE_PROPS, "calibration_lag_hours", *_env_cols(), *[f"{c}_{x}" for c in HIST for x in ("last_obs", "last_obs_age_hours", "was_missing")],
+               *[f"{c}_threshold" for c in TARGETS], *[f"{c}_{x}_24h" for c in TARGETS for x in ("future_max", "future_obs_count", "fault")], "future_fault_target_count_24h"]
+
+
 @register("p9_high_missingness", f"""{_node_sql()},
 {_label_sql('lo')},
 f AS (SELECT * FROM lab WHERE fault_24h IS NOT NULL),
-m AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, avg(CAST({c} IS NULL AS DOUBLE)) AS missing_rate FROM f" for c in ["click", "error", "purchase", "signup", "view", "calibration_lag_hours", "env_a", "env_b", "click_last_obs", "error_last_obs", "error_threshold", "purchase_threshold"])})
+m AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, avg(CAST({c} IS NULL AS DOUBLE)) AS missing_rate FROM f" for c in _LABEL_COLS)})
 SELECT feature, rnd(missing_rate) AS missing_rate, missing_rate > 0.5 AS dropped FROM m""")
 def q_missingness(spark, sf_dir):
-    lab = fs.label_table(spark, sf_dir)
-    cols = ["click", "error", "purchase", "signup", "view", "calibration_lag_hours", "env_a", "env_b", "click_last_obs",
-            "error_last_obs", "error_threshold", "purchase_threshold"]
-    _, info = prune.drop_high_missingness(lab.select(*cols), 0.5)
-    rows = [(c, info["rates"][c], info["rates"][c] > 0.5) for c in cols]
+    """Every column of the label table but its ids and target."""
+    _, info = prune.drop_high_missingness(fs.label_table(spark, sf_dir), 0.5, keep=[*fs.ID_COLS, fs.TARGET])
+    rows = [(c, r, r > 0.5) for c, r in info["rates"].items()]
     return rounded(spark.createDataFrame(rows, "feature string, missing_rate double, dropped boolean"))
 
 

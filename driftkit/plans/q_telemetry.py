@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from driftkit.functions.scalar import hours_between
 from driftkit.operators import causal, labels, reshape
 from driftkit.operators.expanding import expanding_quantile
-from driftkit.operators.ingest import parse_feed, parse_report
+from driftkit.operators.ingest import parse_feed, parse_report, quarantine
 from driftkit.plans import telemetry
-from driftkit.plans.catalog import EDGES_SQL, H6, H12, H24, HIST, NODE_PROPS, TARGETS, readings_sql, register, rounded
-from driftkit.sources.tables import edge_feed, readings
+from driftkit.plans.catalog import EDGES_SQL, H6, H12, H24, HIST, K_EXPR, NODE_PROPS, TARGETS, readings_sql, register, rounded
+from driftkit.session import ensure_checkpoint_dir
+from driftkit.sources.tables import CORRUPT, FILE, edge_feed, read_feed, readings
 
 ENV = ("env_a", "env_b")
 WINDOWS = (("6h", H6), ("12h", H12), ("24h", H24))
@@ -166,6 +169,55 @@ def q_parse_report(spark, sf_dir):
     return rounded(parse_report(r))
 
 
+# Breakages of the text feed, by event_id.
+_MALFORMED, _BAD_TIME, _BAD_VALUE, _NO_PROPERTY = 101, 89, 97, 83
+_TEXT_SQL = f"""x AS (SELECT *, event_id % {_MALFORMED} = 0 AS malformed, event_id % {_BAD_TIME} = 0 AS bad_time,
+  event_id % {_BAD_VALUE} = 0 AS bad_value, event_id % {_NO_PROPERTY} = 0 AS no_property, CASE WHEN isnan(value) THEN NULL ELSE value END AS v,
+  ts - to_minutes({K_EXPR}) AS calibrated_time FROM events)"""
+
+
+def text_feed(spark, sf_dir):
+    """``events`` written as CSV text, some records broken on purpose, and read back."""
+    broken = lambda n: F.col("event_id") % n == 0
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    r = readings(spark, sf_dir, ids=("event_id",))
+    fields = [
+        F.col("backend").cast("string"), F.col("qubit").cast("string"), F.when(~broken(_NO_PROPERTY), F.col("property")),
+        F.when(broken(_BAD_VALUE), F.lit("n/a")).otherwise(F.col("value").cast("string")),
+        F.when(broken(_BAD_TIME), F.lit("not a time")).otherwise(text("observed_time")), text("calibrated_time"),
+        F.when(broken(_MALFORMED), F.lit("one field,too many")),
+    ]
+    line = F.concat_ws(",", F.array_compact(F.array(*[F.coalesce(f, F.lit("")) for f in fields[:-1]], fields[-1])))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/text-feed-{uuid.uuid4().hex}"
+    r.select(line.alias("value")).write.text(path)
+    return read_feed(spark, path, "csv", "backend string, qubit string, property string, value string, observed_time string, calibrated_time string")
+
+
+@register("s1_quarantine_reasons", f"""WITH {_TEXT_SQL},
+q AS (SELECT CASE WHEN malformed THEN 'malformed record' WHEN bad_time THEN 'bad observed_time' WHEN bad_value THEN 'bad value'
+  WHEN user_id IS NULL THEN 'missing backend' WHEN no_property OR event_type IS NULL THEN 'missing property' WHEN ts IS NULL THEN 'missing observed_time'
+  WHEN v IS NULL THEN 'missing value' END AS reason FROM x)
+SELECT reason, count(*) AS n FROM q WHERE reason IS NOT NULL GROUP BY reason""")
+def q_quarantine(spark, sf_dir):
+    """Broken records of a CSV feed are kept with their file and reason."""
+    rejected = quarantine(text_feed(spark, sf_dir)).where(F.length(FILE) > 0)
+    return rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("a10_text_feed_report", f"""WITH {_TEXT_SQL}
+SELECT count(*) AS rows, count(*) FILTER (WHERE bad_time) AS observed_time_parse_failures, CAST(0 AS BIGINT) AS calibrated_time_parse_failures,
+  count(*) FILTER (WHERE bad_value) AS value_parse_failures,
+  rnd(avg(CAST(v IS NULL OR bad_value AS DOUBLE))) AS value_missing_rate_after_numeric_parse,
+  rnd(avg(CAST(bad_time OR ts IS NULL OR calibrated_time IS NULL AS DOUBLE))) AS calibration_lag_hours_missing_rate,
+  count(*) FILTER (WHERE NOT bad_time AND calibrated_time > ts) AS negative_calibration_lag_rows,
+  count(*) FILTER (WHERE user_id IS NULL OR no_property OR event_type IS NULL OR bad_time OR ts IS NULL OR bad_value OR v IS NULL) AS dropped_structurally_invalid_rows
+FROM x WHERE NOT malformed""")
+def q_text_report(spark, sf_dir):
+    """A10: parse failures of the records that fit the schema."""
+    raw = text_feed(spark, sf_dir)
+    return rounded(parse_report(raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT, FILE)))
+
+
 @register("a1_environment_medians", f"""WITH r AS ({readings_sql(True)}), {_env_sql('r', fill=False, rolling=False)}
 SELECT backend, model_time, rnd(env_a) AS env_a, rnd(env_b) AS env_b FROM envf""")
 def q_env_medians(spark, sf_dir):

@@ -61,7 +61,7 @@ def prepare(df: DataFrame, cfg: StudyConfig) -> dict:
     """P9 on the whole frame (as the source workflow does) + T6 split."""
     ids = ["l_orderkey", "l_linenumber", cfg.time_col, cfg.target, *cfg.categorical]
     # many passes follow (split, fits, CV): materialise once in the shared checkpoint folder
-    base = cut_lineage(df.select(*ids, *cfg.numeric))
+    base = cut_lineage(prune.select_available(df, ids, cfg.numeric, cfg.target))
     df2, info = prune.drop_high_missingness(base, cfg.missing_threshold, keep=ids)
     numeric = [c for c in cfg.numeric if c in df2.columns]
     train, test, cutoff = splits.chronological_split(df2, cfg.time_col, cfg.train_ratio, cfg.tie_cols)

@@ -9,7 +9,7 @@ Shuffle plan (one exchange per step, each keyed on fine-grained keys):
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +22,7 @@ from driftkit.operators.ingest import numeric_columns
 
 @dataclass
 class FeedConfig:
+    # Option names and defaults follow the source study's configuration.
     group_col: str = "backend"
     entity_col: str = "qubit"
     property_col: str = "property"
@@ -47,7 +48,6 @@ class FeedConfig:
     threshold_min_periods: int = 10
     drop_rows_without_future_label: bool = True
     block_us: int | None = None
-    extra: dict = field(default_factory=dict)
 
 
 def environment_features(df: DataFrame, cfg: FeedConfig) -> DataFrame:
@@ -165,7 +165,9 @@ def run_and_write(df: DataFrame, cfg: FeedConfig, out_dir: str, edge_feed: DataF
         report[f"{name}_shape"] = [shape["rows"], shape["cols"]]
         report[f"{name}_missingness"] = {r["column"]: r["missing_rate"] for r in profile.missing_rates(table).collect()}
         final[name] = table
-    paths = sinks.write_outputs(final, out_dir, formats)
+    g, e, t = cfg.group_col, cfg.entity_col, cfg.time_col
+    order = {"qubit_snapshot": [g, e, t], "edge_snapshot": [g, "q1", "q2", t], "fault_prediction": [g, e, t]}
+    paths = sinks.write_outputs(final, out_dir, formats, sort_within=order)
     report["outputs"] = paths
     spark = df.sparkSession
     paths["report"] = sinks.write_json_report(spark, report, f"{out_dir.rstrip('/')}/report")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from driftkit.functions.scalar import hours_between, nan_to_null, truncate_hour
 
@@ -26,6 +26,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+CORRUPT, FILE = "_corrupt", "_file"
+TEXT_FORMATS = ("csv", "json")
+
+
 def read_feed(
     spark: SparkSession,
     path: str,
@@ -33,32 +37,42 @@ def read_feed(
     schema: StructType | str | None = None,
     options: dict | None = None,
 ) -> DataFrame:
-    """Raw long feed from Parquet/CSV/JSON.  A pinned revision is simply a path."""
+    """Raw long feed from Parquet/CSV/JSON.  A pinned revision is simply a path.
+
+    Text formats are read permissively and need a schema: a record that does not fit it
+    is kept, whole, in ``_corrupt`` (NULL for sound ones) beside the name of its file in
+    ``_file``, for ``ingest.quarantine``."""
     reader = spark.read.format(fmt)
-    if schema is not None:
-        reader = reader.schema(schema)
-    for k, v in (options or {}).items():
-        reader = reader.option(k, v)
-    return reader.load(path)
+    if fmt not in TEXT_FORMATS:
+        return (reader.schema(schema) if schema is not None else reader).options(**(options or {})).load(path)
+    if schema is None:
+        raise ValueError(f"a {fmt} feed needs a schema")
+    fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    # all columns are parsed whatever a query selects: else the number of fields is not checked
+    reader = reader.schema(StructType([*fields.fields, StructField(CORRUPT, StringType())])).option("columnPruning", False)
+    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    return reader.options(**(options or {})).load(path).withColumn(FILE, F.input_file_name())
 
 
 def _k_minutes(props: str = "props"):
     return F.regexp_extract(F.col(props), r'"k": (\d+)', 1).cast("int")
 
 
-def readings(spark: SparkSession, sf_dir: str, hourly: bool = False) -> DataFrame:
+def readings(spark: SparkSession, sf_dir: str, hourly: bool = False, ids: tuple = ()) -> DataFrame:
     """Long node feed from ``events``.
 
     backend = user_id % 3, qubit = user_id, property = event_type, value,
     observed_time = ts, calibrated_time = ts - k minutes (k from props),
     env_a = k (NULL when k % 7 = 0), env_b = value / 10.
-    ``hourly`` makes model_time the hour of ts, so keys repeat (medians, pivot).
+    ``hourly`` makes model_time the hour of ts, so keys repeat (medians, pivot); ``ids``
+    are columns of ``events`` to keep.
     """
     ev = read_table(spark, sf_dir, "events")
     k = _k_minutes()
     observed = F.col("ts")
     calibrated = observed - F.make_dt_interval(F.lit(0), F.lit(0), k, F.lit(0))
     return ev.select(
+        *ids,
         (F.col("user_id") % 3).alias("backend"),
         F.col("user_id").alias("qubit"),
         F.col("event_type").alias("property"),
@@ -93,16 +107,6 @@ def edge_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def regression_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``regress`` view: y = extendedprice; numeric x; categorical returnflag; time = shipdate."""
-    li = read_table(spark, sf_dir, "lineitem")
-    return li.select(
-        "l_orderkey", "l_linenumber", "l_shipdate",
-        F.col("l_extendedprice").alias("y"),
-        "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
-    )
-
-
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``vectors`` view: embeddings (vec_id, embedding, label)."""
     return read_table(spark, sf_dir, "embeddings")

@@ -65,8 +65,8 @@ def test_times_are_utc_in_any_session(spark, zone):
 
 def test_leakage_rule():
     for c in ["a_future_max_24h", "future_x", "sx_error_fault_24h", "x_future_fault_y"]:
-        assert prune.is_leakage_column(c)
-    assert not prune.is_leakage_column("fault_24h") and not prune.is_leakage_column("sx_error_threshold")
+        assert prune.looks_ahead(c)
+    assert not prune.looks_ahead("fault_24h") and not prune.looks_ahead("sx_error_threshold")
 
 
 def test_expanding_folds_rule():
