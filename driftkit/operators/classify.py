@@ -60,16 +60,20 @@ MLP_GRID = {"hidden": [(32,), (64,), (64, 32), (128, 64)], "maxIter": [100, 200,
 SEED = 42
 
 
-def class_weight_column(train: DataFrame, label: str, mode: str):
-    """Balanced weights n / (2 n_c) (sum to n) or positive weight n0 / n1."""
+def class_counts(train: DataFrame, label: str) -> tuple[float, float]:
+    """Rows and positive rows."""
     r = train.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("double")).alias("p")).first()
-    n, p = float(r["n"]), float(r["p"] or 0.0)
+    return float(r["n"]), float(r["p"] or 0.0)
+
+
+def class_weights(label: str, n: float, p: float, mode: str):
+    """Balanced weights n / (2 n_c) (sum to n) or positive weight n0 / n1, as a column."""
     neg = n - p
     if mode == "balanced" and p > 0 and neg > 0:
-        return F.when(F.col(label) == 1, F.lit(n / (2 * p))).otherwise(F.lit(n / (2 * neg))), n, p
+        return F.when(F.col(label) == 1, F.lit(n / (2 * p))).otherwise(F.lit(n / (2 * neg)))
     if mode == "pos_ratio" and p > 0 and neg > 0:
-        return F.when(F.col(label) == 1, F.lit(neg / p)).otherwise(F.lit(1.0)), n, p
-    return F.lit(1.0), n, p
+        return F.when(F.col(label) == 1, F.lit(neg / p)).otherwise(F.lit(1.0))
+    return F.lit(1.0)
 
 
 def make_estimator(spec: ModelSpec, n_features: int, n_train: float, label: str, weight: str | None):
@@ -86,35 +90,43 @@ def make_estimator(spec: ModelSpec, n_features: int, n_train: float, label: str,
     raise ValueError(spec.kind)
 
 
+def fit_transformed(x: DataFrame, prep, label: str, spec: ModelSpec, n: float, p: float):
+    """The estimator on rows that went through ``prep`` (its columns, ``features`` and the
+    label); None where the ``n`` rows, ``p`` of them positive, are of one class."""
+    if p == 0 or p == n:
+        return None
+    if spec.kind == "boosted":
+        weight = (n - p) / p if spec.weighting == "pos_ratio" else 1.0
+        return fit_boosted(x, prep.feature_names(), label, int(n), p / n, weight, seed=SEED, **spec.params)
+    w = class_weights(label, n, p, spec.weighting)
+    est = make_estimator(spec, len(prep.feature_names()), n, label, "_w" if spec.weighting != "none" else None)
+    return est.fit(x.select(F.col(label).cast("double").alias(label), "features", w.alias("_w")))
+
+
+def score_transformed(x: DataFrame, model, keep: Sequence[str], constant: float = 0.0) -> DataFrame:
+    """Probability of class 1 (M24: a constant for single-class training)."""
+    if model is None:
+        return x.select(*keep, F.lit(constant).alias("y_score"))
+    if isinstance(model, BoostedModel):
+        return model.score(x, keep)
+    return model.transform(x).select(*keep, vector_to_array("probability")[1].alias("y_score"))
+
+
 @dataclass
 class FittedClassifier:
     prep: object
     model: object
-    constant: float | None = None
+    constant: float = 0.0
 
     def score(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-        """Probability of class 1 (M24: a constant for single-class training)."""
-        if self.constant is not None:
-            return df.select(*keep, F.lit(self.constant).alias("y_score"))
-        if isinstance(self.model, BoostedModel):
-            return self.model.score(self.prep.transform(df, keep=keep), keep)
-        x = self.prep.transform(df, keep=keep, vector_col="features")
-        out = self.model.transform(x)
-        return out.select(*keep, vector_to_array("probability")[1].alias("y_score"))
+        return score_transformed(self.prep.transform(df, keep=keep, vector_col="features"), self.model, keep, self.constant)
 
 
 def fit_classifier(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, spec: ModelSpec) -> FittedClassifier:
     prep = fit_preprocessing(train, numeric, categorical, drop_first=False)
-    w, n, p = class_weight_column(train, label, spec.weighting)
-    if p == 0 or p == n:
-        return FittedClassifier(prep, None, 1.0 if p == n else 0.0)
-    if spec.kind == "boosted":
-        x = prep.transform(train, keep=[label])
-        weight = (n - p) / p if spec.weighting == "pos_ratio" else 1.0
-        return FittedClassifier(prep, fit_boosted(x, prep.feature_names(), label, int(n), p / n, weight, seed=SEED, **spec.params))
-    x = prep.transform(train.withColumn("_w", w), keep=[label, "_w"], vector_col="features")
-    est = make_estimator(spec, len(prep.feature_names()), n, label, "_w" if spec.weighting != "none" else None)
-    return FittedClassifier(prep, est.fit(x.withColumn(label, F.col(label).cast("double"))))
+    n, p = class_counts(train, label)
+    x = prep.transform(train, keep=[label], vector_col="features")
+    return FittedClassifier(prep, fit_transformed(x, prep, label, spec, n, p), 1.0 if n and p == n else 0.0)
 
 
 def evaluate_temporally(
@@ -203,26 +215,62 @@ def sample_grid(grid: dict, n_iter: int, seed: int = SEED) -> list[dict]:
     return [dict(zip(keys, c)) for c in picked]
 
 
+@dataclass
+class PreparedFold:
+    """A fold with its own fitted preprocessing applied once, for every candidate."""
+
+    fold: int
+    prep: object
+    train: DataFrame
+    valid: DataFrame
+    n: float
+    p: float
+
+
+def prepare_folds(indexed: DataFrame, n: int, numeric, categorical, label: str, n_splits: int = 3) -> list[PreparedFold]:
+    """Preprocessing is fitted and the vectors are assembled and written once per fold."""
+
+    def one(fb) -> PreparedFold:
+        train = indexed.filter(F.col(IDX) <= fb["train_end"])
+        valid = indexed.filter((F.col(IDX) >= fb["valid_start"]) & (F.col(IDX) <= fb["valid_end"]))
+        prep = fit_preprocessing(train, numeric, categorical, drop_first=False)
+        made = [cut_lineage(prep.transform(d, keep=[IDX, label], vector_col="features")) for d in (train, valid)]
+        return PreparedFold(fb["fold"], prep, *made, *class_counts(made[0], label))
+
+    folds = splits.expanding_folds(n, n_splits)
+    with ThreadPoolExecutor(max_workers=len(folds)) as pool:
+        return list(pool.map(one, folds))
+
+
 def random_search(
-    indexed: DataFrame, n: int, numeric, categorical, label: str, spec: ModelSpec, grid: dict,
-    n_iter: int = 12, n_splits: int = 3, parallelism: int = 4,
+    folds: Sequence[PreparedFold], label: str, spec: ModelSpec, grid: dict, n_iter: int = 12, parallelism: int = 4,
 ) -> tuple[dict, DataFrame]:
     """Candidates x expanding folds scored by average precision; best = highest
-    mean (ties -> earlier candidate).  Returns (best params, cv results)."""
-    spark = indexed.sparkSession
-    cands = sample_grid(grid, n_iter)
+    mean (ties -> earlier candidate).  A candidate that fails has no score and an
+    ``error``; if all fail, so does the search.  Returns (best params, cv results)."""
+    spark = folds[0].train.sparkSession
 
     def run(i_params):
         i, params = i_params
-        cs = ModelSpec(spec.name, spec.kind, {**spec.params, **params}, spec.weighting)
-        res = evaluate_temporally(indexed, n, numeric, categorical, label, cs, n_splits, time_col=None)
-        r = res["fold_metrics"].agg(F.avg("average_precision").alias("m"), F.stddev_pop("average_precision").alias("s")).first()
-        return i, params, r["m"], r["s"]
+        try:
+            cs = ModelSpec(spec.name, spec.kind, {**spec.params, **params}, spec.weighting)
+            scored = None
+            for f in folds:
+                model = fit_transformed(f.train, f.prep, label, cs, f.n, f.p)
+                part = score_transformed(f.valid, model, [label], 1.0 if f.p == f.n else 0.0).withColumn("fold", F.lit(f.fold))
+                scored = part if scored is None else scored.unionByName(part)
+            found = metrics.ranking_metrics(scored, label, "y_score", group_cols=["fold"])
+            r = found.agg(F.avg("average_precision").alias("m"), F.stddev_pop("average_precision").alias("s")).first()
+            return i, params, r["m"], r["s"], ""
+        except Exception as exc:  # noqa: BLE001 - record and keep the other candidates
+            return i, params, None, None, f"{type(exc).__name__}: {exc}"
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        results = list(pool.map(run, enumerate(cands)))
-    rows = [(spec.name, i, str(sorted(p.items())), m, s) for i, p, m, s in results]
-    cv = spark.createDataFrame(rows, "model string, candidate int, params string, mean_test_score double, std_test_score double")
+        results = list(pool.map(run, enumerate(sample_grid(grid, n_iter))))
+    if all(r[2] is None for r in results):
+        raise RuntimeError(f"every candidate failed, the first with {results[0][4]}")
+    rows = [(spec.name, i, str(sorted(p.items())), m, s, e) for i, p, m, s, e in results]
+    cv = spark.createDataFrame(rows, "model string, candidate int, params string, mean_test_score double, std_test_score double, error string")
     best = max(results, key=lambda t: (t[2] if t[2] is not None else float("-inf"), -t[0]))
     return best[1], cv
 
@@ -231,7 +279,9 @@ def feature_ranking(spark: SparkSession, fc: FittedClassifier, top: int = 15) ->
     """Tree importances or |coefficient| per feature, top ``top``."""
     names = fc.prep.feature_names()
     m = fc.model
-    if hasattr(m, "featureImportances"):
+    if isinstance(m, BoostedModel):
+        vals, kind = m.importances().tolist(), "importance"
+    elif hasattr(m, "featureImportances"):
         vals = m.featureImportances.toArray().tolist()
         kind = "importance"
     elif hasattr(m, "coefficients"):

@@ -6,15 +6,18 @@ outlier ablation and the unsupervised pieces."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftkit.functions.names import sanitize_name
 from driftkit.operators import classify, metrics, prune, splits
 from driftkit.operators.outlier import mahalanobis_outliers
 from driftkit.plans import telemetry
 from driftkit.plans.catalog import TARGETS
 from driftkit.session import cut_lineage
+from driftkit.sources import sinks
 from driftkit.sources.tables import readings
 
 ID_COLS = ("backend", "qubit", "model_time")
@@ -54,24 +57,56 @@ def classification_frame(spark: SparkSession, sf_dir: str, null_threshold: float
     return idx, n, numeric, ["backend"]
 
 
-def run_models(idx: DataFrame, n: int, numeric, categorical, specs: Sequence[classify.ModelSpec], n_splits: int = 3,
-               threshold: float = 0.5) -> dict:
-    """Every model through the same folds; combined fold metrics, summaries, predictions."""
-    res = [classify.evaluate_temporally(idx, n, numeric, categorical, TARGET, s, n_splits, threshold) for s in specs]
-    fm = res[0]["fold_metrics"]
-    for r in res[1:]:
-        fm = fm.unionByName(r["fold_metrics"], allowMissingColumns=True)
-    preds = [r["predictions"] for r in res if r["predictions"] is not None]
-    pr = preds[0] if preds else None
-    for p in preds[1:]:
-        pr = pr.unionByName(p, allowMissingColumns=True)
-    return {"fold_metrics": fm, "summary": classify.summarize_folds(fm), "predictions": pr}
+# Which models of the source study are tuned, and over which grid.
+TUNED = {classify.RANDOM_FOREST.name: classify.RANDOM_FOREST_GRID, classify.BOOSTED.name: classify.BOOSTED_GRID, classify.MLP.name: classify.MLP_GRID}
+MODELS = (classify.LOGISTIC, classify.RANDOM_FOREST_BASIC, classify.RANDOM_FOREST, classify.BOOSTED, classify.MLP)
+
+
+def _all(frames: Sequence[DataFrame | None]) -> DataFrame | None:
+    out = None
+    for f in frames:
+        if f is not None:
+            out = f if out is None else out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def run_models(idx: DataFrame, n: int, numeric, categorical, specs: Sequence[classify.ModelSpec] = MODELS, n_splits: int = 3,
+               threshold: float = 0.5, tune_iter: int = 0, grids: dict | None = None, out_dir: str | None = None) -> dict:
+    """Every model tuned (``tune_iter`` candidates of its grid; 0: none), evaluated
+    through the same folds with its best parameters, and combined.  A model whose
+    search fails is evaluated with its own settings and the error noted in its
+    parameters.  With ``out_dir`` each model's and the combined artefacts are written (S9)."""
+    grids = TUNED if grids is None else grids
+    folds = classify.prepare_folds(idx, n, numeric, categorical, TARGET, n_splits) if tune_iter and any(s.name in grids for s in specs) else []
+    spark, results, best, tuning = idx.sparkSession, [], {}, []
+    for spec in specs:
+        cv = None
+        if tune_iter and spec.name in grids:
+            try:
+                found, cv = classify.random_search(folds, TARGET, spec, grids[spec.name], tune_iter)
+                best[spec.name] = found
+                spec = replace(spec, params={**spec.params, **found})
+            except Exception as exc:  # noqa: BLE001 - the model runs with its own settings
+                best[spec.name] = {"error": f"{type(exc).__name__}: {exc}"}
+        else:
+            best[spec.name] = {"note": "not tuned"}
+        res = classify.evaluate_temporally(idx, n, numeric, categorical, TARGET, spec, n_splits, threshold)
+        results.append(res)
+        tuning.append(cv)
+        if out_dir:
+            sinks.write_model_artifacts(f"{out_dir.rstrip('/')}/{sanitize_name(spec.name)}", res["fold_metrics"], res["summary"], res["predictions"], cv, best[spec.name])
+    fold_metrics = _all([r["fold_metrics"] for r in results])
+    out = {"fold_metrics": fold_metrics, "summary": classify.summarize_folds(fold_metrics), "predictions": _all([r["predictions"] for r in results]),
+           "tuning": _all(tuning), "best_params": best}
+    if out_dir:
+        sinks.write_model_artifacts(out_dir.rstrip("/"), fold_metrics, out["summary"], out["predictions"], out["tuning"], best)
+    return out
 
 
 def outlier_ablation(idx: DataFrame, n: int, numeric, categorical) -> DataFrame:
     """Logistic regression on the first 75 % / last 25 % (T7), with and without
     Mahalanobis outliers; AP, ROC-AUC, best F1 and its threshold per variant."""
-    flagged, info = mahalanobis_outliers(idx, numeric, keep=[c for c in idx.columns if c not in numeric])
+    flagged, info = mahalanobis_outliers(idx, numeric, keep=["row_index"])
     flagged = flagged.select("row_index", "is_outlier")
     base = idx.join(flagged, "row_index")
     out = []

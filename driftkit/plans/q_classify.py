@@ -94,18 +94,36 @@ def q_oof(spark, sf_dir):
 
 @register("m37_a23_model_comparison")
 def q_compare(spark, sf_dir):
+    """All five models; the perceptron is tuned over two candidates, the trees have a query of their own."""
     idx, n, num, cat = frame(spark, sf_dir)
-    res = fs.run_models(idx, n, num, cat, [classify.LOGISTIC, classify.RANDOM_FOREST_BASIC])
+    res = fs.run_models(idx, n, num, cat, tune_iter=2, grids={classify.MLP.name: classify.MLP_GRID})
     return rounded(res["summary"])
 
 
-@register("m27_random_search_mlp")
-def q_search(spark, sf_dir):
+def _search(spark, sf_dir, spec, n_iter):
     idx, n, num, cat = frame(spark, sf_dir)
-    best, cv = classify.random_search(idx, n, num, cat, "fault_24h", classify.MLP, classify.MLP_GRID, n_iter=12, n_splits=3)
+    folds = classify.prepare_folds(idx, n, num, cat, fs.TARGET)
+    best, cv = classify.random_search(folds, fs.TARGET, spec, fs.TUNED[spec.name], n_iter)
     return rounded(cv.withColumn("is_best", F.col("params") == F.lit(str(sorted(best.items())))))
 
 
+@register("m27_random_search_mlp")
+def q_search(spark, sf_dir):
+    return _search(spark, sf_dir, classify.MLP, 12)
+
+
+@register("m27_random_search_forest")
+def q_search_forest(spark, sf_dir):
+    """Two candidates of the grid; the source study draws 12."""
+    return _search(spark, sf_dir, classify.RANDOM_FOREST, 2)
+
+
+@register("m27_random_search_boosted")
+def q_search_boosted(spark, sf_dir):
+    """Two candidates of the grid; the source study draws 12."""
+    return _search(spark, sf_dir, classify.BOOSTED, 2)
+
+
 @register("m34_feature_ranking")
 def q_rank(spark, sf_dir):
     idx, n, num, cat = frame(spark, sf_dir)
@@ -218,7 +236,7 @@ def q_class_weights(spark, sf_dir):
     rows = []
     for fb in splits.expanding_folds(n, 3):
         train = idx.filter(F.col("row_index") <= fb["train_end"])
-        w, n_tr, p = classify.class_weight_column(train, "fault_24h", "balanced")
+        n_tr, p = classify.class_counts(train, "fault_24h")
         rows.append((fb["fold"], int(n_tr), int(p), n_tr / (2 * p), n_tr / (2 * (n_tr - p)), (n_tr - p) / p))
     return rounded(spark.createDataFrame(rows, "fold int, train_size long, positives long, weight_positive double, "
                                                "weight_negative double, scale_pos_weight double"))

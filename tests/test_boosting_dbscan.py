@@ -200,3 +200,31 @@ def test_positional_split(spark):
     idx = spark.range(10).withColumnRenamed("id", "row_index")
     train, test = splits.positional_split(idx, 10, 0.75)
     assert (train.count(), test.count(), test.agg(F.min("row_index")).first()[0]) == (7, 3, 7)
+
+
+def test_models_are_tuned_evaluated_and_written(spark, two_classes, tmp_path, monkeypatch):
+    """Best parameters by the search, own settings where it fails, every artefact read back."""
+    from driftkit.plans import fault_study as fs
+
+    monkeypatch.setattr(fs, "TARGET", "y")
+    df, _, _ = two_classes
+    boosted = classify.ModelSpec("Gradient Boosted Trees", "boosted", {"n_estimators": 5, "learning_rate": 0.3}, "pos_ratio")
+    specs = [classify.LOGISTIC, boosted, classify.ModelSpec("MLP", "mlp", {"hidden": (4,), "maxIter": 20}, "none")]
+    grids = {boosted.name: {"max_depth": [1, 3], "n_estimators": [5]}, "MLP": {"hidden": ["no layers"]}}
+    timed = df.withColumn("model_time", F.col("row_index"))
+    res = fs.run_models(timed, 400, ["a", "b", "c"], [], specs, tune_iter=4, grids=grids, out_dir=str(tmp_path))
+    assert res["best_params"]["Gradient Boosted Trees"] == {"max_depth": 3, "n_estimators": 5}
+    assert "error" in res["best_params"]["MLP"] and res["best_params"]["Logistic Regression"] == {"note": "not tuned"}
+    cv = {r.params: r.mean_test_score for r in res["tuning"].collect()}
+    assert len(cv) == 2
+    direct = classify.evaluate_temporally(timed, 400, ["a", "b", "c"], [], "y", classify.ModelSpec("x", "boosted", {**boosted.params, "max_depth": 3}, "pos_ratio"), 3)
+    assert direct["summary"].first().average_precision_mean == pytest.approx(max(cv.values()))
+    summary = spark.read.option("header", True).csv(f"{tmp_path}/metrics_summary")
+    assert {r.model for r in summary.collect()} == {s.name for s in specs}
+    assert spark.read.parquet(f"{tmp_path}/metrics_fold_by_fold").count() == 9
+    assert spark.read.parquet(f"{tmp_path}/out_of_fold_predictions").count() == 900
+    one = f"{tmp_path}/Gradient_Boosted_Trees"
+    assert spark.read.option("header", True).csv(f"{one}/tuning_results").count() == 2
+    import json
+
+    assert json.loads(spark.read.text(f"{one}/best_params").first()[0]) == {"max_depth": 3, "n_estimators": 5}
