@@ -3,14 +3,20 @@
 Pieces of at most ``capacity`` tokens are counted by length (a histogram of at
 most ``capacity`` numbers is all that reaches the driver).  A configuration is a
 multiset of lengths that fits one sequence.  The fractional program - fewest
-sequences that cover every length - is solved by multiplicative weights: each
-length has a dual weight that falls exponentially with the share already covered,
-the pricing step finds a configuration of (nearly) highest weight by knapsack
-dynamic programming over the capacity, and the configuration enters with the step
-that its scarcest length allows.  The solution is rounded down, the program is
-solved again over what is left, and the last remainder goes to the fullest
-sequence it fits (best fit, longest first).  The plan is a list of
-(configuration, number of sequences); pieces are ranked within their length by
+configurations that cover every length - is worked on by multiplicative weights:
+
+* a length's price falls exponentially with how far its cover is ahead of the round;
+* one knapsack dynamic program over the capacity prices all configurations, and for
+  every length the best one that holds it is read off; those within ``slack`` of the
+  dearest take part;
+* each takes a small step: what its scarcest length allows, shared by all that want
+  that length, and in all at most 1 / rounds of the tokens.
+
+The prices over the dearest configuration are a feasible dual, whose value bounds the
+number of sequences from below.  The averaged steps are rounded at random (seeded,
+never above what is left), and what they leave goes, longest first, to the fullest
+sequence that still takes it, room in planned sequences included.  The plan is a list
+of (configuration, number of sequences); pieces are ranked within their length by
 distributed prefix sums and take their places from the plan by rank.
 
 Tokenization: the vocabulary's tokenizer splits at white space and between letter
@@ -105,56 +111,61 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_i
     return map_batches(docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text"), "doc_id long, piece int, start long, length long, ids_crc32 long", work)
 
 
-def price(lengths: np.ndarray, value: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """Knapsack by dynamic programming: {index: copies} of nearly highest value.
-
-    ``best[c]`` is the highest value within c tokens; lengths enter one by one, in
-    binary portions of their copies, each one vectorised over all capacities."""
-    best, steps = np.zeros(capacity + 1), []
-    for i in range(len(lengths)):
-        left, portion = int(min(most[i], capacity // lengths[i])), 1
-        while left > 0:
-            n = min(portion, left)
-            left, portion = left - n, portion * 2
-            size = n * int(lengths[i])
-            with_it = best[:capacity + 1 - size] + n * value[i]
-            better = with_it > best[size:] + 1e-12
-            if better.any():
-                best[size:] = np.where(better, with_it, best[size:])
-                steps.append((i, n, size, better))
-    out, c = {}, capacity
-    for i, n, size, better in reversed(steps):
-        if c >= size and better[c - size]:
-            out[i] = out.get(i, 0) + n
-            c -= size
-    return out
-
-
-def configuration_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, candidates: int = 64, eta: float = 4.0) -> list[tuple[dict[int, int], float]]:
-    """Fractional solution by multiplicative weights: [({index: copies}, sequences)]."""
-    todo, out = counts.astype(float), []
-    size = lengths / capacity
-    base = size ** 1.03  # of equal fills, the one with longer pieces
-    while (todo > 1e-9).any():
-        open_ = np.flatnonzero(todo > 1e-9)
-        weight = base[open_] * np.exp(eta * 0.01 * todo[open_] / counts[open_])
-        # pricing looks at the heaviest lengths per token, the longest and the scarce ends
-        dense = np.argsort(-weight / size[open_], kind="stable")[:candidates]
-        picks = np.unique(np.concatenate([open_[dense], open_[-candidates // 4:], open_[: candidates // 4]]))[::-1]
-        value = base[picks] * np.exp(eta * 0.01 * todo[picks] / counts[picks])
-        chosen = price(lengths[picks], value, np.ceil(todo[picks]), capacity)
-        config = {int(picks[i]): n for i, n in chosen.items()}
-        step = min(todo[i] / n for i, n in config.items())
-        for i, n in config.items():
-            todo[i] -= n * step
-        out.append((config, step))
-    return out
-
-
-def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Longest first, each to the fullest sequence that still takes it; like
-    sequences stand for each other, so the work follows the histogram."""
+def knapsack(lengths: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Highest price within c tokens, for every c, and the piece taken last (-1: none,
+    a token is left free).  ``lengths`` ascend."""
+    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fitting = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    for c in range(int(lengths[0]), capacity + 1):
+        value = best[c - lengths[:fitting[c]]] + price[:fitting[c]]
+        i = int(value.argmax())
+        best[c] = max(value[i], best[c - 1])
+        choice[c] = i if value[i] > best[c - 1] else -1
+    return best, choice
+
+
+def read_off(lengths: np.ndarray, choice: np.ndarray, first: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best configuration that holds each of ``first``: (configuration, piece) pairs."""
+    taken = np.maximum.accumulate(np.where(choice >= 0, np.arange(capacity + 1), 0))
+    config, piece, room, live = [np.arange(len(first))], [first], capacity - lengths[first], np.arange(len(first))
+    while True:
+        at = taken[room[live]]
+        live, at = live[choice[at] >= 0], at[choice[at] >= 0]
+        if not len(live):
+            return np.concatenate(config), np.concatenate(piece)
+        config.append(live)
+        piece.append(choice[at])
+        room[live] = at - lengths[choice[at]]
+
+
+def configuration_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 24, eta: float = 2.0, slack: float = 0.02) -> tuple[list[tuple], float]:
+    """Per round (configuration, piece, amount of each configuration); and the dual bound
+    on the number of sequences."""
+    n, tokens = counts.astype(float), float((counts * lengths).sum())
+    cover, out, bound = np.zeros(len(n)), [], tokens / capacity
+    for t in range(rounds):
+        price = lengths / capacity * np.exp(eta * np.clip(t / rounds - cover / n, -8, 8))
+        best, choice = knapsack(lengths, price, capacity)
+        bound = max(bound, float((n * price).sum() / best[capacity]))
+        first = np.flatnonzero(price + best[capacity - lengths] >= (1 - slack) * best[capacity])
+        config, piece = read_off(lengths, choice, first, capacity)
+        wanted = np.bincount(piece, n[first][config], len(n))
+        share = np.ones(len(first))
+        np.minimum.at(share, config, (n / np.maximum(wanted, 1e-300))[piece])
+        amount = n[first] * share
+        used = float((np.bincount(piece, amount[config], len(n)) * lengths).sum())
+        amount *= min(1.0, tokens / rounds / used)
+        cover += np.bincount(piece, amount[config], len(n))
+        out.append((config, piece, amount))
+    return out, bound
+
+
+def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int, begun: list[tuple[dict[int, int], int]] = ()) -> list[tuple[dict[int, int], int]]:
+    """Longest first, each to the fullest sequence that still takes it, the ``begun``
+    ones included; like sequences stand for each other, so the work follows the histogram."""
     room: dict[int, list] = {}  # free tokens -> [[config, sequences]]
+    for config, many in begun:
+        room.setdefault(capacity - sum(int(lengths[i]) * n for i, n in config.items()), []).append([config, many])
     for i in np.argsort(-lengths, kind="stable"):
         n, size = int(counts[i]), int(lengths[i])
         while n:
@@ -176,21 +187,22 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tup
     return [(config, many) for entries in room.values() for config, many in entries]
 
 
-def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = 3) -> list[tuple[dict[int, int], int]]:
+def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, seed: int = 11) -> list[tuple[dict[int, int], int]]:
     """Integer plan that uses every piece exactly once: [({length: copies}, sequences)]."""
-    left, out = counts.astype(np.int64).copy(), []
-    for _ in range(rounds):
-        live = np.flatnonzero(left)
-        if not len(live):
-            break
-        for config, many in configuration_program(lengths[live], left[live], capacity):
-            if int(many) > 0:
-                out.append(({int(lengths[live[i]]): n for i, n in config.items()}, int(many)))
-                for i, n in config.items():
-                    left[live[i]] -= n * int(many)
-    live = np.flatnonzero(left)
-    out += [({int(lengths[live[i]]): n for i, n in config.items()}, many) for config, many in best_fit(lengths[live], left[live], capacity)]
-    return out
+    if not len(lengths):
+        return []
+    rng, left, begun = np.random.default_rng(seed), counts.astype(np.int64).copy(), []
+    for config, piece, amount in configuration_program(lengths, counts, capacity)[0]:
+        whole = np.floor(amount + rng.random(len(amount))).astype(np.int64)
+        order = np.argsort(config, kind="stable")
+        cuts, piece = np.searchsorted(config[order], np.arange(len(amount) + 1)), piece[order]
+        for i in np.flatnonzero(whole):
+            own, copies = np.unique(piece[cuts[i]:cuts[i + 1]], return_counts=True)
+            many = int(min(whole[i], (left[own] // copies).min()))
+            if many:
+                left[own] -= copies * many
+                begun.append((dict(zip(own.tolist(), copies.tolist())), many))
+    return [({int(lengths[i]): n for i, n in config.items()}, many) for config, many in best_fit(lengths, left, capacity, begun)]
 
 
 def places(made: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:

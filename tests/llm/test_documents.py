@@ -9,7 +9,7 @@ import xxhash
 
 from driftkit.llm.components import connected_components
 from driftkit.llm.mixing import mix_sources, mixed_documents
-from driftkit.llm.packing import CAPACITY, best_fit, pack_documents, plan
+from driftkit.llm.packing import CAPACITY, best_fit, configuration_program, knapsack, pack_documents, plan
 from driftkit.llm.queries import vocabulary
 from driftkit.llm.sharding import interleaved_shards
 from driftkit.llm.simhash import fingerprint_links, near_duplicates, without_near_duplicates
@@ -264,3 +264,46 @@ def test_plan_uses_every_piece(seed):
     assert used == dict(zip(lengths.tolist(), counts.tolist()))
     best = sum(many for _, many in best_fit(lengths, counts, CAPACITY))
     assert sum(many for _, many in made) <= best * 1.01 + 1
+
+
+def test_remainder_fills_planned_sequences():
+    """Room left in sequences that are begun is used before new ones are opened."""
+    lengths, counts = np.array([10, 30, 60]), np.array([7, 0, 1])
+    made = best_fit(lengths, counts, 100, [({1: 3}, 2), ({2: 1}, 1)])
+    assert sum(many for _, many in made) == 4
+    used = {}
+    for config, many in made:
+        assert sum(int(lengths[i]) * n for i, n in config.items()) <= 100
+        for i, n in config.items():
+            used[i] = used.get(i, 0) + n * many
+    assert used == {0: 7, 1: 6, 2: 2}
+
+
+@pytest.mark.parametrize("parts", [2, 3, 4])
+def test_plan_is_near_a_known_optimum(parts):
+    """Pieces cut from full sequences: the optimum is their number."""
+    rng, pieces = np.random.default_rng(parts), []
+    for _ in range(5000):
+        cuts = np.sort(rng.choice(np.arange(1, CAPACITY), parts - 1, replace=False))
+        pieces += np.diff([0, *cuts, CAPACITY]).tolist()
+    lengths, counts = np.unique(pieces, return_counts=True)
+    made = sum(many for _, many in plan(lengths, counts))
+    assert 5000 <= made <= 5050
+    bound = configuration_program(lengths, counts, CAPACITY)[1]
+    assert 4990 <= bound <= 5000 + 1e-6
+
+
+def test_plan_beats_best_fit_where_it_can():
+    """Lengths that best fit pairs badly; the dual bound holds for both."""
+    lengths, counts = np.unique(np.random.default_rng(0).integers(700, 2101, 20_000), return_counts=True)
+    made, plain = (sum(many for _, many in x) for x in (plan(lengths, counts), best_fit(lengths, counts, CAPACITY)))
+    assert configuration_program(lengths, counts, CAPACITY)[1] <= made < plain
+
+
+def test_knapsack_against_brute_force():
+    from itertools import product
+
+    lengths, price = np.array([2, 3, 7]), np.array([1.0, 1.7, 4.5])
+    best, choice = knapsack(lengths, price, 20)
+    for c in range(21):
+        assert best[c] == pytest.approx(max(np.dot(k, price) for k in product(range(11), range(7), range(3)) if np.dot(k, lengths) <= c))
