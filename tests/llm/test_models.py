@@ -100,11 +100,15 @@ def test_calibration_is_logistic_and_rising():
     assert toxicity.fit_calibration(vote, np.zeros(4000), np.ones(4000)) == (1.0, 0.0)
 
 
-def test_scores_do_not_use_held_out_labels(spark):
+@pytest.mark.parametrize("scores, label", [(toxicity_scores, "toxic"), (quality_scores, "quality")])
+def test_scores_do_not_use_held_out_labels(spark, scores, label):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
-    turned = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
-    rows = [sorted((r.doc_id, r.score) for r in toxicity_scores(docs, x).collect()) for x in (labels, turned)]
+    turned = labels.withColumn(label, F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col(label)).otherwise(F.col(label)))
+    copies = docs.unionByName(docs.limit(20).withColumn("doc_id", F.col("doc_id") + 10_000_000))  # copies score alike
+    rows = [sorted((r.doc_id, r.score) for r in scores(copies, x).collect()) for x in (labels, turned)]
     assert rows[0] == rows[1]
+    by_id = dict(rows[0])
+    assert all(by_id[i] == by_id[i - 10_000_000] for i in by_id if i >= 10_000_000)
 
 
 @pytest.fixture(scope="module")
