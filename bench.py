@@ -30,6 +30,8 @@ HEADLINE = [
     "m32_pr_roc_curves",
     "w12_row_index",
     "m4_m6_design_matrix",
+    "m7_m17_simple_regression",
+    "m22_first_stump",
 ]
 
 
