@@ -5,18 +5,21 @@
    and the excess is shared again by weight.  The fixed point is a water level:
    with sources sorted by (cap / weight) the capped ones are a prefix, found with
    two running sums.
-2. Seats: the mix is cut into ``blocks`` equal-token blocks.  Block j of a source
-   has the quotient target / (2 j + 1); the ``blocks`` highest quotients win.  A
-   source can win at most target/total * (blocks + sources/2) + 1/2 seats, so only
-   that many are listed.  Won seats, in order of award, are dealt to ``shards``
-   in equal runs: integer quotas per shard and source.
-   A source whose seats come to more than 1/``NEAR`` of its target (and a word)
-   beside it, or to none, takes its target to the nearest word instead: sources
-   that are small beside a block, and those whose seats such sources cannot hold.
+2. Seats: the mix is cut into equal-token blocks, at least ``blocks`` of them and
+   so small that the least target holds ``NEAR``.  Block j of a source has the
+   quotient target / (2 j + 1); the highest quotients win, whatever the source's
+   size.  The first H awards are the seats of a mix of H blocks, so the awards are
+   dealt to ``shards`` in equal runs by the seats at each run's end: integer quotas
+   per shard and source.  Of a source's seats only those near the margin are listed
+   (the others are won by every house of that size): a few rows per source and
+   shard, however many blocks there are.
 3. Selection: the documents of a source stand in seeded order on a line of words
-   that is cut into the same equal-token blocks; its quota takes the first blocks
-   of that order, going round again for repeats.  A document takes the words of
-   its span: whole rounds plus the overlap with the last, partial round.
+   that is cut into the same blocks; the shards take the source's blocks one after
+   the other by their quotas, going round again for repeats.  A document takes the
+   words of its span: whole rounds plus the overlap with the last, partial round.
+
+Sources are names: the table of sources (a row each) is sorted in one task, so it
+must stay within some million rows.
 
 Defined cases: NULL text has size 0 and takes 0; documents without words take 0;
 a source of size 0 has target 0; NULL source is a source of its own, last in
@@ -35,7 +38,8 @@ from driftkit.llm.ordering import bucket_count, prefix_before
 WEIGHTS = (1, 2, 3)
 BLOCKS = 65_536
 EPOCHS = 3
-NEAR = 128  # seats stand within target / NEAR of the target
+NEAR = 128  # blocks that the least target holds (a block has a word at least)
+SHARDS = 8
 
 
 def source_targets(sizes: DataFrame, epochs: int = EPOCHS, weights: tuple = WEIGHTS) -> DataFrame:
@@ -61,19 +65,33 @@ def source_targets(sizes: DataFrame, epochs: int = EPOCHS, weights: tuple = WEIG
     return w.withColumn("target", target).drop("cap", "pos", "level", "first", "water")
 
 
-def block_quotas(targets: DataFrame, blocks: int = BLOCKS, shards: int = 8) -> DataFrame:
-    """Sainte-Lague seats: one row per awarded block (no_source, source, seat, award, shard)."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    most = F.ceil(F.col("target") / F.col("total") * (F.lit(blocks) + F.col("sources") / 2) + 0.5).cast("int")
-    listed = targets.withColumn("sources", n).where("target > 0").select("*", F.explode(F.sequence(F.lit(0), most)).alias("seat"))
-    quotient = F.col("target") / (2 * F.col("seat") + 1)
-    award = F.row_number().over(Window.orderBy(quotient.desc(), "place", "seat"))
-    won = listed.withColumn("award", award).where(F.col("award") <= blocks)
-    return won.withColumn("shard", F.floor((F.col("award") - 1) * shards / blocks).cast("int"))
-
-
-def mix_sources(docs: DataFrame, blocks: int = BLOCKS, epochs: int = EPOCHS, weights: tuple = WEIGHTS, seed: int = 29, shards: int = 8) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row of ``docs``."""
+def block_quotas(targets: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS) -> DataFrame:
+    """Sainte-Lague seats: (no_source, source, block, seats), ``block`` the words of a
+    block and ``seats[k]`` the source's seats in the shards 0 to k."""
+    everything = Window.partitionBy()
+    open_ = targets.where("target > 0").select(
+        "*", F.count(F.lit(1)).over(everything).alias("sources"), F.min("target").over(everything).alias("least")
+    )
+    words = F.least(F.floor(F.col("total") / blocks), F.floor(F.col("least") / NEAR))
+    cut = open_.withColumn("block", F.greatest(words, F.lit(1)).cast("long"))
+    runs = cut.withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(int(shards)))))
+    runs = runs.withColumn("house", F.expr(f"(total DIV block * shard) DIV {int(shards)}"))
+    share = F.col("target") / F.col("total")
+    sure = F.greatest(F.floor(share * (F.col("house") - F.col("sources") / 2) + 0.5) - 1, F.lit(0)).cast("long")
+    most = (F.ceil(share * (F.col("house") + F.col("sources") / 2) + 0.5) + 1).cast("long")
+    by_house = Window.partitionBy("shard")
+    runs = runs.withColumns({"sure": sure, "most": most}).withColumn("left", F.col("house") - F.sum("sure").over(by_house))
+    listed = runs.withColumn("seat", F.explode(F.sequence("sure", "most")))
+    award = F.row_number().over(by_house.orderBy((F.col("target") / (2 * F.col("seat") + 1)).desc(), "place", "seat"))
+    won = listed.withColumn("won", (award <= F.col("left")).cast("long"))
+    per = won.groupBy("no_source", "source", "block", "shard").agg((F.min("sure") + F.sum("won")).alias("n"))
+    dealt = per.groupBy("no_source", "source", "block").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("runs"))
+    return dealt.select("no_source", "source", "block", F.col("runs.n").alias("seats"))
+
+
+def mix_sources(docs: DataFrame, blocks: int = BLOCKS, epochs: int = EPOCHS, weights: tuple = WEIGHTS, seed: int = 29, shards: int = SHARDS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken and shard_words (the words each
+    shard takes, summing to ``taken``) for every row of ``docs``."""
     return _mixed(stored(_sized(docs, seed)), ["doc_id", "size"], blocks, epochs, weights, shards)
 
 
@@ -91,29 +109,29 @@ def _sized(docs: DataFrame, seed: int, *keep: str) -> DataFrame:
 def _mixed(slim: DataFrame, tie: list[str], blocks: int, epochs: int, weights: tuple, shards: int) -> DataFrame:
     sizes = slim.groupBy("no_source", "source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, epochs, weights)
-    seats = block_quotas(targets, blocks, shards).groupBy("no_source", "source").agg(F.count(F.lit(1)).alias("seats"))
-    seated = F.expr(f"(2 * coalesce(seats, 0) * total + {blocks}) DIV {2 * blocks}")  # to the nearest word
-    near = F.abs(seated - F.col("target")) <= F.greatest(F.col("target") / NEAR, F.lit(1.0))
-    words = F.when(near & (seated > 0), seated).otherwise(F.floor(F.col("target") + 0.5))
+    seats = block_quotas(targets, blocks, shards)
+    ends = F.transform("seats", lambda n: F.least(n * F.col("block"), F.col("source_size") * epochs))
+    none = F.array_repeat(F.lit(0).cast("long"), shards)
     quota = targets.join(seats, ["no_source", "source"], "left").select(
-        "no_source", "source", "source_size", "target", F.least(words, F.col("source_size") * epochs).cast("long").alias("words")
+        "no_source", "source", "source_size", "target", F.coalesce(ends, none).alias("ends")
     )
     line = prefix_before(slim, ["no_source", "source"], F.col("key") / KEY_RANGE, [F.col("key"), *map(F.col, tie)], {"w": F.col("size")}, bucket_count(slim.count()))
     # a few rows per source: joined on the source by whichever way the runtime sizes allow
     both = line.join(quota, ["no_source", "source"])
-    rounds = F.expr("CASE WHEN source_size > 0 THEN words DIV source_size ELSE 0L END")
-    rest = F.expr("CASE WHEN source_size > 0 THEN words % source_size ELSE 0L END")
-    part = F.greatest(F.least(rest - F.col("w_before"), F.col("size")), F.lit(0))
+    whole, rest = "end DIV source_size * size", "greatest(least(end % source_size - w_before, size), 0L)"
+    upto = F.expr(f"transform(ends, end -> CASE WHEN source_size > 0 THEN {whole} + {rest} ELSE 0L END)")
+    both = both.withColumn("upto", upto)
     return both.select(
         *[c for c in slim.columns if c not in ("no_source", "key")],
         "no_source",
         "source_size",
         "target",
-        (rounds * F.col("size") + part).cast("long").alias("taken"),
+        F.element_at("upto", -1).cast("long").alias("taken"),
+        F.expr("transform(upto, (x, k) -> x - CASE WHEN k > 0 THEN upto[k - 1] ELSE 0L END)").alias("shard_words"),
     ).withColumn("source", F.when(~F.col("no_source"), F.col("source"))).drop("no_source")
 
 
-def mixed_documents(docs: DataFrame, blocks: int = BLOCKS, epochs: int = EPOCHS, weights: tuple = WEIGHTS, seed: int = 29, shards: int = 8) -> DataFrame:
+def mixed_documents(docs: DataFrame, blocks: int = BLOCKS, epochs: int = EPOCHS, weights: tuple = WEIGHTS, seed: int = 29, shards: int = SHARDS) -> DataFrame:
     """``docs`` as the mix reads them, same columns: a document is repeated for each
     whole round and, for a partial round, once more with the first words of its
     span (joined by one space; ``n_chars``, if present, follows the text).  Rows are

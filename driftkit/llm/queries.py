@@ -11,7 +11,7 @@ from driftkit.llm.ann import approximate_neighbours
 from driftkit.llm.common import table
 from driftkit.llm.embed_dedup import near_vectors
 from driftkit.llm.merkle import merkle_manifest
-from driftkit.llm.mixing import BLOCKS, EPOCHS, mix_sources
+from driftkit.llm.mixing import BLOCKS, EPOCHS, NEAR, SHARDS, mix_sources
 from driftkit.llm.packing import pack_documents
 from driftkit.llm.quality import quality_scores
 from driftkit.llm.sharding import interleaved_shards
@@ -39,7 +39,8 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.array_join(F.col("shard_words").cast("array<string>"), ",").alias("shard_words"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,20 +155,33 @@ WITH d AS (
   SELECT *, min(CASE WHEN cap > weight * level THEN pos END) OVER () AS first_open FROM l
 ), t AS (
   SELECT *, CASE WHEN pos >= first_open THEN weight * (SELECT level FROM f WHERE pos = first_open) ELSE CAST(cap AS DOUBLE) END AS target FROM f
+), b AS (
+  SELECT *, greatest(1, least(total // {BLOCKS}, CAST(floor(min(target) OVER () / {NEAR}) AS BIGINT))) AS block, count(*) OVER () AS sources FROM t WHERE target > 0
+), h AS (
+  SELECT *, unnest(range(1, {SHARDS} + 1)) AS k FROM b
+), r AS (
+  SELECT *, (total // block * k) // {SHARDS} AS house FROM h
+), m AS (
+  SELECT *, CAST(greatest(floor(target / total * (house - sources / 2.0) + 0.5) - 1, 0) AS BIGINT) AS sure FROM r
 ), listed AS (
-  SELECT no_source, s, place, target, unnest(range(0, CAST(ceil(target / total * ({BLOCKS} + n / 2.0) + 0.5) AS BIGINT) + 1)) AS seat FROM t WHERE target > 0
+  SELECT *, unnest(range(sure, CAST(ceil(target / total * (house + sources / 2.0) + 0.5) AS BIGINT) + 2)) AS seat,
+    house - sum(sure) OVER (PARTITION BY k) AS open_seats FROM m
 ), won AS (
-  SELECT * FROM (SELECT *, row_number() OVER (ORDER BY target / (2 * seat + 1) DESC, place, seat) AS award FROM listed) WHERE award <= {BLOCKS}
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY target / (2 * seat + 1) DESC, place, seat) <= open_seats AS wins FROM listed
 ), seats AS (
-  SELECT no_source, s, count(*) AS seats FROM won GROUP BY ALL
+  SELECT no_source, s, k, min(block) * (min(sure) + count(*) FILTER (WHERE wins)) AS words FROM won GROUP BY ALL
 ), quota AS (
-  SELECT t.*, least((2 * coalesce(seats, 0) * total + {BLOCKS}) // {2 * BLOCKS}, {EPOCHS} * source_size) AS words FROM t LEFT JOIN seats USING (no_source, s)
+  SELECT no_source, s, source_size, target, list(CAST(least(coalesce(words, 0), {EPOCHS} * source_size) AS BIGINT) ORDER BY k) AS ends
+  FROM t LEFT JOIN seats USING (no_source, s) GROUP BY ALL
 ), line AS (
   SELECT d.*, coalesce(sum(size) OVER (PARTITION BY no_source, s ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d
+), took AS (
+  SELECT *, list_transform(ends, lambda e: CASE WHEN source_size > 0 THEN e // source_size * size + greatest(least(e % source_size - start, size), 0) ELSE 0 END) AS upto
+  FROM line JOIN quota USING (no_source, s)
 )
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-  CAST(CASE WHEN source_size > 0 THEN words // source_size * size + greatest(least(words % source_size - start, size), 0) ELSE 0 END AS BIGINT) AS taken
-FROM line JOIN quota USING (no_source, s)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(upto[-1] AS BIGINT) AS taken,
+  array_to_string(list_transform(range(1, {SHARDS} + 1), lambda k: CAST(CAST(coalesce(upto[k], 0) - CASE WHEN k > 1 THEN coalesce(upto[k - 1], 0) ELSE 0 END AS BIGINT) AS VARCHAR)), ',') AS shard_words
+FROM took
 """
 
 SUBSTRING_SQL = """

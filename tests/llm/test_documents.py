@@ -3,14 +3,15 @@
 import hashlib
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 
 from driftkit.llm.components import connected_components
-from driftkit.llm.mixing import mix_sources, mixed_documents
+from driftkit.llm.mixing import block_quotas, mix_sources, mixed_documents, source_targets
 from driftkit.llm.packing import CAPACITY, best_fit, configuration_program, knapsack, pack_documents, plan
-from driftkit.llm.queries import vocabulary
+from driftkit.llm.queries import MIXING_SQL, vocabulary
 from driftkit.llm.sharding import interleaved_shards
 from driftkit.llm.simhash import fingerprint_links, near_duplicates, without_near_duplicates
 from driftkit.llm.substring import deduplicated, without_repeats
@@ -109,6 +110,64 @@ def test_mix_reaches_small_sources(spark):
     assert len(by) == 201 and all(taken == pytest.approx(target, rel=0.01, abs=1) for target, taken in by.values())
 
 
+def awards(targets, houses):
+    """Seats after so many awards, one award after the other."""
+    got, out, done = {k: 0 for k in targets}, [], 0
+    for house in houses:
+        for _ in range(house - done):
+            best = min(targets, key=lambda k: (-targets[k][0] / (2 * got[k] + 1), targets[k][1]))
+            got[best] += 1
+        done = house
+        out.append(dict(got))
+    return out
+
+
+@pytest.mark.parametrize("sizes,blocks", [([900, 5, 40, 7], 64), ([1] * 30 + [5000], 32), ([3], 4), ([100_000, 90_000, 40_000], 256), ([20_000] + [700] * 90, 16)])
+def test_block_quotas_are_the_highest_quotients(spark, sizes, blocks):
+    table = spark.createDataFrame([(False, f"s{i:03}", n) for i, n in enumerate(sizes)], "no_source boolean, source string, source_size long")
+    targets = source_targets(table)
+    known = {r.source: (r.target, r.place) for r in targets.collect() if r.target > 0}
+    got = {r.source: r for r in block_quotas(targets, blocks=blocks, shards=5).collect()}
+    block = {r.block for r in got.values()}
+    assert len(block) == 1 and set(got) == set(known)
+    total, block = sum(sizes), block.pop()
+    assert block == 1 or (block <= total / blocks and block * 128 <= min(t for t, _ in known.values()))
+    want = awards(known, [total // block * k // 5 for k in range(1, 6)])
+    assert all(list(got[s].seats) == [w[s] for w in want] for s in got)
+
+
+def test_every_shard_holds_its_quota(spark):
+    """Words taken per (shard, source) are that quota's blocks, and a document's shards are its taken words."""
+    docs = spark.range(900).selectExpr("id AS doc_id", "repeat('w ', 1 + cast(id % 41 as int)) AS text", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id = 7 THEN NULL ELSE concat('s', id % 4) END AS source")
+    rows = mix_sources(docs, shards=6).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r.source] = r.source_size
+        assert sum(r.shard_words) == r.taken and len(r.shard_words) == 6 and min(r.shard_words) >= 0
+    table = spark.createDataFrame([(s is None, s or "", n) for s, n in sizes.items()], "no_source boolean, source string, source_size long")
+    for q in block_quotas(source_targets(table), shards=6).collect():
+        source = None if q.no_source else q.source
+        ends = [min(n * q.block, 3 * sizes[source]) for n in q.seats]
+        got = [sum(r.shard_words[k] for r in rows if r.source == source) for k in range(6)]
+        assert got == [e - b for e, b in zip(ends, [0, *ends])]
+    shards = [sum(r.shard_words[k] for r in rows) for k in range(6)]
+    assert max(shards) - min(shards) <= 2 + 0.02 * sum(shards) / 6
+
+
+def test_mixing_sql_holds_for_small_sources(spark, odd_docs):
+    """The whole rule restated in SQL, on sources far smaller than a block and on the odd cases."""
+    big = spark.range(3000).selectExpr("id + 100 AS doc_id", "repeat('w ', 100) AS text", "'big' AS source")
+    small = spark.createDataFrame([(1, "a b", "tiny"), (2, "a " * 23, "two"), (3, "", "empty"), (4, None, None)], "doc_id long, text string, source string")
+    for documents in (big.union(small), small.where("doc_id = 1"), odd_docs.select("doc_id", "text", "source").dropDuplicates(["doc_id"])):
+        con = duckdb.connect()
+        con.register("documents", documents.toPandas().astype({"doc_id": "Int64"}))
+        want = con.execute(MIXING_SQL).fetchall()
+        got = [(r.doc_id, r.size, r.source_size, r.target, r.taken, ",".join(map(str, r.shard_words))) for r in mix_sources(documents).collect()]
+        assert len(got) == len(want)
+        for g, w in zip(sorted(got, key=lambda r: str(r[0])), sorted(want, key=lambda r: str(r[0]))):
+            assert g[:3] == w[:3] and g[3] == pytest.approx(w[3]) and g[4:] == w[4:]
+
+
 def greedy(pieces, word):
     longest, n, i = max(map(len, pieces)), 0, 0
     while i < len(word):
