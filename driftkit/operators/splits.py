@@ -1,9 +1,10 @@
 """Time order, row index and splits.
 
-The global row index is built without a single-task window: a range-partitioned
-sort is checkpointed into the shared checkpoint folder (stable partitions,
-survives executor loss), per-partition counts give offsets (one row per
-partition, a proven small broadcast), and index = offset + position.
+The global row index is built without a single-task window and without a copy of
+the wide rows: only the key columns are range-partitioned and checkpointed (stable
+ranges, survives executor loss).  The least key and the row count of each range (a
+row per range) tell every row its range and that range's first index; rows are
+numbered inside their range.
 """
 
 from __future__ import annotations
@@ -16,18 +17,31 @@ from pyspark.sql import functions as F
 from driftkit.session import cut_lineage
 
 
-def row_index(df: DataFrame, order_cols: Sequence[str | Column], index_col: str = "row_index", checkpoint: bool = True) -> DataFrame:
-    """0-based position in ``order_cols`` order (break ties with a unique id)."""
-    ordered = df.orderBy(*order_cols)
-    ordered = cut_lineage(ordered) if checkpoint else ordered
-    tagged = ordered.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    out = tagged.join(F.broadcast(offsets), "_pid").withColumn(
-        index_col, F.col("_off") + F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    )
-    return out.drop("_pid", "_mid", "_off")
+def row_index(df: DataFrame, order_cols: Sequence[str], index_col: str = "row_index") -> DataFrame:
+    """0-based position in ascending ``order_cols`` order, NULL first (break ties with a
+    unique id: rows with equal keys are numbered in any order).  Lazy apart from the
+    checkpoint of the keys; cut the result's lineage where several jobs read it."""
+    order = [F.col(c) for c in order_cols]
+    key = F.struct(*order)
+    keys = cut_lineage(df.select(key.alias("_key")).repartitionByRange(F.col("_key")))
+    ranges = cut_lineage(keys.groupBy(F.spark_partition_id().alias("_pid")).agg(F.min("_key").alias("_least"), F.count(F.lit(1)).alias("_n")))
+    by_key = Window.orderBy("_least")
+    first = F.coalesce(F.sum("_n").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranges.select(F.row_number().over(by_key).alias("_range"), first.alias("_off"))
+    least = ranges.agg(F.array_sort(F.collect_list("_least")).alias("_all")).scalar()
+    # the last range whose least key is not above the row's: halving steps over the sorted bounds
+    steps = ranges.count().bit_length()
+    placed = df.withColumns({"_bounds": least, "_key": key})
+    here = F.aggregate(
+        F.array(*[F.lit(1 << i) for i in reversed(range(steps))]),
+        F.lit(0),
+        lambda at, step: F.when((at + step <= F.size("_bounds")) & (F.get("_bounds", at + step - 1) <= F.col("_key")), at + step).otherwise(at),
+    ) if steps else F.lit(0)
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    numbered = placed.withColumn("_range", here).drop("_bounds", "_key").withColumn("_inside", inside)
+    # one row per range: a proven bound
+    joined = numbered.join(F.broadcast(offsets), "_range")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_off") + F.col("_inside") - 1).alias(index_col))
 
 
 def chronological_cutoff(df: DataFrame, time_col: str, ratio: float = 0.8, tie_cols: Sequence[str] = ()):

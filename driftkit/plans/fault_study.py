@@ -50,8 +50,7 @@ def classification_frame(spark: SparkSession, sf_dir: str, null_threshold: float
     out = prune.drop_count_and_instant(out, TARGETS)
     out = prune.keep_rolling_suffixes(out, ENV_VARS)
     out = out.withColumn("backend", F.col("backend").cast("string")).withColumn(TARGET, F.col(TARGET).cast("int"))
-    idx = splits.row_index(out, ["model_time", "backend", "qubit"])
-    idx = cut_lineage(idx)
+    idx = cut_lineage(splits.row_index(out, ["model_time", "backend", "qubit"]))
     n = idx.count()
     numeric = [c for c in idx.columns if c not in (*ID_COLS, TARGET, "row_index")]
     return idx, n, numeric, ["backend"]
@@ -111,7 +110,8 @@ def outlier_ablation(idx: DataFrame, n: int, numeric, categorical) -> DataFrame:
     base = idx.join(flagged, "row_index")
     out = []
     for name, frame in (("all_rows", base), ("without_outliers", base.filter(~F.col("is_outlier")))):
-        fr = splits.row_index(frame.drop("row_index"), ["model_time", "backend", "qubit"])
+        # the index of all rows holds already; only the filtered variant is numbered anew
+        fr = frame if name == "all_rows" else splits.row_index(frame.drop("row_index"), ["model_time", "backend", "qubit"])
         m = fr.count()
         train, test = splits.positional_split(fr, m, 0.75)
         fc = classify.fit_classifier(train, numeric, categorical, TARGET, classify.LOGISTIC)

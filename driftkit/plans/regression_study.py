@@ -125,7 +125,7 @@ def cooks_filter(train: DataFrame, fl: FittedLinear, cfg: StudyConfig) -> tuple[
 
 def cv_blocks(train: DataFrame, cfg: StudyConfig):
     """W12 + T8: row index in time order and the validation block (0 = train-only head)."""
-    idx = splits.row_index(train, [cfg.time_col, *cfg.tie_cols])
+    idx = cut_lineage(splits.row_index(train, [cfg.time_col, *cfg.tie_cols]))
     n = idx.count()
     k = cfg.cv_splits
     blk = F.coalesce(splits.fold_column(n, k), F.lit(0))

@@ -1,5 +1,6 @@
 """Scalar helpers, pruning and splits."""
 
+import math
 from datetime import datetime
 
 import pytest
@@ -10,6 +11,7 @@ from driftkit.functions.scalar import regex_int, to_double, to_timestamp_ntz, tw
 from driftkit.operators import prune, splits
 from driftkit.operators.preprocess import fit_preprocessing
 from driftkit.operators.reshape import EDGE_PATTERN
+from driftkit.session import cut_lineage
 
 
 def test_name_sanitiser_python_and_column(spark):
@@ -89,6 +91,32 @@ def test_row_index_and_split(spark):
     assert cut == want[400][1]
 
 
+def test_row_index_orders_nulls_and_copies_keys_only(spark, monkeypatch):
+    """NULL, NaN and repeated keys, many ranges, no rows; the checkpoints hold key columns only."""
+    stored = []
+
+    def watched(df):
+        out = cut_lineage(df)
+        stored.append(set(out.columns))
+        return out
+
+    monkeypatch.setattr(splits, "cut_lineage", watched)
+    rows = [(None if i % 11 == 0 else float("nan") if i % 13 == 0 else float(i * 37 % 101), f"k{i % 7}", i, "wide" * 20) for i in range(3000)]
+    df = spark.createDataFrame(rows, "x double, s string, id long, payload string").repartition(9)
+    got = splits.row_index(df, ["x", "s", "id"]).orderBy("row_index").collect()
+    assert stored and all("payload" not in columns for columns in stored)
+
+    def key(r):
+        return (r[0] is not None, 0.0 if r[0] is None else float("inf") if math.isnan(r[0]) else r[0], r[1], r[2])
+
+    assert [r.row_index for r in got] == list(range(3000))
+    assert [r.id for r in got] == [r[2] for r in sorted(rows, key=key)]
+    tied = splits.row_index(df, ["s"]).orderBy("row_index").collect()
+    assert [r.row_index for r in tied] == list(range(3000)) and [r.s for r in tied] == sorted(r[1] for r in rows)
+    empty = splits.row_index(df.where("id < 0"), ["x", "id"])
+    assert empty.columns == [*df.columns, "row_index"] and empty.count() == 0
+
+
 def test_constant_feature_scaled_to_zero(spark):
     df = spark.createDataFrame([(3.0, 1.0), (3.0, None), (3.0, 5.0)], "c double, x double")
     m = fit_preprocessing(df, ["c", "x"], [])
