@@ -43,7 +43,9 @@ def sorted_medians(df: DataFrame, keys: Sequence[str], specs: Sequence[tuple]) -
         return F.when(~F.isnan(x), x)
 
     entries = F.array(*[F.struct(F.lit(i).alias("_i"), val(v).alias("_v")) for i, (_, v) in enumerate(specs)])
-    long = df.select(*keys, F.explode(entries).alias("_s")).select(*keys, "_s._i", "_s._v").repartition(*keys)
+    # only present values travel; a row without any still stands for its key
+    present = F.explode_outer(F.filter(entries, lambda s: s["_v"].isNotNull()))
+    long = df.select(*keys, present.alias("_s")).select(*keys, "_s._i", "_s._v").repartition(*keys)
     w = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_last())
     n = F.count("_v").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     r = F.row_number().over(w)
