@@ -4,15 +4,17 @@ and unpivoted, never one job per column."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from driftkit.operators.gram import pairwise_correlations
+from driftkit.operators.prune import ID_COLUMNS
 from driftkit.operators.quantiles import exact_quantiles
+from driftkit.session import cut_lineage
 
 
 def numeric_cols(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -33,6 +35,34 @@ def missing_rates(df: DataFrame, cols: Sequence[str] | None = None, only_positiv
     return out.orderBy(F.col("missing_rate").desc(), F.col("column"))
 
 
+def stored_with_profile(df: DataFrame, protected: Iterable[str] = (), id_cols: Iterable[str] = ID_COLUMNS) -> tuple[DataFrame, dict]:
+    """P8 + A5 + A12 in the pass that stores the frame: rows, and per column the present
+    values and whether they are all equal, observed while the checkpoint is written.
+    Returns the stored frame without its all-missing and constant columns (ids and
+    ``protected`` stay), and {"all_missing", "constant", "shape", "missingness"};
+    ``missingness`` holds rates above 0, largest first.  Without rows: rates are left
+    out and every unprotected column is all-missing."""
+    seen = Observation()
+    metrics = [F.count(F.lit(1)).alias("rows")]
+    for i, c in enumerate(df.columns):
+        column = F.col(f"`{c}`")
+        metrics += [F.count(column).alias(f"n{i}"), (F.min(column) == F.max(column)).alias(f"eq{i}")]
+    stored = cut_lineage(df.observe(seen, *metrics))
+    got = seen.get
+    rows, present = got["rows"], {c: got[f"n{i}"] for i, c in enumerate(df.columns)}
+    candidates = [c for c in df.columns if c not in {*protected, *id_cols}]
+    equal = {c for i, c in enumerate(df.columns) if got[f"eq{i}"]}
+    stats = {
+        "all_missing": sorted(c for c in candidates if present[c] == 0),
+        "constant": sorted(c for c in candidates if present[c] > 0 and c in equal),
+    }
+    kept = stored.drop(*stats["all_missing"], *stats["constant"])
+    rates = {c: 1 - present[c] / rows for c in kept.columns if present[c] < rows}
+    stats["shape"] = [rows, len(kept.columns)]
+    stats["missingness"] = dict(sorted(rates.items(), key=lambda r: (-r[1], r[0])))
+    return kept, stats
+
+
 def value_counts(df: DataFrame, col: str, top: int | None = 20) -> DataFrame:
     """Counts per value, NULL included, most frequent first (ties by value)."""
     out = df.groupBy(col).agg(F.count(F.lit(1)).alias("count")).orderBy(F.col("count").desc(), F.col(col).asc_nulls_first())

@@ -140,9 +140,10 @@ def run(df: DataFrame, cfg: FeedConfig, edge_feed: DataFrame | None = None) -> d
 
 def run_and_write(df: DataFrame, cfg: FeedConfig, out_dir: str, edge_feed: DataFrame | None = None,
                   formats=("parquet", "csv"), raw: DataFrame | None = None) -> dict:
-    """SURVEY 3.1 end to end: build, prune (P8, one action per table), summarise
-    (A12 + A5 as aggregates), fan out writes (S8) and the JSON report (S7)."""
-    from driftkit.operators import profile, prune
+    """SURVEY 3.1 end to end: each table is computed once, into a checkpoint that also
+    observes what P8, A12 and A5 need; the pruned checkpoint feeds the writes (S8) and
+    the JSON report (S7)."""
+    from driftkit.operators import profile
     from driftkit.operators.ingest import parse_report
     from driftkit.sources import sinks
 
@@ -158,12 +159,11 @@ def run_and_write(df: DataFrame, cfg: FeedConfig, out_dir: str, edge_feed: DataF
         report.update(parse_report(raw).first().asDict())
     final = {}
     for name in ("qubit_snapshot", "edge_snapshot", "fault_prediction"):
-        table, stats = prune.drop_low_information_columns(outs[name], protect[name])
+        table, stats = profile.stored_with_profile(outs[name], protect[name])
         report[f"{name}_dropped_all_missing_columns"] = stats["all_missing"]
         report[f"{name}_dropped_constant_columns"] = stats["constant"]
-        shape = profile.shape(table).first()
-        report[f"{name}_shape"] = [shape["rows"], shape["cols"]]
-        report[f"{name}_missingness"] = {r["column"]: r["missing_rate"] for r in profile.missing_rates(table).collect()}
+        report[f"{name}_shape"] = stats["shape"]
+        report[f"{name}_missingness"] = stats["missingness"]
         final[name] = table
     g, e, t = cfg.group_col, cfg.entity_col, cfg.time_col
     order = {"qubit_snapshot": [g, e, t], "edge_snapshot": [g, "q1", "q2", t], "fault_prediction": [g, e, t]}

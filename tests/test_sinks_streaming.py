@@ -84,3 +84,28 @@ def test_shipped_package_zip_is_importable(spark):
     # a Python worker resolves driftkit through the shipped file
     out = spark.sparkContext.parallelize([1], 1).map(lambda _: __import__("driftkit").__version__).collect()
     assert out == [sys.modules["driftkit"].__version__]
+
+
+def test_profile_comes_with_the_stored_frame(spark):
+    """P8, A5 and A12 equal the separate passes, and the source is read once."""
+    from driftkit.operators import profile, prune
+
+    read = spark.sparkContext.accumulator(0)
+
+    def watch(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    df = spark.range(0, 400, 1, 5).selectExpr(
+        "id AS qubit", "cast(NULL AS double) AS gone", "3 AS same", "CASE WHEN id % 4 = 0 THEN id END AS some",
+        "CASE WHEN id % 2 = 0 THEN 'x' END AS half", "cast(NULL AS string) AS kept")
+    table, stats = profile.stored_with_profile(df.mapInPandas(watch, df.schema), ["kept"])
+    assert read.value == 400 and table.count() == 400 and read.value == 400
+    want, dropped = prune.drop_low_information_columns(df, ["kept"])
+    assert table.columns == want.columns and {k: stats[k] for k in dropped} == dropped
+    assert stats["shape"] == list(profile.shape(want).first().asDict()[c] for c in ("rows", "cols"))
+    rates = {r["column"]: r["missing_rate"] for r in profile.missing_rates(want).collect()}
+    assert stats["missingness"] == rates and list(stats["missingness"]) == list(rates)
+    none, stats = profile.stored_with_profile(df.where("qubit < 0"))
+    assert none.count() == 0 and stats["shape"][0] == 0 and stats["missingness"] == {}
