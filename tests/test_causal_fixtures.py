@@ -146,6 +146,20 @@ def test_expanding_quantile_matches_the_window_form(spark, rows_per_block):
             assert (r[c] is None and want[key(r)][c] is None) or r[c] == pytest.approx(want[key(r)][c], abs=1e-12)
 
 
+def test_blocks_of_the_expanding_quantile_grow_with_the_group(spark, monkeypatch):
+    """However few rows a block is asked to hold, a group has at most a quarter as many
+    (chunk, block) pairs as rows."""
+    from driftkit.operators import expanding
+
+    sizes, asked = [], expanding._asked
+    monkeypatch.setattr(expanding, "_asked", lambda own, held, size, q: sizes.append(size) or asked(own, held, size, q))
+    df = spark.range(900).selectExpr("0L AS backend", "id AS qubit", "TIMESTAMP_NTZ'2024-01-01' + make_dt_interval(0, 0, int(id)) AS model_time", "double(id * 37 % 900) AS a")
+    got = expanding_quantile(df, ["backend"], ["model_time", "qubit"], ["a"], 0.5, 10, rows_per_block=2).collect()
+    want = labels.expanding_quantile_sql(df, ["backend"], ["model_time", "qubit"], ["a"], 0.5, 10).collect()
+    assert {r.qubit: r.a_threshold for r in got} == pytest.approx({r.qubit: r.a_threshold for r in want})
+    assert (900 / sizes[0]) ** 2 <= 900 / 4
+
+
 def test_expanding_quantile_of_nothing(spark):
     df = spark.createDataFrame([], "backend long, qubit long, model_time timestamp_ntz, a double")
     assert expanding_quantile(df, ["backend"], ["model_time", "qubit"], ["a"]).collect() == []
