@@ -160,6 +160,13 @@ def test_blocks_of_the_expanding_quantile_grow_with_the_group(spark, monkeypatch
     assert (900 / sizes[0]) ** 2 <= 900 / 4
 
 
+def test_a_block_of_the_expanding_quantile_is_bounded():
+    """What one Python worker holds at a time: 100,000 rows of a group of 12 million."""
+    from driftkit.operators import expanding
+
+    assert expanding.block_rows(expanding.ROWS_PER_BLOCK, 12_000_000) <= 100_000
+
+
 def test_expanding_quantile_of_nothing(spark):
     df = spark.createDataFrame([], "backend long, qubit long, model_time timestamp_ntz, a double")
     assert expanding_quantile(df, ["backend"], ["model_time", "qubit"], ["a"]).collect() == []
