@@ -228,3 +228,19 @@ def test_models_are_tuned_evaluated_and_written(spark, two_classes, tmp_path, mo
     import json
 
     assert json.loads(spark.read.text(f"{one}/best_params").first()[0]) == {"max_depth": 3, "n_estimators": 5}
+
+
+def test_the_driver_sees_cuts_not_sums(spark, two_classes, monkeypatch):
+    """Per level and feature a cut a node comes back, and a level has no more tasks than cores; trees stay."""
+    df, _, y = two_classes
+    fit = lambda: fit_boosted(df, ["a", "b", "c"], "y", 400, y.mean(), n_estimators=3, max_depth=2, subsample=0.8, max_bin=1000)
+    monkeypatch.setattr(boosting, "ROWS_PER_BLOCK", 10)
+    returned, tasks, collect, coalesce = [], [], type(df).collect, type(df).coalesce
+    monkeypatch.setattr(type(df), "collect", lambda self: returned.append(collect(self)) or returned[-1])
+    monkeypatch.setattr(type(df), "coalesce", lambda self, n: tasks.append(n) or coalesce(self, n))
+    few = fit()
+    assert max(tasks) <= spark.sparkContext.defaultParallelism < 40
+    assert max(len(r) for r in returned) <= 2 * 3 and not any(isinstance(v, (bytes, bytearray)) for rows in returned for r in rows for v in r)
+    monkeypatch.setattr(type(df), "coalesce", lambda self, n: self)
+    for a, b in zip(few.trees, fit().trees):
+        assert np.array_equal(a.feature, b.feature) and np.array_equal(a.cut, b.cut) and a.value == pytest.approx(b.value)
