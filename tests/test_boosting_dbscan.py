@@ -244,3 +244,27 @@ def test_the_driver_sees_cuts_not_sums(spark, two_classes, monkeypatch):
     monkeypatch.setattr(type(df), "coalesce", lambda self, n: self)
     for a, b in zip(few.trees, fit().trees):
         assert np.array_equal(a.feature, b.feature) and np.array_equal(a.cut, b.cut) and a.value == pytest.approx(b.value)
+
+
+def test_perceptrons_are_mllibs_in_fewer_jobs(spark, two_classes, monkeypatch):
+    """Weights of MLlib's own training, for networks of two folds trained together in one job a step."""
+    from driftkit.operators import perceptron
+    from driftkit.operators.preprocess import fit_preprocessing
+
+    df, _, _ = two_classes
+    parts, direct = [], []
+    specs = [classify.ModelSpec("MLP", "mlp", {"hidden": h, "maxIter": 12}, "none") for h in ((4,), (5, 3))]
+    for rows in (200, 330):
+        train = df.filter(F.col("row_index") < rows).coalesce(1).sortWithinPartitions("row_index")
+        prep = fit_preprocessing(train, ["a", "b", "c"], [], drop_first=False)
+        x = prep.transform(train, keep=["y"], vector_col="features")
+        parts.append((x, prep, rows))
+        direct += [classify.make_estimator(s, 3, rows, "y", None).fit(x).weights.toArray() for s in specs]
+    passes, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: passes.append(self.columns) or collect(self))
+    got = classify.fit_mlps(parts, "y", [(i, s) for i in (0, 1) for s in [*specs, classify.ModelSpec("MLP", "mlp", {"hidden": "no layers"}, "none")]])
+    assert isinstance(got[2], Exception) and isinstance(got[5], Exception)
+    for a, b in zip([got[i] for i in (0, 1, 3, 4)], direct):
+        assert a == pytest.approx(b, rel=1e-6, abs=1e-8)
+    assert passes.count(["network", "sums"]) < 25
+    assert perceptron.spread(df.coalesce(1), 5 * perceptron.ROWS_PER_PART).rdd.getNumPartitions() == 5
