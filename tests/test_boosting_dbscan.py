@@ -268,3 +268,16 @@ def test_perceptrons_are_mllibs_in_fewer_jobs(spark, two_classes, monkeypatch):
         assert a == pytest.approx(b, rel=1e-6, abs=1e-8)
     assert passes.count(["network", "sums"]) < 25
     assert perceptron.spread(df.coalesce(1), 5 * perceptron.ROWS_PER_PART).rdd.getNumPartitions() == 5
+
+
+def test_perceptron_search_finds_mllibs_scores(spark, two_classes, monkeypatch):
+    """Candidates trained together score as those that MLlib trains one by one."""
+    df, _, _ = two_classes
+    folds = classify.prepare_folds(df, 400, ["a", "b", "c"], [], "y")
+    spec, grid = classify.ModelSpec("MLP", "mlp", {}, "none"), {"hidden": [(3,), (4, 2)], "maxIter": [8]}
+    scores = []
+    for rows in (10**9, 0):
+        monkeypatch.setattr(classify, "MLLIB_ROWS", rows)
+        best, cv = classify.random_search(folds, "y", spec, grid)
+        scores.append((best, [(r.params, r.error, round(r.mean_test_score, 6)) for r in cv.orderBy("candidate").collect()]))
+    assert scores[0] == scores[1] and len(scores[0][1]) == 2
