@@ -281,3 +281,91 @@ def test_perceptron_search_finds_mllibs_scores(spark, two_classes, monkeypatch):
         best, cv = classify.random_search(folds, "y", spec, grid)
         scores.append((best, [(r.params, r.error, round(r.mean_test_score, 6)) for r in cv.orderBy("candidate").collect()]))
     assert scores[0] == scores[1] and len(scores[0][1]) == 2
+
+
+def brute_tree(bins, y, times, depth, weights, most, least, out, at=()):
+    """Splits by path of the tree over all features, siblings of one class merged: path -> (feature, cut) or class 1 share."""
+    n = np.array([times[y == k].sum() for k in (0, 1)], float)
+    gini = lambda c: 2 * np.prod(c * weights) / max((c * weights).sum(), 1e-300)
+    found = []
+    for f in range(bins.shape[1] if depth < most and n.min() > 0 else 0):
+        for cut in range(1, bins.max() + 1):
+            left = np.array([times[(y == k) & (bins[:, f] < cut)].sum() for k in (0, 1)], float)
+            if min(left.sum(), (n - left).sum()) >= least:
+                found.append((gini(n) - gini(left) - gini(n - left), -f, -cut))
+    if found and max(found)[0] / (n * weights).sum() > 1e-12:
+        best = max(found[i][0] for i in range(len(found)))
+        _, f, cut = max((0, f, cut) for gain, f, cut in found if gain > best - 1e-9)
+        right = bins[:, -f] >= -cut
+        sides = [brute_tree(bins[o], y[o], times[o], depth + 1, weights, most, least, out, (*at, k)) for k, o in enumerate((~right, right))]
+        if not (sides[0] is not None and sides[0] == sides[1]):
+            out[at] = (-f, -cut)
+            return None
+        del out[(*at, 0)], out[(*at, 1)]
+    out[at] = n[1] * weights[1] / (n * weights).sum()
+    return n[1] * weights[1] > n[0] * weights[0]
+
+
+def tree_by_path(nodes, weights, i=0, at=()):
+    if nodes.feature[i] < 0:
+        w = nodes.counts[i] * weights
+        return {at: w[1] / w.sum()}
+    own = {at: (int(nodes.feature[i]), int(nodes.cut[i]))}
+    return own | tree_by_path(nodes, weights, nodes.child[i], (*at, 0)) | tree_by_path(nodes, weights, nodes.child[i] + 1, (*at, 1))
+
+
+@pytest.mark.parametrize("most,least", [(3, 1), (6, 4), (20, 2)])
+def test_forest_pieces_are_exact_trees(most, least):
+    from driftkit.operators import forest
+
+    rng = np.random.default_rng(5)
+    bins, times = rng.integers(0, 6, (300, 3)).astype(np.uint8), rng.integers(1, 4, 300).astype(np.uint8)
+    y = (bins[:, 0] + bins[:, 1] * (bins[:, 2] > 2) + rng.normal(size=300) > 5).astype(np.uint8)
+    weights, want = np.array([0.7, 2.1]), {}
+    brute_tree(bins, y, times, 0, weights, most, least, want)
+    got = forest.grow(bins, y, times, 0, rng, forest.Rules(weights, most, least, 3, 6)).pruned(weights)
+    got = tree_by_path(got, weights)
+    assert len(want) > 5 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_forest_is_the_same_in_pieces_and_rounds(spark, two_classes, monkeypatch):
+    """Splitting large nodes over blocks, shuffled pieces and rounds of trees give the trees of one task."""
+    from driftkit.operators import forest
+
+    df, _, y = two_classes
+    monkeypatch.setattr(forest, "ROWS_PER_BLOCK", 90)
+    runs = []
+    for piece, pairs, width in ((10**9, 10**9, 10**9), (40, 1000, 150), (40, 10**9, 10**9)):
+        monkeypatch.setattr(forest, "ROWS_PER_PIECE", piece)
+        monkeypatch.setattr(forest, "PAIRS_PER_ROUND", pairs)
+        monkeypatch.setattr(forest, "ROWS_PER_SLICE", width)
+        m = forest.fit_forest(df, ["a", "b", "c"], "y", 400, (1.0, 2.0), 6, 8, 2, "all")
+        got = {r.row_index: r.y_score for r in m.score(df, ["row_index"]).collect()}
+        assert len(got) == 400 and m.trees.count() == 6 and m.importances().sum() == pytest.approx(1.0)
+        runs.append([got[i] for i in range(400)])
+    assert runs[1] == pytest.approx(runs[0]) and runs[2] == pytest.approx(runs[0])
+    assert np.mean((np.array(runs[0]) > 0.5) == (y == 1)) > 0.8
+    sampled = [forest.fit_forest(df, ["a", "b", "c"], "y", 400, numTrees=5, maxDepth=4, featureSubsetStrategy="sqrt").importances() for _ in range(2)]
+    assert np.array_equal(*sampled)
+    leaf = forest.fit_forest(df, ["a"], "y", 400, numTrees=3, maxDepth=0)
+    assert all(abs(r.y_score - y.mean()) < 0.15 for r in leaf.score(df, ["y"]).collect())
+    assert [forest.subset_size(s, 14, 9) for s in ("auto", "all", "sqrt", "log2", "onethird", "3", "0.5")] == [4, 14, 4, 4, 5, 3, 7]
+
+
+def test_large_forests_are_not_left_to_mllib(spark, two_classes, monkeypatch):
+    """Over one task's rows no forest of a search is MLlib's, and scores are alike."""
+    df, _, _ = two_classes
+    folds = classify.prepare_folds(df, 400, ["a", "b", "c"], [], "y")
+    spec, grid = classify.ModelSpec("RF", "random_forest", {}), {"numTrees": [30], "maxDepth": [6], "minInstancesPerNode": [2, 5], "featureSubsetStrategy": ["sqrt"]}
+    found = {}
+    for rows in (10**9, 0):
+        monkeypatch.setattr(classify, "MLLIB_ROWS", rows)
+        if not rows:
+            monkeypatch.setattr(classify.RandomForestClassifier, "fit", lambda *a, **k: pytest.fail("MLlib's forest"))
+        best, cv = classify.random_search(folds, "y", spec, grid)
+        found[rows] = [(r.error, r.mean_test_score) for r in cv.orderBy("candidate").collect()]
+    for (e1, a), (e2, b) in zip(*found.values()):
+        assert e1 == e2 == "" and abs(a - b) < 0.05
+    fc = classify.fit_classifier(df, ["a", "b", "c"], [], "y", classify.ModelSpec("RF", "random_forest", {"numTrees": 5}))
+    ranked = classify.feature_ranking(spark, fc, 2).collect()
+    assert len(ranked) == 2 and ranked[0].kind == "importance" and ranked[0].value >= ranked[1].value
