@@ -19,3 +19,7 @@ def drawn(monkeypatch, query):
 
 def test_forest_search_draws_twelve(monkeypatch):
     assert drawn(monkeypatch, q_classify.q_search_forest) == [("random_forest", 12)]
+
+
+def test_boosted_search_draws_twelve(monkeypatch):
+    assert drawn(monkeypatch, q_classify.q_search_boosted) == [("boosted", 12)]
