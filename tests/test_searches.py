@@ -84,3 +84,19 @@ def test_no_forest_of_a_search_is_left_to_mllib(spark, rows, monkeypatch):
     assert grown == [2, 2] and len(found) == 4  # the first fold has one class
     for params, r in found.items():
         assert (r.mean_test_score is None and r.error != "") if "no such" in params else (r.error == "" and 0 < r.mean_test_score <= 1)
+
+
+def test_networks_of_fewer_steps_are_stops_of_one_training(spark, rows, monkeypatch):
+    """Weights after 3, 6 and 9 steps, those of networks trained alone, at the gradients of one."""
+    from driftkit.operators import perceptron
+
+    monkeypatch.setattr(perceptron, "ROWS_PER_BLOCK", 128)
+    first = np.random.default_rng(1).normal(size=4 * 3 + 3 + 3 * 2 + 2)
+    parts = [(rows.coalesce(1).sortWithinPartitions("row_index"), ["a", "b", "c", "d"])]
+    asked, work = [], perceptron.minimize
+    monkeypatch.setattr(perceptron, "minimize", lambda x, stops: asked.append(list(stops)) or work(x, stops))
+    together = perceptron.fit_perceptrons(parts, "y", [(0, [4, 3, 2], first, most) for most in (6, 3, 9)])
+    assert asked == [[3, 6, 9]]
+    for most, weights in zip((6, 3, 9), together):
+        assert weights == pytest.approx(perceptron.fit_perceptrons(parts, "y", [(0, [4, 3, 2], first, most)])[0], rel=1e-9)
+    assert not np.allclose(together[0], together[1]) and not np.allclose(together[0], together[2])
