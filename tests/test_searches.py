@@ -100,3 +100,21 @@ def test_networks_of_fewer_steps_are_stops_of_one_training(spark, rows, monkeypa
     for most, weights in zip((6, 3, 9), together):
         assert weights == pytest.approx(perceptron.fit_perceptrons(parts, "y", [(0, [4, 3, 2], first, most)])[0], rel=1e-9)
     assert not np.allclose(together[0], together[1]) and not np.allclose(together[0], together[2])
+
+
+def test_one_task_grows_all_boosted_trees(spark, rows, monkeypatch):
+    """No job a level where one task holds the blocks; the trees are those of tasks that shuffle."""
+    from driftkit.operators import boosting
+
+    monkeypatch.setattr(boosting, "ROWS_PER_BLOCK", 40)
+    jobs, collect = [], type(rows).collect
+    monkeypatch.setattr(type(rows), "collect", lambda self: jobs.append(self.columns) or collect(self))
+    fitted = []
+    for most in (8, 2):
+        monkeypatch.setattr(boosting, "BLOCKS_PER_TASK", (most, 32))
+        jobs.clear()
+        fitted.append(boosting.fit_boosted(rows, ["a", "b", "c", "d"], "y", 300, 0.4, 2.0, n_estimators=12, max_depth=3, subsample=0.8, colsample=0.6, reg_alpha=0.1))
+        assert len(jobs) < 4 if most == 8 else len(jobs) > 12
+    for a, b in zip(*(m.trees for m in fitted)):
+        assert np.array_equal(a.feature, b.feature) and np.array_equal(a.cut, b.cut) and a.value == pytest.approx(b.value) and a.gain == pytest.approx(b.gain)
+    assert len(fitted[0].trees) == 12
